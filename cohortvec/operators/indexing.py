@@ -95,16 +95,25 @@ def attach_index(
     """
     if index.bytes <= broadcast_bytes:
         return facts.join(F.broadcast(index.pairs), index.key)
-    piece_rows = max(index.rows // HOT_SHARE, 1)
+    return salted_join(facts, index.table, index.key, index.rows, spread)
+
+
+def salted_join(facts: DataFrame, lookup: DataFrame, key: str, total: int, spread: list[str]) -> DataFrame:
+    """Inner shuffle join of ``facts`` with one row per key; hot keys are cut.
+
+    ``lookup`` carries ``_rows``, the key's number of rows in ``facts``, and
+    ``total`` is their sum.  Each hot key is cut into pieces by a hash of the
+    ``spread`` columns, with one copy of its lookup row per piece.
+    """
+    piece_rows = max(total // HOT_SHARE, 1)
     pieces = F.ceil(F.col("_rows") / F.lit(piece_rows)).cast("int")
     is_hot = F.col("_rows") > F.lit(piece_rows)
-    hot = index.table.filter(is_hot).select(index.key, pieces.alias("_pieces"))
-    piece = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_pieces")), F.lit(0)).cast("int")
     # fewer than HOT_SHARE rows by the definition of hot
-    cut = facts.join(F.broadcast(hot), index.key, "left").withColumn("_piece", piece).drop("_pieces")
-    copies = index.table.select(
-        index.key,
-        index.index,
+    hot = lookup.filter(is_hot).select(key, pieces.alias("_pieces"))
+    piece = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_pieces")), F.lit(0)).cast("int")
+    cut = facts.join(F.broadcast(hot), key, "left").withColumn("_piece", piece).drop("_pieces")
+    copies = lookup.select(
+        *[c for c in lookup.columns if c != "_rows"],
         F.explode(F.sequence(F.lit(0), F.when(is_hot, pieces - 1).otherwise(F.lit(0)))).alias("_piece"),
     )
-    return cut.join(copies, [index.key, "_piece"]).drop("_piece")
+    return cut.join(copies, [key, "_piece"]).drop("_piece")
