@@ -77,14 +77,14 @@ def start_vector(item: int, rank: int, scale: float, seed: int) -> np.ndarray:
     return np.abs(np.random.default_rng([seed, int(item)]).standard_normal(rank)) * scale
 
 
-def group_by_user(ratings: DataFrame) -> Stored:
+def group_by_user(ratings: DataFrame, unique_cells: bool = False) -> Stored:
     """Written table ``(user, items, ratings)``, one row per user.
 
-    Equal cells are added first, so a user's arrays are never longer than the
-    number of items.
+    Equal cells are added first (unless the caller knows there are none), so a
+    user's arrays are never longer than the number of items.
     """
     cells = ratings.filter(F.col(RATING) != 0).select(USER, ITEM, F.col(RATING).cast("double").alias(RATING))
-    summed = store(sum_duplicates(cells), "cells")
+    summed = store(cells if unique_cells else sum_duplicates(cells), "cells")
     spark = ratings.sparkSession
     parts = max(parallelism(spark), -(-summed.df.count() // RATINGS_PER_PART))
     rows = (
@@ -180,9 +180,9 @@ def gram_matrix(df: DataFrame, column: str, normalise: bool = False) -> tuple[np
         square = total = None
         rows = 0
         for batch in batches:
-            vectors = np.array(batch.column(0).to_pylist(), dtype=np.float64)
-            if not len(vectors):
+            if not batch.num_rows:
                 continue
+            vectors = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             if normalise:
                 length = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
                 vectors = np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
@@ -240,7 +240,11 @@ def _fit_joined(cells: DataFrame, n_items: int, rank: int, alpha: float, iterati
     total, n_users, mean, squares_x = _cell_facts(cells, n_items)
     scale = float(np.sqrt(mean / rank))
     user_rows = store(cells.groupBy(USER).agg(F.count(F.lit(1)).alias("_rows")), "user-counts").df
-    item_rows = store(cells.groupBy(ITEM).agg(F.count(F.lit(1)).alias("_rows")), "item-counts").df
+    counted = cells.groupBy(ITEM).agg(F.count(F.lit(1)).alias("_rows"))
+    every_item = cells.sparkSession.range(n_items).select(F.col("id").alias(ITEM))
+    item_rows = store(
+        every_item.join(counted, ITEM, "left").select(ITEM, F.coalesce("_rows", F.lit(0)).alias("_rows")), "item-counts"
+    ).df
 
     def start(batches):
         for batch in batches:
@@ -251,8 +255,7 @@ def _fit_joined(cells: DataFrame, n_items: int, rank: int, alpha: float, iterati
                 [ITEM, "_rows", VECTOR],
             )
 
-    item_type = item_rows.schema[ITEM].dataType.simpleString()
-    items = store(item_rows.mapInArrow(start, f"{ITEM} {item_type}, _rows long, {VECTOR} array<double>"), "items")
+    items = store(item_rows.mapInArrow(start, f"{ITEM} long, _rows long, {VECTOR} array<double>"), "items")
     losses: list[float] = []
     for step in range(iterations + 1):
         item_gram, _, _ = gram_matrix(items.df, VECTOR)
@@ -265,7 +268,9 @@ def _fit_joined(cells: DataFrame, n_items: int, rank: int, alpha: float, iterati
         if step == iterations or _settled(losses, tol):
             users.discard()
             break
-        sums = _weighted_sums(cells, users.df, USER, ITEM, total, rank).join(item_rows, ITEM)
+        # an item without ratings has only zero sums
+        sums = item_rows.join(_weighted_sums(cells, users.df, USER, ITEM, total, rank), ITEM, "left")
+        sums = sums.fillna(0.0, subset=_value_columns(rank))
         new_items = store(_solve_frame(sums, ITEM, user_gram + alpha * n_users * np.eye(rank), ["_rows"]), "items")
         users.discard()
         items.discard()
@@ -509,16 +514,19 @@ def grid_search(
     seed: int = 42,
     tol: float = 1e-4,
     model_bytes: int = MODEL_BYTES,
+    unique_cells: bool = False,
 ) -> GridResult:
     """Fit every setting on ``train``, score it on ``test``, refit the best on both.
 
     The first setting with the highest score wins.  ``workers`` settings share
-    the cluster at a time.
+    the cluster at a time.  ``unique_cells`` says that no (user, item) repeats.
     """
     spark = train.sparkSession
-    train_rows, test_rows = group_by_user(train), group_by_user(test)
+    train_rows, test_rows = group_by_user(train, unique_cells), group_by_user(test, unique_cells)
     train_rows.df.persist()
-    test_cells = store(sum_duplicates(test), "test-cells").df
+    test_cells = test_rows.df.select(
+        USER, F.inline(F.arrays_zip(F.col("items").alias(ITEM), F.col("ratings").alias(RATING)))
+    )
 
     def attempt(setting):
         size, regularization, rounds = setting

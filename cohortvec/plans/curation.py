@@ -23,6 +23,14 @@ def first_concepts(concepts: DataFrame, vocabulary: str, order: str = "line_no")
     return first_per_key(concepts.filter(F.col("SAB") == vocabulary), "CUI", order)
 
 
+def attach_concept(
+    relations: DataFrame, concepts: DataFrame, vocabulary: str, key: str, names: dict[str, str], order: str = "line_no"
+) -> DataFrame:
+    """Left join of ``key`` with the first concept of a vocabulary; ``names`` maps columns."""
+    first = first_concepts(concepts.select("CUI", "SAB", order, *names), vocabulary, order)
+    return relations.join(first.select(F.col("CUI").alias(key), *[F.col(c).alias(n) for c, n in names.items()]), key, "left")
+
+
 def may_treat(concepts: DataFrame, relationships: DataFrame, vocabulary: str, order: str = "line_no") -> DataFrame:
     """Treatment relations with indication, compound and converted code.
 
@@ -32,25 +40,29 @@ def may_treat(concepts: DataFrame, relationships: DataFrame, vocabulary: str, or
     relations = relationships.filter(
         (F.col("SAB") == TREATMENT_SOURCE) & (F.col("RELA") == TREATMENT_RELATION)
     ).select(F.col("CUI1").alias("Indication_CUI"), F.col("CUI2").alias("Compound_CUI"))
-    indications = first_concepts(concepts, INDICATION_VOCABULARY, order).select(
-        F.col("CUI").alias("Indication_CUI"),
-        F.col("STR").alias("Indication_MeSH_Label"),
-        F.col("SCUI").alias("Indication_MeSH_SCUI"),
-    )
-    compounds = first_concepts(concepts, COMPOUND_VOCABULARY, order).select(
-        F.col("CUI").alias("Compound_CUI"),
-        F.col("STR").alias("Compound_RXNORM_Label"),
-        F.col("SCUI").alias("Compound_RXNORM_SCUI"),
+    labelled = attach_concept(
+        relations,
+        concepts,
+        INDICATION_VOCABULARY,
+        "Indication_CUI",
+        {"STR": "Indication_MeSH_Label", "SCUI": "Indication_MeSH_SCUI"},
+        order,
     )
-    converted = first_concepts(concepts, vocabulary, order).select(
-        F.col("CUI").alias("Indication_CUI"),
-        *[F.col(c).alias(f"{vocabulary}_{c}") for c in concepts.columns if c not in ("CUI", order)],
+    labelled = attach_concept(
+        labelled,
+        concepts,
+        COMPOUND_VOCABULARY,
+        "Compound_CUI",
+        {"STR": "Compound_RXNORM_Label", "SCUI": "Compound_RXNORM_SCUI"},
+        order,
     )
-    return (
-        relations.join(indications, "Indication_CUI", "left")
-        .join(compounds, "Compound_CUI", "left")
-        .join(converted, "Indication_CUI", "left")
+    others = [c for c in concepts.columns if c not in ("CUI", "SAB", order)]
+    converted = attach_concept(
+        labelled, concepts, vocabulary, "Indication_CUI", {c: f"{vocabulary}_{c}" for c in others}, order
     )
+    # the vocabulary of a converted concept is the one asked for
+    known = F.when(F.col(f"{vocabulary}_STR").isNotNull(), F.lit(vocabulary))
+    return converted.withColumn(f"{vocabulary}_SAB", known)
 
 
 def form_pairs(relationships: DataFrame) -> DataFrame:
