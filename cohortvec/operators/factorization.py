@@ -17,6 +17,7 @@ from __future__ import annotations
 import logging
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import cached_property
 from itertools import product
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
-from ..session import Stored, parallelism, store
+from ..session import parallelism, store
 from .indexing import salted_join
 from .ratings import ITEM, RATING, USER, sum_duplicates
 
@@ -77,23 +78,60 @@ def start_vector(item: int, rank: int, scale: float, seed: int) -> np.ndarray:
     return np.abs(np.random.default_rng([seed, int(item)]).standard_normal(rank)) * scale
 
 
-def group_by_user(ratings: DataFrame, unique_cells: bool = False) -> Stored:
-    """Written table ``(user, items, ratings)``, one row per user.
+@dataclass(frozen=True)
+class CellFacts:
+    cells: int
+    users: int
+    mean: float  # over all user x item cells
+    squares: float
 
-    Equal cells are added first (unless the caller knows there are none), so a
-    user's arrays are never longer than the number of items.
+
+class RatingCells:
+    """A rating table prepared for several fits.
+
+    ``cells`` has one row per non-zero (user, item).  ``rows`` groups them per
+    user for models that are broadcast; their item number is then bounded by
+    the model size, and a user's arrays are no longer than that.
     """
-    cells = ratings.filter(F.col(RATING) != 0).select(USER, ITEM, F.col(RATING).cast("double").alias(RATING))
-    summed = store(cells if unique_cells else sum_duplicates(cells), "cells")
-    spark = ratings.sparkSession
-    parts = max(parallelism(spark), -(-summed.df.count() // RATINGS_PER_PART))
-    rows = (
-        summed.df.repartition(parts, USER)
-        .groupBy(USER)
-        .agg(F.collect_list(F.struct(ITEM, RATING)).alias("cells"))
-        .select(USER, F.col(f"cells.{ITEM}").alias("items"), F.col(f"cells.{RATING}").alias("ratings"))
-    )
-    return store(rows, "user-rows")
+
+    def __init__(self, ratings: DataFrame, n_items: int, unique_cells: bool = False):
+        doubles = ratings.filter(F.col(RATING) != 0).select(
+            USER, F.col(ITEM).cast("bigint").alias(ITEM), F.col(RATING).cast("double").alias(RATING)
+        )
+        self.n_items = n_items
+        self.cells = store(doubles if unique_cells else sum_duplicates(doubles), "cells").df
+
+    @cached_property
+    def facts(self) -> CellFacts:
+        row = self.cells.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_distinct(USER).alias("users"),
+            F.sum(RATING).alias("sum"),
+            F.sum(F.col(RATING) * F.col(RATING)).alias("squares"),
+        ).first()
+        if not row["n"]:
+            raise ValueError("the rating table is empty")
+        return CellFacts(row["n"], row["users"], row["sum"] / (row["users"] * self.n_items), row["squares"])
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        parts = max(parallelism(self.cells.sparkSession), -(-self.facts.cells // RATINGS_PER_PART))
+        grouped = (
+            self.cells.repartition(parts, USER)
+            .groupBy(USER)
+            .agg(F.collect_list(F.struct(ITEM, RATING)).alias("cells"))
+            .select(USER, F.col(f"cells.{ITEM}").alias("items"), F.col(f"cells.{RATING}").alias("ratings"))
+        )
+        return store(grouped, "user-rows").df.persist()
+
+    def joined_with(self, other: RatingCells) -> RatingCells:
+        """Both tables as one; users of the two sides stay different users."""
+        sides = [d.cells.withColumn(USER, F.col(USER) * 2 + i) for i, d in enumerate((self, other))]
+        return RatingCells(sides[0].unionByName(sides[1]), self.n_items, unique_cells=True)
+
+    def unpersist(self) -> None:
+        if "rows" in self.__dict__:
+            self.rows.unpersist()
 
 
 def _flat(batch: pa.RecordBatch):
@@ -235,10 +273,11 @@ def _weighted_sums(cells: DataFrame, factor: DataFrame, key: str, other: str, to
     return _sum_by(parts, other, rank)
 
 
-def _fit_joined(cells: DataFrame, n_items: int, rank: int, alpha: float, iterations: int, tol: float, seed: int):
+def _fit_joined(data: RatingCells, rank: int, alpha: float, iterations: int, tol: float, seed: int):
     """The rounds of ``fit`` with both factors as tables; nothing grows on the driver."""
-    total, n_users, mean, squares_x = _cell_facts(cells, n_items)
-    scale = float(np.sqrt(mean / rank))
+    cells, n_items, facts = data.cells, data.n_items, data.facts
+    total, n_users, squares_x = facts.cells, facts.users, facts.squares
+    scale = float(np.sqrt(facts.mean / rank))
     user_rows = store(cells.groupBy(USER).agg(F.count(F.lit(1)).alias("_rows")), "user-counts").df
     counted = cells.groupBy(ITEM).agg(F.count(F.lit(1)).alias("_rows"))
     every_item = cells.sparkSession.range(n_items).select(F.col("id").alias(ITEM))
@@ -278,18 +317,6 @@ def _fit_joined(cells: DataFrame, n_items: int, rank: int, alpha: float, iterati
     return items.df.select(ITEM, VECTOR), losses
 
 
-def _cell_facts(cells: DataFrame, n_items: int) -> tuple[int, int, float, float]:
-    row = cells.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_distinct(USER).alias("users"),
-        F.sum(RATING).alias("sum"),
-        F.sum(F.col(RATING) * F.col(RATING)).alias("squares"),
-    ).first()
-    if not row["n"]:
-        raise ValueError("the rating table is empty")
-    return row["n"], row["users"], row["sum"] / (row["users"] * n_items), row["squares"]
-
-
 def _loss(squares_x, fitted, user_gram, item_gram, alpha, n_users, n_items) -> float:
     error = squares_x - 2.0 * fitted + float((user_gram * item_gram).sum())
     ridge = alpha * (n_items * np.trace(user_gram) + n_users * np.trace(item_gram))
@@ -301,8 +328,7 @@ def _settled(losses: list[float], tol: float) -> bool:
 
 
 def fit(
-    rows: DataFrame,
-    n_items: int,
+    data: RatingCells,
     rank: int,
     regularization: float = 0.0,
     iterations: int = 200,
@@ -310,28 +336,17 @@ def fit(
     seed: int = 42,
     model_bytes: int = MODEL_BYTES,
 ) -> Factorization:
-    """Factorize the user rows of ``group_by_user``.
+    """Factorize a prepared rating table.
 
     One Spark job per round; stops after ``iterations`` item updates or when
     the loss falls by less than ``tol`` of itself.
     """
-    spark = rows.sparkSession
+    n_items, facts = data.n_items, data.facts
     if n_items * rank * 8 > model_bytes:
-        cells = store(
-            rows.select(USER, F.inline(F.arrays_zip(F.col("items").alias(ITEM), F.col("ratings").alias(RATING)))),
-            "cells",
-        ).df
-        items, losses = _fit_joined(cells, n_items, rank, regularization, iterations, tol, seed)
+        items, losses = _fit_joined(data, rank, regularization, iterations, tol, seed)
         return Factorization(items, rank, regularization, losses)
-    facts = rows.select(
-        F.lit(1).alias("one"),
-        F.aggregate("ratings", F.lit(0.0), lambda a, x: a + x).alias("sum"),
-        F.aggregate("ratings", F.lit(0.0), lambda a, x: a + x * x).alias("squares"),
-    ).agg(F.sum("one").alias("users"), F.sum("sum").alias("sum"), F.sum("squares").alias("squares")).first()
-    if not facts["users"]:
-        raise ValueError("the rating table is empty")
-    n_users, squares_x = facts["users"], facts["squares"]
-    scale = float(np.sqrt(facts["sum"] / (n_users * n_items) / rank))
+    rows, n_users, squares_x = data.rows, facts.users, facts.squares
+    scale = float(np.sqrt(facts.mean / rank))
     items = np.array([start_vector(i, rank, scale, seed) for i in range(n_items)])
     losses: list[float] = []
     for step in range(iterations + 1):
@@ -343,30 +358,27 @@ def fit(
     table = pa.table(
         {ITEM: np.arange(n_items), VECTOR: pa.array(items.tolist(), pa.list_(pa.float64()))}
     )  # the checked model size
-    return Factorization(spark.createDataFrame(table), rank, regularization, losses)
+    return Factorization(rows.sparkSession.createDataFrame(table), rank, regularization, losses)
 
 
 def fold_in(
-    rows: DataFrame,
-    items: DataFrame,
-    n_items: int,
-    regularization: float = 0.0,
-    model_bytes: int = MODEL_BYTES,
+    data: RatingCells, items: DataFrame, regularization: float = 0.0, model_bytes: int = MODEL_BYTES
 ) -> DataFrame:
     """``(user, embedding)``: non-negative user vectors for fixed item vectors."""
+    n_items = data.n_items
     item_gram, _, _ = gram_matrix(items, VECTOR)
     rank = item_gram.shape[0]
     gram = item_gram + regularization * n_items * np.eye(rank)
     if n_items * rank * 8 > model_bytes:
-        cells = rows.select(USER, F.inline(F.arrays_zip(F.col("items").alias(ITEM), F.col("ratings").alias(RATING))))
+        cells = data.cells
         counts = cells.groupBy(ITEM).agg(F.count(F.lit(1)).alias("_rows"))
         sized = store(items.join(counts, ITEM), "items").df
-        total = sized.agg(F.sum("_rows")).first()[0]
-        sums = _weighted_sums(cells, sized, ITEM, USER, total, rank)
+        sums = _weighted_sums(cells, sized, ITEM, USER, data.facts.cells, rank)
         return _solve_frame(sums, USER, gram, []).select(USER, VECTOR)
     local = items.toPandas()  # below the checked model size
     factor = np.zeros((n_items, rank))
     factor[local[ITEM].to_numpy()] = np.array(local[VECTOR].tolist())
+    rows = data.rows
     shared = rows.sparkSession.sparkContext.broadcast(factor)
 
     def solve(batches):
@@ -522,34 +534,30 @@ def grid_search(
     the cluster at a time.  ``unique_cells`` says that no (user, item) repeats.
     """
     spark = train.sparkSession
-    train_rows, test_rows = group_by_user(train, unique_cells), group_by_user(test, unique_cells)
-    train_rows.df.persist()
-    test_cells = test_rows.df.select(
-        USER, F.inline(F.arrays_zip(F.col("items").alias(ITEM), F.col("ratings").alias(RATING)))
-    )
+    train_data = RatingCells(train, n_items, unique_cells)
+    test_data = RatingCells(test, n_items, unique_cells)
 
     def attempt(setting):
         size, regularization, rounds = setting
-        model = fit(train_rows.df, n_items, size, regularization, rounds, tol, seed, model_bytes)
-        users = store(fold_in(test_rows.df, model.items, n_items, regularization, model_bytes), "test-users")
-        metrics = factor_metrics(test_cells, users.df, model.items)
+        model = fit(train_data, size, regularization, rounds, tol, seed, model_bytes)
+        users = store(fold_in(test_data, model.items, regularization, model_bytes), "test-users").df
+        metrics = factor_metrics(test_data.cells, users, model.items)
         return setting, metrics, performance_score(metrics, measure)
 
+    settings = list(product(sizes, regularizations, iterations))
+    if any(n_items * size * 8 <= model_bytes for size in sizes):
+        train_data.rows, test_data.rows  # grouped once, before the threads start
     with ThreadPoolExecutor(max_workers=max(workers, 1)) as pool:
-        attempts = list(pool.map(attempt, product(sizes, regularizations, iterations)))
-    train_rows.df.unpersist()
+        attempts = list(pool.map(attempt, settings))
     usable = [a for a in attempts if not np.isnan(a[2])]
     if not usable:
         raise ValueError("no setting gave a usable score; check the ratings for NaN")
     best = max(usable, key=lambda a: a[2])  # the first of equal scores
-    both = train_rows.df.unionByName(test_rows.df).persist()
+    both = train_data.joined_with(test_data)
     size, regularization, rounds = best[0]
-    if n_items * size * 8 > model_bytes:  # joined by user: keep the two sides' users apart
-        both = train_rows.df.select((F.col(USER) * 2).alias(USER), "items", "ratings").unionByName(
-            test_rows.df.select((F.col(USER) * 2 + 1).alias(USER), "items", "ratings")
-        )
-    model = fit(both, n_items, size, regularization, rounds, tol, seed, model_bytes)
-    both.unpersist()
+    model = fit(both, size, regularization, rounds, tol, seed, model_bytes)
+    for data in (train_data, test_data, both):
+        data.unpersist()
     scores = spark.createDataFrame(
         [(*s, float(v)) for s, _, v in attempts],
         "embedding_size int, regularization double, max_iterations int, score double",

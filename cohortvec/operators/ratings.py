@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_fraction
 from ..session import store
-from .indexing import BROADCAST_BYTES, KeyIndex, attach_index, build_key_index
+from .indexing import BROADCAST_BYTES, KeyIndex, attach_index, build_key_index, salted_join
 
 PERSON, FEATURE = "person_id", "feature_name"
 USER, ITEM, RATING = "user", "item", "rating"
@@ -192,8 +192,11 @@ def split_by_person(
         (F.col("_position") - F.col("_key.side") * F.lit(first_test)).alias("_number"),
     )
     if index.bytes <= BROADCAST_BYTES:
-        numbers = F.broadcast(numbers)
-    moved = ratings.join(numbers, USER)
+        moved = ratings.join(F.broadcast(numbers), USER)
+    else:
+        sizes = store(ratings.groupBy(USER).agg(F.count(F.lit(1)).alias("_rows")), "user-sizes").df
+        total = sizes.agg(F.sum("_rows")).first()[0] or 0
+        moved = salted_join(ratings, numbers.join(sizes, USER), USER, total, [ITEM])
 
     def one_side(value: int) -> DataFrame:
         return moved.filter(F.col("_side") == value).select(F.col("_number").alias(USER), ITEM, RATING)

@@ -822,22 +822,21 @@ def _unnested(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.posexplode("embedding").alias("dimension", "value"))
 
 
-def _brand_rows(spark, folder):
+def _brand_cells(spark, folder):
     indexed = ratings.sparse_ratings(view(spark, folder, "interactions_brand"), mode="sum")
-    return factorization.group_by_user(indexed.ratings, unique_cells=True).df, indexed.features.count()
+    return factorization.RatingCells(indexed.ratings, indexed.features.count(), unique_cells=True)
 
 
 @query("nmf_embeddings")
 def _(spark, folder):
-    rows, items = _brand_rows(spark, folder)
-    return _unnested(factorization.fit(rows, items, 6, 0.0, 30).items, "item")
+    return _unnested(factorization.fit(_brand_cells(spark, folder), 6, 0.0, 30).items, "item")
 
 
 @query("nmf_fold_in")
 def _(spark, folder):
-    rows, items = _brand_rows(spark, folder)
-    model = factorization.fit(rows, items, 6, 0.001, 10)
-    return _unnested(factorization.fold_in(rows, model.items, items, 0.001), "user")
+    data = _brand_cells(spark, folder)
+    model = factorization.fit(data, 6, 0.001, 10)
+    return _unnested(factorization.fold_in(data, model.items, 0.001), "user")
 
 
 @query("nmf_grid_search")

@@ -85,6 +85,11 @@ def store(df: DataFrame, label: str) -> Stored:
     return Stored(spark.read.schema(df.schema).parquet(path), path)
 
 
+def discard_stored(spark: SparkSession) -> None:
+    """Remove all intermediate tables this application has written."""
+    Stored(spark.range(0), f"{shared_folder(spark)}/{spark.sparkContext.applicationId}").discard()
+
+
 def parallelism(spark: SparkSession) -> int:
     """Number of tasks worth creating for compute-heavy steps."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

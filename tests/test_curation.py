@@ -1,0 +1,120 @@
+import random
+
+import pytest
+
+from cohortvec.operators.components import connected_groups, group_representatives
+from cohortvec.operators.firsts import first_per_key
+from cohortvec.plans.curation import curated_dataset, may_treat
+
+from .conftest import as_set
+
+PAIRS = "line_no long, CUI1 string, CUI2 string"
+
+
+def groups_of(df):
+    found = {}
+    for node, group in df.collect():
+        found.setdefault(group, set()).add(node)
+    assert all(g == min(members) for g, members in found.items())
+    return sorted(sorted(m) for m in found.values())
+
+
+def union_find(pairs):
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[root(a)] = root(b)
+    found = {}
+    for x in parent:
+        found.setdefault(root(x), set()).add(x)
+    return sorted(sorted(m) for m in found.values())
+
+
+def test_groups_and_representatives(table):
+    pairs = table([(i, a, b) for i, (a, b) in enumerate(["AB", "BC", "EF", "FG", "IJ", "AC"])], PAIRS)
+    assert groups_of(connected_groups(pairs)) == [["A", "B", "C"], ["E", "F", "G"], ["I", "J"]]
+    ordered = table([(0, "B", "C"), (1, "A", "B"), (2, "E", "F")], PAIRS)
+    got = group_representatives(ordered, connected_groups(ordered))
+    assert as_set(got) == [("A", "B"), ("E", "E")]
+
+
+def test_long_chain(table):
+    chain = table([(i, f"{i:04d}", f"{i + 1:04d}") for i in range(300)], PAIRS)
+    assert len(groups_of(connected_groups(chain))) == 1
+
+
+def test_hub_and_random_pairs(table):
+    rng = random.Random(1)
+    pairs = [("hub", f"n{i}") for i in range(3000)]
+    pairs += [(f"r{rng.randrange(400)}", f"r{rng.randrange(400)}") for _ in range(250)]
+    pairs += [("self", "self")]
+    got = connected_groups(table([(i, a, b) for i, (a, b) in enumerate(pairs)], PAIRS))
+    assert groups_of(got) == union_find(pairs)
+
+
+def test_no_pairs(table):
+    assert connected_groups(table([], PAIRS)).count() == 0
+
+
+def test_first_per_key(table):
+    df = table([(3, "a", "late"), (1, "a", "early"), (2, "b", None)], "line_no long, CUI string, STR string")
+    assert sorted((r.CUI, r.STR) for r in first_per_key(df, "CUI", "line_no").collect()) == [("a", "early"), ("b", None)]
+
+
+@pytest.fixture(scope="module")
+def thesaurus(table):
+    concepts = table(
+        [
+            (1, "D1", "ENG", "MSH", "disease one", "M1", None),
+            (2, "D1", "ENG", "ICD10CM", "one", None, "C15-C16"),
+            (3, "D2", "ENG", "MSH", "disease two", "M2", None),
+            (4, "D2", "ENG", "ICD10CM", "two", None, "E10.1"),
+            (5, "D3", "ENG", "MSH", "unmapped", "M3", None),
+            (6, "R1", "FRE", "RXNORM", "mot", "X0", None),
+            (7, "R1", "ENG", "RXNORM", "drug", "X1", None),
+            (8, "R1", "ENG", "RXNORM", "drug later", "X9", None),
+            (9, "R4", "ENG", "RXNORM", "alone", "X4", None),
+        ],
+        "line_no long, CUI string, LAT string, SAB string, STR string, SCUI string, CODE string",
+    )
+    relations = table(
+        [
+            (1, "D1", "R1", "may_treat", "MED-RT"),
+            (2, "D2", "R1", "may_treat", "MED-RT"),
+            (3, "D3", "R1", "may_treat", "MED-RT"),
+            (4, "D1", "R4", "may_treat", "MED-RT"),
+            (5, "D1", "R9", "may_treat", "OTHER"),
+            (6, "R1", "R2", "has_form", "RXNORM"),
+            (7, "R2", "R3", "has_form", "RXNORM"),
+            (8, "R1", "R3", "has_form", "RXNORM"),
+        ],
+        "line_no long, CUI1 string, CUI2 string, RELA string, SAB string",
+    )
+    return concepts, relations
+
+
+def test_may_treat(thesaurus):
+    concepts, relations = thesaurus
+    rows = {(r.Indication_CUI, r.Compound_CUI): r for r in may_treat(concepts, relations, "ICD10CM").collect()}
+    assert len(rows) == 4
+    assert rows["D1", "R1"].Compound_RXNORM_Label == "mot"  # first row of any language
+    assert rows["D2", "R1"].ICD10CM_CODE == "E10.1"
+    assert rows["D3", "R1"].ICD10CM_STR is None
+    assert rows["D1", "R4"].Indication_MeSH_SCUI == "M1"
+
+
+def test_curated_dataset(thesaurus):
+    rows = curated_dataset(*thesaurus, ["C15"]).collect()
+    got = sorted((r.Compound_CUI, r.CLEAN_ICD10CM_CODE, r.Compound_RXNORM_SCUI, r.selected_diseases_indication) for r in rows)
+    assert got == sorted(
+        (form, code, "X1", selected)
+        for form in ("R2", "R3")
+        for code, selected in (("c15", True), ("c16", True), ("e101", False))
+    )
+    assert curated_dataset(*thesaurus, ["Z99"]).count() == 0
