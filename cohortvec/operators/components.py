@@ -74,7 +74,8 @@ def connected_groups(
     state = _fingerprint(current)
     while state[0]:
         large = store(_attach_larger(current.df, state[0]).distinct(), "edges")
-        small = store(_attach_smaller(large.df, large.df.count()).distinct(), "edges")
+        # this step adds no edges, so the old number still bounds the hot nodes
+        small = store(_attach_smaller(large.df, state[0]).distinct(), "edges")
         new_state = _fingerprint(small)
         large.discard()
         current.discard()

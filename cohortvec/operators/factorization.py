@@ -113,11 +113,14 @@ class RatingCells:
             raise ValueError("the rating table is empty")
         return CellFacts(row["n"], row["users"], row["sum"] / (row["users"] * self.n_items), row["squares"])
 
+    @cached_property
+    def parts(self) -> int:
+        return max(parallelism(self.cells.sparkSession), -(-self.facts.cells // RATINGS_PER_PART))
+
     @cached_property
     def rows(self) -> DataFrame:
-        parts = max(parallelism(self.cells.sparkSession), -(-self.facts.cells // RATINGS_PER_PART))
         grouped = (
-            self.cells.repartition(parts, USER)
+            self.cells.repartition(self.parts, USER)
             .groupBy(USER)
             .agg(F.collect_list(F.struct(ITEM, RATING)).alias("cells"))
             .select(USER, F.col(f"cells.{ITEM}").alias("items"), F.col(f"cells.{RATING}").alias("ratings"))
@@ -170,10 +173,12 @@ def _sum_by(df: DataFrame, key: str, rank: int) -> DataFrame:
     return df.groupBy(key).agg(*[F.sum(v).alias(v) for v in _value_columns(rank)])
 
 
-def _round_broadcast(rows: DataFrame, items: np.ndarray, alpha: float):
+def _round_broadcast(rows: DataFrame, parts: int, items: np.ndarray, alpha: float):
     """One pass over the users: X'W, W'W, sum of w.b; returns driver arrays.
 
-    The size of all three is the size of the checked, broadcast factor.
+    The size of all three is the size of the checked, broadcast factor.  The
+    sums of all ``parts`` tasks go straight to the driver only if together they
+    stay below the model limit; otherwise Spark adds them up first.
     """
     size, rank = items.shape
     shared = rows.sparkSession.sparkContext.broadcast(items)
@@ -201,7 +206,10 @@ def _round_broadcast(rows: DataFrame, items: np.ndarray, alpha: float):
         )
 
     schema = "key long, " + ", ".join(f"{v} double" for v in _value_columns(rank))
-    sums = _sum_by(rows.mapInArrow(accumulate, schema), "key", rank).toPandas()
+    partials = rows.mapInArrow(accumulate, schema)
+    if parts * (size + rank + 1) * rank * 8 > MODEL_BYTES:
+        partials = _sum_by(partials, "key", rank)
+    sums = partials.toPandas().groupby("key", as_index=False).sum()
     shared.destroy()
     keys, values = sums["key"].to_numpy(), sums[_value_columns(rank)].to_numpy()
     crossed, squares = np.zeros((size, rank)), np.zeros((rank, rank))
@@ -350,7 +358,7 @@ def fit(
     items = np.array([start_vector(i, rank, scale, seed) for i in range(n_items)])
     losses: list[float] = []
     for step in range(iterations + 1):
-        crossed, user_gram, fitted = _round_broadcast(rows, items, regularization)
+        crossed, user_gram, fitted = _round_broadcast(rows, data.parts, items, regularization)
         losses.append(_loss(squares_x, fitted, user_gram, items.T @ items, regularization, n_users, n_items))
         if step == iterations or _settled(losses, tol):
             break

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -43,9 +44,10 @@ def index_log(log: DataFrame) -> IndexedLog:
     """
     counted = log.groupBy(PERSON, FEATURE).agg(F.count(F.lit(1)).alias("n"))
     pairs = store(counted, "pairs").df
-    return IndexedLog(
-        pairs, build_key_index(pairs, PERSON, USER), build_key_index(pairs, FEATURE, ITEM)
-    )
+    with ThreadPoolExecutor(2) as pool:  # two independent sets of jobs
+        persons = pool.submit(build_key_index, pairs, PERSON, USER)
+        features = pool.submit(build_key_index, pairs, FEATURE, ITEM)
+        return IndexedLog(pairs, persons.result(), features.result())
 
 
 def _repeat(df: DataFrame, count: str, block: int) -> DataFrame:

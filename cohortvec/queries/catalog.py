@@ -487,7 +487,6 @@ def _(spark, folder):
     return similarity.score_features(*_similarity_inputs(spark, folder), measure="euclidean")
 
 
-# equal vectors must tie in both engines, so ranks are taken over rounded scores
 _RANKED = """,
 ranked AS (SELECT feature_name, referential, score,
                   CAST(rank() OVER (PARTITION BY referential ORDER BY score DESC) AS BIGINT) AS rank FROM sims)
@@ -564,7 +563,8 @@ def _(spark, folder):
 
 @query("threshold_items", oracle("ratings_pred", f"SELECT * FROM {_listed('ratings_pred', 'prediction DESC, itemID', 'prediction >= 25')} l"))
 def _(spark, folder):
-    return ranking.threshold_items(view(spark, folder, "ratings_pred"), 25, score="prediction")
+    predicted = store(view(spark, folder, "ratings_pred"), "predicted").df
+    return ranking.threshold_items(predicted, 25, score="prediction")
 
 
 def _ranking_oracle(order: str, where: str, cut: str, k: int) -> str:
@@ -603,9 +603,9 @@ def _(spark, folder):
 
 @query("ranking_metrics_by_threshold", _ranking_oracle("prediction DESC, itemID", "prediction >= 25", "TRUE", 10))
 def _(spark, folder):
-    return ranking.ranking_metrics(
-        view(spark, folder, "ratings_kept"), view(spark, folder, "ratings_pred"), method="by_threshold", threshold=25
-    )
+    kept = store(view(spark, folder, "ratings_kept"), "kept").df
+    predicted = store(view(spark, folder, "ratings_pred"), "predicted").df
+    return ranking.ranking_metrics(kept, predicted, method="by_threshold", threshold=25)
 
 
 @query(
@@ -625,7 +625,8 @@ FROM (SELECT unnest(generate_series(0, (SELECT n FROM longest))) AS k) c LEFT JO
 GROUP BY k""",
 )
 def _(spark, folder):
-    return recall.recall_curve(view(spark, folder, "recall_lists"), view(spark, folder, "recall_targets"))
+    lists = store(view(spark, folder, "recall_lists"), "lists").df
+    return recall.recall_curve(lists, store(view(spark, folder, "recall_targets"), "targets").df)
 
 
 # --- diversity --------------------------------------------------------------
