@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import Stored, store
@@ -65,18 +65,15 @@ def connected_groups(
     """
     clean = pairs.select(F.col(first).alias("a"), F.col(second).alias("b")).dropna()
     loops = clean.filter(F.col("a") == F.col("b")).select(F.col("a").alias("node"))
-    current = store(
+    current, state = _store_edges(
         clean.filter(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct(),
-        "edges",
+        .distinct()
     )
-    state = _fingerprint(current)
-    while state[0]:
-        large = store(_attach_larger(current.df, state[0]).distinct(), "edges")
-        # this step adds no edges, so the old number still bounds the hot nodes
-        small = store(_attach_smaller(large.df, state[0]).distinct(), "edges")
-        new_state = _fingerprint(small)
+    while state["n"]:
+        large = store(_attach_larger(current.df, state["n"]).distinct(), "edges")
+        # neither step adds edges, so the old number still bounds the hot nodes
+        small, new_state = _store_edges(_attach_smaller(large.df, state["n"]).distinct())
         large.discard()
         current.discard()
         current = small
@@ -91,13 +88,16 @@ def connected_groups(
     return members.unionByName(roots.distinct()).unionByName(alone).distinct()
 
 
-def _fingerprint(edges: Stored) -> tuple:
-    row = edges.df.agg(
+def _store_edges(edges: DataFrame) -> tuple[Stored, dict]:
+    """Write the edges; their number and fingerprint come with the same job."""
+    seen = Observation()
+    observed = edges.observe(
+        seen,
         F.count(F.lit(1)).alias("n"),
         F.bit_xor(F.xxhash64("u", "v")).alias("x"),
         F.sum((F.xxhash64("v", "u") / F.lit(2**32)).cast("bigint")).alias("s"),
-    ).first()
-    return row["n"], row["x"], row["s"]
+    )
+    return store(observed, "edges"), seen.get
 
 
 def group_representatives(
