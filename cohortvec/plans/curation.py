@@ -26,9 +26,15 @@ def first_concepts(concepts: DataFrame, vocabulary: str, order: str = "line_no")
 def attach_concept(
     relations: DataFrame, concepts: DataFrame, vocabulary: str, key: str, names: dict[str, str], order: str = "line_no"
 ) -> DataFrame:
-    """Left join of ``key`` with the first concept of a vocabulary; ``names`` maps columns."""
+    """Left join of ``key`` with the first concept of a vocabulary; ``names`` maps columns.
+
+    The concepts are written first: Spark then broadcasts them if their true
+    size allows, and otherwise can split a code with very many relations at
+    run time, which it does only when both join sides are plain shuffles.
+    """
     first = first_concepts(concepts.select("CUI", "SAB", order, *names), vocabulary, order)
-    return relations.join(first.select(F.col("CUI").alias(key), *[F.col(c).alias(n) for c, n in names.items()]), key, "left")
+    named = first.select(F.col("CUI").alias(key), *[F.col(c).alias(n) for c, n in names.items()])
+    return relations.join(store(named, "concepts").df, key, "left")
 
 
 def may_treat(concepts: DataFrame, relationships: DataFrame, vocabulary: str, order: str = "line_no") -> DataFrame:
@@ -78,7 +84,7 @@ def fan_out_to_forms(rows: DataFrame, forms: DataFrame) -> DataFrame:
 
 def all_rows_of(rows: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
     """Rows whose ``key`` occurs in ``chosen``; a missing key matches a missing key."""
-    keys = chosen.select(F.col(key).alias("_key")).distinct()
+    keys = store(chosen.select(F.col(key).alias("_key")).distinct(), "chosen").df
     return rows.join(keys, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
 
 
@@ -118,9 +124,8 @@ def curated_dataset(
     rows = store(treated, "treatments").df
     forms = store(form_pairs(relationships).select(order, "CUI1", "CUI2"), "form-pairs").df
     groups = connected_groups(forms)
-    chosen = group_representatives(forms, groups, order=order).select(
-        F.col("representative").alias("Compound_CUI")
-    )
+    representatives = group_representatives(forms, groups, order=order)
+    chosen = store(representatives.select(F.col("representative").alias("Compound_CUI")), "representatives").df
     selected = rows.filter("selected_diseases_indication")
     kept = selected.join(chosen, "Compound_CUI", "left_semi")
     if keep_unpaired:

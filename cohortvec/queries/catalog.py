@@ -16,8 +16,8 @@ from ..functions.vectors import cosine_similarity, euclidean_similarity
 from ..operators import components, cooccurrence, factorization, firsts, indexing, pairing, ratings, similarity
 from ..operators.evaluation import diversity, ranking, rating, recall
 from ..plans import curation, training
-from ..sources.events import scan_interactions
 from ..session import apply_settings, store
+from ..sources.events import scan_interactions, synthetic_events
 from .inputs import oracle, view
 
 QUERIES: dict = {}
@@ -55,6 +55,24 @@ def _(spark, folder):
     return scan_interactions(spark, f"{folder}/events.parquet", person="user_id", feature="event_type")
 
 
+@query(
+    "synthetic_events",
+    """WITH drawn AS (
+  SELECT CAST(floor(('0x' || substr(md5('42:person' || CAST(i AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0
+              * (SELECT COUNT(*) FROM customer)) AS BIGINT) AS person_id,
+         CAST(floor(('0x' || substr(md5('42:feature' || CAST(i AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0
+              * (SELECT COUNT(DISTINCT p_brand) FROM part)) AS BIGINT) AS item
+  FROM (SELECT unnest(generate_series(0, 20 * (SELECT COUNT(*) FROM customer) - 1)) AS i) n),
+f AS (SELECT p_brand AS feature_name, row_number() OVER (ORDER BY p_brand) - 1 AS item
+      FROM (SELECT DISTINCT p_brand FROM part) d)
+SELECT person_id, feature_name FROM drawn JOIN f ON drawn.item = f.item""",
+)
+def _(spark, folder):
+    customers = spark.read.parquet(f"{folder}/customer.parquet").count()
+    brands = spark.read.parquet(f"{folder}/part.parquet").select(F.col("p_brand").alias("feature_name"))
+    return synthetic_events(spark, brands, customers, 20)
+
+
 _INDEXED_BRAND = """,
 p AS (SELECT person_id, row_number() OVER (ORDER BY person_id) - 1 AS "user"
       FROM (SELECT DISTINCT person_id FROM interactions_brand) d),
@@ -678,7 +696,7 @@ _HISTORY, _BOTH = oracle("history", "").rstrip(), oracle(("history", "reco"), ""
 
 def _similarity(spark, folder):
     history = view(spark, folder, "history")
-    return store(diversity.cooccurrence_similarity(store(history, "history").df), "item-similarity").df
+    return diversity.cooccurrence_similarity(store(history, "history").df)
 
 
 def _reco(spark, folder):

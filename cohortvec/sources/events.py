@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ..functions.hashing import hash_fraction
+from ..operators.indexing import BROADCAST_BYTES, build_key_index
+
 PERSON, FEATURE = "person_id", "feature_name"
 
 
@@ -18,20 +21,26 @@ def scan_interactions(spark: SparkSession, path: str, person: str = PERSON, feat
 
 def synthetic_events(
     spark: SparkSession,
-    features: list[str],
+    features: DataFrame | list[str],
     persons: int = 10_000,
     events_per_person: int = 20,
     seed: int = 42,
 ) -> DataFrame:
     """Uniform random log for trials: ``persons * events_per_person`` rows.
 
-    Each row is drawn by a hash of its number, so the table does not depend on
-    partitioning.
+    ``features`` is a list of names or a DataFrame with ``feature_name``.  Each
+    row is drawn by a hash of its number, so the table does not depend on
+    partitioning.  Runs jobs to number the features.
     """
-    rows = spark.range(persons * events_per_person)
-    draw = lambda salt, size: F.pmod(F.xxhash64(F.lit(f"{seed}:{salt}"), F.col("id")), F.lit(size))
-    names = F.array(*[F.lit(f) for f in features])
-    return rows.select(
-        draw("person", persons).cast("long").alias(PERSON),
-        F.get(names, draw("feature", len(features)).cast("int")).alias(FEATURE),
+    if not isinstance(features, DataFrame):
+        features = spark.createDataFrame([(f,) for f in features], f"{FEATURE} string")
+    index = build_key_index(features, FEATURE, "_item")
+    draw = lambda name, size: F.floor(
+        hash_fraction(F.concat(F.lit(name), F.col("id")), seed) * F.lit(size)
+    ).cast("bigint")
+    drawn = spark.range(persons * events_per_person).select(
+        draw("person", persons).alias(PERSON), draw("feature", index.keys).alias("_item")
     )
+    # drawn evenly, so no number is hot
+    names = F.broadcast(index.pairs) if index.bytes <= BROADCAST_BYTES else index.pairs
+    return drawn.join(names, "_item").select(PERSON, FEATURE)

@@ -1,10 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortvec.operators.components import connected_groups, group_representatives
 from cohortvec.operators.firsts import first_per_key
-from cohortvec.plans.curation import curated_dataset, may_treat
+from cohortvec.plans.curation import attach_concept, curated_dataset, may_treat
 
 from .conftest import as_set
 
@@ -109,6 +110,40 @@ def test_may_treat(thesaurus):
     assert rows["D1", "R4"].Indication_MeSH_SCUI == "M1"
 
 
+def test_hot_key_of_a_lookup_is_split(spark, tmp_path):
+    """A third of the relations name one compound: its partition is cut at run time."""
+    path = str(tmp_path / "relations")
+    code = F.when(F.col("id") % 3 == 0, "R0").otherwise(F.concat(F.lit("R"), F.col("id") % 5000))
+    spark.range(600_000).select(code.alias("CUI2"), F.sha2(F.col("id").cast("string"), 256).alias("note")).write.parquet(path)
+    concepts = spark.range(5000).select(
+        F.col("id").alias("line_no"),
+        F.concat(F.lit("R"), F.col("id")).alias("CUI"),
+        F.lit("RXNORM").alias("SAB"),
+        F.col("id").cast("string").alias("STR"),
+    )
+    changed = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1MB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1MB",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {k: spark.conf.get(k, None) for k in changed}
+    try:
+        for key, value in changed.items():
+            spark.conf.set(key, value)
+        joined = attach_concept(spark.read.parquet(path), concepts, "RXNORM", "CUI2", {"STR": "label"})
+        assert joined.filter(F.col("label") == "0").count() >= 200_000
+        counted = joined.groupBy("CUI2").count()
+        assert counted.filter("CUI2 = 'R0'").first()["count"] >= 200_000
+        rows = joined.collect()
+        assert len(rows) == 600_000
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def test_curated_dataset(thesaurus):
     rows = curated_dataset(*thesaurus, ["C15"]).collect()
     got = sorted((r.Compound_CUI, r.CLEAN_ICD10CM_CODE, r.Compound_RXNORM_SCUI, r.selected_diseases_indication) for r in rows)
