@@ -73,9 +73,28 @@ def solve_rows(target: np.ndarray, gram: np.ndarray) -> np.ndarray:
     return columns.T
 
 
-def start_vector(item: int, rank: int, scale: float, seed: int) -> np.ndarray:
-    """Random start of one item's vector: the same on every run and cluster."""
-    return np.abs(np.random.default_rng([seed, int(item)]).standard_normal(rank)) * scale
+# Increment and multipliers of the public SplitMix64 generator.
+MIX_STEP, MIX_FIRST, MIX_SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def start_vectors(items: np.ndarray, rank: int, scale: float, seed: int) -> np.ndarray:
+    """Half-normal random start of each item's vector.
+
+    A number depends only on seed, item and dimension, so every run, batch and
+    cluster starts from the same factor.
+    """
+
+    def uniform(stream: int) -> np.ndarray:
+        cell = np.asarray(items, dtype=np.uint64)[:, None] * np.uint64(rank) + np.arange(rank, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            x = (cell * np.uint64(2) + np.uint64(stream + 1)) * np.uint64(MIX_STEP) + np.uint64(seed) * np.uint64(MIX_SECOND)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX_FIRST)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX_SECOND)
+            x ^= x >> np.uint64(31)
+        return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+
+    normal = np.sqrt(-2.0 * np.log(uniform(0))) * np.cos(2.0 * np.pi * uniform(1))
+    return np.abs(normal) * scale
 
 
 @dataclass(frozen=True)
@@ -165,6 +184,12 @@ def _solved_chunks(batch: pa.RecordBatch, factor: np.ndarray, gram: np.ndarray):
         row = stop
 
 
+def _lists(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as an Arrow list column."""
+    flat = pa.array(np.ascontiguousarray(rows, dtype=np.float64).ravel())
+    return pa.FixedSizeListArray.from_arrays(flat, rows.shape[1]).cast(pa.list_(pa.float64()))
+
+
 def _value_columns(rank: int) -> list[str]:
     return [f"v{j}" for j in range(rank)]
 
@@ -265,9 +290,8 @@ def _solve_frame(sums: DataFrame, key: str, gram: np.ndarray, carry: list[str])
                 continue
             target = np.column_stack([batch.column(v).to_numpy(zero_copy_only=False) for v in _value_columns(rank)])
             w = solve_rows(target, gram)
-            vectors = pa.FixedSizeListArray.from_arrays(pa.array(w.ravel()), rank).cast(pa.list_(pa.float64()))
             fitted = pa.array((w * target).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], vectors, fitted], [*kept, VECTOR, "fitted"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], _lists(w), fitted], [*kept, VECTOR, "fitted"])
 
     types = {f.name: f.dataType.simpleString() for f in sums.schema.fields}
     schema = ", ".join(f"{c} {types[c]}" for c in kept) + f", {VECTOR} array<double>, fitted double"
@@ -295,11 +319,9 @@ def _fit_joined(data: RatingCells, rank: int, alpha: float, iterations: int, tol
 
     def start(batches):
         for batch in batches:
-            ids = batch.column(ITEM).to_pylist()
-            vectors = [start_vector(i, rank, scale, seed).tolist() for i in ids]
+            drawn = start_vectors(batch.column(ITEM).to_numpy(), rank, scale, seed)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(ITEM), batch.column("_rows"), pa.array(vectors, pa.list_(pa.float64()))],
-                [ITEM, "_rows", VECTOR],
+                [batch.column(ITEM), batch.column("_rows"), _lists(drawn)], [ITEM, "_rows", VECTOR]
             )
 
     items = store(item_rows.mapInArrow(start, f"{ITEM} long, _rows long, {VECTOR} array<double>"), "items")
@@ -355,7 +377,7 @@ def fit(
         return Factorization(items, rank, regularization, losses)
     rows, n_users, squares_x = data.rows, facts.users, facts.squares
     scale = float(np.sqrt(facts.mean / rank))
-    items = np.array([start_vector(i, rank, scale, seed) for i in range(n_items)])
+    items = start_vectors(np.arange(n_items), rank, scale, seed)
     losses: list[float] = []
     for step in range(iterations + 1):
         crossed, user_gram, fitted = _round_broadcast(rows, data.parts, items, regularization)
@@ -363,9 +385,7 @@ def fit(
         if step == iterations or _settled(losses, tol):
             break
         items = solve_rows(crossed, user_gram + regularization * n_users * np.eye(rank))
-    table = pa.table(
-        {ITEM: np.arange(n_items), VECTOR: pa.array(items.tolist(), pa.list_(pa.float64()))}
-    )  # the checked model size
+    table = pa.table({ITEM: np.arange(n_items), VECTOR: _lists(items)})  # the checked model size
     return Factorization(rows.sparkSession.createDataFrame(table), rank, regularization, losses)
 
 
@@ -394,8 +414,7 @@ def fold_in(
             if not batch.num_rows:
                 continue
             w = np.vstack([chunk[1] for chunk in _solved_chunks(batch, shared.value, gram)])
-            vectors = pa.FixedSizeListArray.from_arrays(pa.array(w.ravel()), rank).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(USER), vectors], [USER, VECTOR])
+            yield pa.RecordBatch.from_arrays([batch.column(USER), _lists(w)], [USER, VECTOR])
 
     user_type = rows.schema[USER].dataType.simpleString()
     return rows.mapInArrow(solve, f"{USER} {user_type}, {VECTOR} array<double>")
