@@ -115,13 +115,22 @@ def naive_cooccurrence(events):
     return sorted((a, b, n) for (a, b), n in out.items())
 
 
-@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.tuples(st.integers(0, 4), st.sampled_from("abcdef")), min_size=1, max_size=40), st.sampled_from([1, 3, 4096]))
-def test_cooccurrence_equals_counting(table, events, tile_rows):
-    got = cooc.cooccurrence(table(events, LOG), tile_rows=tile_rows)
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 4), st.sampled_from("abcdef")), min_size=1, max_size=40), st.sampled_from([(1, 0), (3, 0), (4096, 0), (4096, 4096)]))
+def test_cooccurrence_equals_counting(table, events, limits):
+    got = cooc.cooccurrence(table(events, LOG), tile_rows=limits[0], array_items=limits[1])
     assert as_set(got) == naive_cooccurrence(events)
 
 
+def test_both_ways_to_count_pairs_agree(spark):
+    log = spark.range(3000).select(
+        (F.col("id") % 40).alias("person_id"), F.concat(F.lit("f"), F.xxhash64("id") % 60).alias("feature_name")
+    )
+    joined = as_set(cooc.cooccurrence(log, array_items=0))
+    assert as_set(cooc.cooccurrence(log)) == joined
+    assert as_set(cooc.cooccurrence(log, pairs_at_once=50)) == joined
+
+
 def test_cooccurrence_forms(log):
     pairs = cooc.cooccurrence(log)
     assert as_set(pairs) == [("x", "x", 4), ("x", "y", 2), ("y", "x", 2), ("y", "y", 2), ("z", "z", 1)]
