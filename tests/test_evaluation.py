@@ -220,3 +220,39 @@ def test_recall_curve_equals_list_removal(spark, block):
     got = as_set(recall_curve(spark.createDataFrame(lists, LISTS), spark.createDataFrame(targets, TARGETS), block=block))
     assert [k for k, _ in got] == [k for k, _ in want]
     assert [r for _, r in got] == pytest.approx([r for _, r in want])
+
+
+def test_evaluators(table, history):
+    from cohortvec.operators.evaluation.evaluators import DiversityEvaluation, RankingEvaluation, RatingEvaluation
+
+    true = table([(1, 1, 2.0), (1, 2, 3.5), (1, 3, 4.0)], TRUE)
+    pred = table([(1, 1, 1.0), (1, 2, 3.0), (1, 3, 5.0)], PRED)
+    rated = RatingEvaluation(true, pred)
+    assert (rated.rmse(), rated.mae()) == pytest.approx((0.8660254, 0.8333333))
+    assert rated.rsquared() == pytest.approx(-1 / 26) and rated.exp_var() == pytest.approx(0.0, abs=1e-9)
+    ranked = RankingEvaluation(true, pred, k=2)
+    assert (ranked.precision_at_k(), ranked.recall_at_k(), ranked.ndcg_at_k()) == pytest.approx((1.0, 2 / 3, 1.0))
+    assert ranked.map_at_k() == pytest.approx(2 / 3)
+
+    train, reco, tf, rf = history
+    both = DiversityEvaluation(tf, rf, relevance="relevance")
+    sim = D.cooccurrence_similarity(tf)
+    per_item = D.user_item_serendipity(tf, rf, sim, relevance="relevance")
+    close(both.user_item_serendipity(), {tuple(r)[:2]: r[2] for r in per_item.collect()})
+    assert both.serendipity() == pytest.approx(D.serendipity(per_item).first()[0])
+    assert both.user_serendipity().count() == D.user_serendipity(per_item).count()
+    assert both.diversity() == pytest.approx(D.diversity(rf, sim).first()[0])
+    assert both.user_diversity().count() == D.user_diversity(rf, sim).count()
+    assert both.novelty() == pytest.approx(D.novelty(tf, rf).first()[0])
+    assert both.historical_item_novelty().count() == len({i for _, i in train})
+    assert both.catalog_coverage() == pytest.approx(len({i for _, i, _ in reco}) / len({i for _, i in train}))
+    assert both.distributional_coverage() > 0
+    with pytest.raises(ValueError):
+        DiversityEvaluation(tf, tf)
+    with pytest.raises(ValueError):
+        DiversityEvaluation(tf, rf, measure="item_feature_vector")
+    with pytest.raises(ValueError):
+        DiversityEvaluation(tf, rf, measure="other")
+    vectors = table([(i, [1.0, float(i)]) for i in range(14)], "itemID long, features array<double>")
+    by_vector = DiversityEvaluation(tf, rf, vectors, "item_feature_vector")
+    assert 0 <= by_vector.diversity() <= 1
