@@ -72,7 +72,9 @@ def build_key_index(df: DataFrame, key: str, index: str) -> KeyIndex:
         starts[b["block"]] = keys
         keys += b["keys"]
     position = F.col("_slot").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    start = F.get(F.lit(starts).cast("array<bigint>"), F.shiftright("_slot", ROW_BITS).cast("int"))
+    # one literal whatever the number of partitions: folded before the scan
+    per_block = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>")
+    start = F.get(per_block, F.shiftright("_slot", ROW_BITS).cast("int"))
     indexed = table.select(key, (start + position).alias(index), "_rows")
     return KeyIndex(
         indexed, key, index, keys, sum(b["rows"] for b in blocks), sum(b["bytes"] for b in blocks)
@@ -85,7 +87,7 @@ def dense_index(df: DataFrame, key: str, index: str) -> DataFrame:
 
 
 def attach_index(
-    facts: DataFrame, index: KeyIndex, spread: list[str], broadcast_bytes: int = BROADCAST_BYTES
+    facts: DataFrame, index: KeyIndex, spread: list[str], broadcast_bytes: int | None = None
 ) -> DataFrame:
     """Inner join of ``facts`` with an index built over the same rows.
 
@@ -93,7 +95,7 @@ def attach_index(
     sides shuffle, and each hot key is cut into pieces by a hash of the
     ``spread`` columns, with one copy of its index row per piece.
     """
-    if index.bytes <= broadcast_bytes:
+    if index.bytes <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes):
         return facts.join(F.broadcast(index.pairs), index.key)
     return salted_join(facts, index.table, index.key, index.rows, spread)
 

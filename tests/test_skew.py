@@ -1,0 +1,75 @@
+"""A person and a feature with a third of the log, and nothing small enough to broadcast."""
+
+import random
+from collections import Counter
+
+import pytest
+
+from cohortvec.operators import cooccurrence, indexing, pairing, ratings
+from cohortvec.operators.evaluation import diversity
+from cohortvec.sources import events
+
+from .conftest import as_set
+
+
+@pytest.fixture(params=[False, True], ids=["broadcast", "shuffle"])
+def size_limit(request, monkeypatch):
+    if request.param:
+        for module in (indexing, ratings, cooccurrence, pairing, diversity, events):
+            monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
+
+
+@pytest.fixture(scope="module")
+def log():
+    rng = random.Random(8)
+    rows = [(0, f"f{i % 60}") for i in range(1000)]
+    rows += [(rng.randrange(1, 300), "f0") for _ in range(1000)]
+    rows += [(rng.randrange(1, 300), f"f{rng.randrange(60)}") for _ in range(1000)]
+    return rows
+
+
+def test_skewed_log(spark, log, size_limit):
+    df = spark.createDataFrame(log, "person_id long, feature_name string")
+    person = {p: i for i, p in enumerate(sorted({p for p, _ in log}))}
+    feature = {f: i for i, f in enumerate(sorted({f for _, f in log}))}
+    cells = Counter((person[p], feature[f]) for p, f in log)
+    indexed = ratings.sparse_ratings(df)
+    assert Counter(tuple(r)[:2] for r in indexed.ratings.collect()) == cells
+    assert as_set(ratings.sparse_ratings(df, "sum").ratings) == sorted((u, i, n) for (u, i), n in cells.items())
+
+    grid = {(u, i): cells.get((u, i), 0) for u in person.values() for i in feature.values()}
+    dense = ratings.dense_ratings(df, block_size=25).ratings
+    assert as_set(dense) == sorted((u, i, n) for (u, i), n in grid.items())
+
+    train, test = ratings.split_by_person(indexed.ratings, indexed.persons, 0.7)
+    assert train.count() + test.count() == len(log)
+    sizes = Counter(r.user for side in (train, test) for r in side.collect())
+    assert sum(sizes.values()) == len(log)
+
+
+@pytest.mark.parametrize("array_items", [0, 4096])
+def test_skewed_pairs(spark, log, size_limit, array_items):
+    df = spark.createDataFrame(log, "person_id long, feature_name string")
+    counts = Counter(log)
+    per_person = {}
+    for (p, f), n in counts.items():
+        per_person.setdefault(p, []).append((f, n))
+    want = Counter()
+    for mine in per_person.values():
+        for a, x in mine:
+            for b, y in mine:
+                want[a, b] += x * y
+    got = cooccurrence.cooccurrence(df, array_items=array_items, tile_rows=16)
+    assert {(a, b): n for a, b, n in got.collect()} == want
+    table = cooccurrence.cooccurrence_ratings(got)
+    assert table.ratings.count() == len(want)
+
+    train = df.distinct().toDF("userID", "itemID")
+    users = Counter(f for _, f in counts)
+    sims = {(r.i1, r.i2): r.sim for r in diversity.cooccurrence_similarity(train, array_items=array_items, tile_rows=16).collect()}
+    both = Counter()
+    for mine in per_person.values():
+        names = sorted(f for f, _ in mine)
+        both.update((a, b) for i, a in enumerate(names) for b in names[i:])
+    assert sims.keys() == both.keys()
+    assert all(abs(sims[k] - n / (users[k[0]] * users[k[1]]) ** 0.5) < 1e-9 for k, n in both.items())
