@@ -18,7 +18,7 @@ from ..operators.evaluation import diversity, ranking, rating, recall
 from ..plans import curation, training
 from ..session import apply_settings, store
 from ..sources.events import scan_interactions, synthetic_events
-from .inputs import oracle, view
+from .inputs import VIEWS, oracle, view
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -694,18 +694,22 @@ per_user AS (SELECT userID, AVG(user_item_serendipity) AS user_serendipity FROM
 _HISTORY, _BOTH = oracle("history", "").rstrip(), oracle(("history", "reco"), "").rstrip()
 
 
-def _similarity(spark, folder):
-    history = view(spark, folder, "history")
-    return diversity.cooccurrence_similarity(store(history, "history").df)
+def _history_and_reco(spark, folder):
+    """Both tables written once; recommendations are derived from the written history."""
+    history = store(view(spark, folder, "history"), "history").df
+    view(spark, folder, "candidates")
+    history.createOrReplaceTempView("history")
+    return history, store(spark.sql(VIEWS["reco"]), "reco").df
 
 
-def _reco(spark, folder):
-    return store(view(spark, folder, "reco"), "reco").df
+def _reco_and_similarity(spark, folder):
+    history, reco = _history_and_reco(spark, folder)
+    return reco, diversity.cooccurrence_similarity(history)
 
 
 @query("cooccurrence_similarity", _HISTORY + _SIM + "SELECT i1, i2, round(sim, 6) AS sim FROM sim")
 def _(spark, folder):
-    return _similarity(spark, folder)
+    return diversity.cooccurrence_similarity(store(view(spark, folder, "history"), "history").df)
 
 
 @query(
@@ -721,17 +725,17 @@ def _(spark, folder):
 
 @query("intralist_similarity", _BOTH + _INTRALIST + "SELECT userID, round(avg_il_sim, 6) AS avg_il_sim FROM inner_sim")
 def _(spark, folder):
-    return diversity.intralist_similarity(_reco(spark, folder), _similarity(spark, folder))
+    return diversity.intralist_similarity(*_reco_and_similarity(spark, folder))
 
 
 @query("user_diversity", _BOTH + _INTRALIST + "SELECT userID, round(1 - avg_il_sim, 6) AS user_diversity FROM inner_sim")
 def _(spark, folder):
-    return diversity.user_diversity(_reco(spark, folder), _similarity(spark, folder))
+    return diversity.user_diversity(*_reco_and_similarity(spark, folder))
 
 
 @query("diversity", _BOTH + _INTRALIST + "SELECT round(AVG(1 - avg_il_sim), 6) AS diversity FROM inner_sim")
 def _(spark, folder):
-    return diversity.diversity(_reco(spark, folder), _similarity(spark, folder))
+    return diversity.diversity(*_reco_and_similarity(spark, folder))
 
 
 _NOVELTY = """,
@@ -752,14 +756,13 @@ def _(spark, folder):
 FROM reco JOIN nov ON reco.itemID = nov.itemID""",
 )
 def _(spark, folder):
-    return diversity.novelty(view(spark, folder, "history"), view(spark, folder, "reco"))
+    return diversity.novelty(*_history_and_reco(spark, folder))
 
 
 def _per_item(spark, folder):
-    history = store(view(spark, folder, "history"), "history").df
-    return diversity.user_item_serendipity(
-        history, _reco(spark, folder), _similarity(spark, folder), relevance="relevance"
-    )
+    history, reco = _history_and_reco(spark, folder)
+    similarity_table = diversity.cooccurrence_similarity(history)
+    return diversity.user_item_serendipity(history, reco, similarity_table, relevance="relevance")
 
 
 @query(
@@ -787,7 +790,7 @@ def _(spark, folder):
 / (SELECT COUNT(DISTINCT itemID) FROM history), 6) AS catalog_coverage""",
 )
 def _(spark, folder):
-    return diversity.catalog_coverage(view(spark, folder, "history"), view(spark, folder, "reco"))
+    return diversity.catalog_coverage(*_history_and_reco(spark, folder))
 
 
 @query(
