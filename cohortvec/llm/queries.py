@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .exact_dedup import exact_duplicates
+from .packing import pack_documents
 from .substring_dedup import remove_repeated_windows
 
 
@@ -19,7 +21,28 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = pack_documents(_read(spark, folder, "documents"))
+    return packed.select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_duplicates(_read(spark, folder, "documents"))
+
+
+QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op4_packing": op4_packing,
+    "op8_exact_dedup": op8_exact_dedup,
+}
 
 ORACLES = {
     # every window's first start by text; a later start takes its 20 words
@@ -36,4 +59,8 @@ ORACLES = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
+    "op8_exact_dedup": """
+        SELECT doc_id, MAX(doc_id) OVER g AS keep_id, COUNT(*) OVER g AS group_size,
+               doc_id = MAX(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
 }
