@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_conversations, read_back
 from .exact_dedup import exact_duplicates
+from .language_id import fit_languages, predict_language
 from .packing import pack_documents
 from .substring_dedup import remove_repeated_windows
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -21,6 +24,19 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Conversation -7 of the chat query: both sides say what other templates read as control.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame(
+        [(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)],
+        "conv_id bigint, turn bigint, role string, text string",
+    )
+    return read_back(format_conversations(turns.unionByName(planted)))
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = pack_documents(_read(spark, folder, "documents"))
     return packed.select(
@@ -34,14 +50,38 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _fold(folds: int) -> Column:
+    """Fold of a document; a null id is in none."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(_fold(5) == 0, F.lit(True))
+    model = fit_languages(docs.filter(~held_out))
+    named = predict_language(docs.select("doc_id", "text"), model)
+    return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(_read(spark, folder, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.coalesce(_fold(4) == 2, F.lit(True))
+    model = fit_toxicity(docs, _read(spark, folder, "labels").filter(~held_out))
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_chat_format": op3_chat_format,
     "op4_packing": op4_packing,
+    "op6_language_id": op6_language_id,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {
@@ -59,6 +99,22 @@ ORACLES = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
+    # formatted length: 8 + 8 + 8 characters of marks (end: 7 and a line feed), one
+    # more for each control string and each backslash
+    "op3_chat_format": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+                   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        m AS (SELECT *, role = 'assistant' AS learned,
+                     24 + length(role) + length(text)
+                     + len(regexp_extract_all(role, '\\|<\||</?s>|\[/?INST\]|<</?SYS>>'))
+                     + len(regexp_extract_all(text, '\\|<\||</?s>|\[/?INST\]|<</?SYS>>')) AS chars FROM t)
+        SELECT conv_id, COUNT(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(SUM(length(text)) FILTER (learned), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (learned), '')) AS loss_sha256,
+               CAST(SUM(chars) AS BIGINT) AS formatted_chars
+        FROM m GROUP BY conv_id""",
     "op8_exact_dedup": """
         SELECT doc_id, MAX(doc_id) OVER g AS keep_id, COUNT(*) OVER g AS group_size,
                doc_id = MAX(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
