@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat import format_conversations, read_back
 from .exact_dedup import exact_duplicates
+from .jaccard_join import near_duplicate_groups
 from .language_id import fit_languages, predict_language
 from .packing import pack_documents
 from .substring_dedup import remove_repeated_windows
@@ -63,6 +64,10 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return named.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicate_groups(_read(spark, folder, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(_read(spark, folder, "documents"))
 
@@ -80,6 +85,7 @@ QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op4_packing": op4_packing,
     "op6_language_id": op6_language_id,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_toxicity": op10_toxicity,
 }
@@ -115,6 +121,24 @@ ORACLES = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (learned), '')) AS loss_sha256,
                CAST(SUM(chars) AS BIGINT) AS formatted_chars
         FROM m GROUP BY conv_id""",
+    # all pairs that share a shingle, then the links' transitive closure
+    "op7_ngram_jaccard_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        s AS (SELECT DISTINCT doc_id, sh FROM (
+            SELECT doc_id, array_to_string(w[p:p + 4], ' ') AS sh
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0))),
+        n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
+        i AS (SELECT a.doc_id AS x, b.doc_id AS y, COUNT(*) AS i FROM s a JOIN s b ON a.sh = b.sh
+              AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
+              WHERE 100 * i >= 80 * (a.n + b.n - i)),
+        r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.c = l.x)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id
+        FROM d LEFT JOIN n ON n.doc_id = d.doc_id
+        JOIN (SELECT doc_id, MIN(c) AS c FROM r GROUP BY doc_id) m ON m.doc_id = d.doc_id""",
     "op8_exact_dedup": """
         SELECT doc_id, MAX(doc_id) OVER g AS keep_id, COUNT(*) OVER g AS group_size,
                doc_id = MAX(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
