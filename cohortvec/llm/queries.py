@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_conversations, read_back
+from .decontamination import contamination
 from .exact_dedup import exact_duplicates
 from .jaccard_join import near_duplicate_groups
 from .language_id import fit_languages, predict_language
@@ -25,6 +26,18 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 #: Conversation -7 of the chat query: both sides say what other templates read as control.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
@@ -82,6 +95,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_decontamination": op2_decontamination,
     "op3_chat_format": op3_chat_format,
     "op4_packing": op4_packing,
     "op6_language_id": op6_language_id,
@@ -105,6 +119,28 @@ ORACLES = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
+    # all windows of the documents, of every length an item's windows have
+    "op2_decontamination": r"""
+        WITH l AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents
+                   UNION ALL SELECT 'b', item_id, text FROM benchmark),
+        t AS (SELECT kind, id, regexp_extract_all(
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM l),
+        b AS (SELECT DISTINCT id AS item_id, size, array_to_string(w[p:p + size - 1], ' ') AS seq
+              FROM (SELECT id, w, least(len(w), 13) AS size, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS p
+                    FROM t WHERE kind = 'b' AND len(w) > 0)),
+        n AS (SELECT DISTINCT size FROM b),
+        d AS (SELECT id AS doc_id, size, p, array_to_string(w[p:p + size - 1], ' ') AS seq
+              FROM (SELECT id, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM t, n WHERE kind = 'd')),
+        m AS (SELECT d.doc_id, d.p, d.size, b.item_id FROM d JOIN b ON d.seq = b.seq AND d.size = b.size),
+        h AS (SELECT doc_id, COUNT(DISTINCT p) AS n_hit
+              FROM (SELECT doc_id, unnest(range(p, p + size)) AS p FROM m) GROUP BY doc_id),
+        i AS (SELECT doc_id, COUNT(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+              FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
+        SELECT t.id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+               coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM t LEFT JOIN h ON h.doc_id = t.id LEFT JOIN i ON i.doc_id = t.id WHERE kind = 'd'""",
     # formatted length: 8 + 8 + 8 characters of marks (end: 7 and a line feed), one
     # more for each control string and each backslash
     "op3_chat_format": r"""
