@@ -10,11 +10,11 @@ on the documents themselves.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import store
-from .sizes import BROADCAST_ROWS, join_counted
+from .sizes import BROADCAST_ROWS, join_counted, store_counted
 
 WINDOW = 13
 # Rarest words of a window whose posting lists are intersected.
@@ -44,11 +44,6 @@ def _words(text: str) -> Column:
     return F.filter(F.transform(_pieces(text), ascii_lower), lambda w: w != "")
 
 
-def _counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
-    seen = Observation()
-    return store(df.observe(seen, F.count(F.lit(1)).alias("n")), label).df, seen.get["n"]
-
-
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Documents by id and text, so that rows sharing an id stay apart."""
     return docs.select(
@@ -63,7 +58,7 @@ def _benchmark(items: DataFrame, item_col: str, text_col: str) -> tuple[DataFram
     """Items with words: ``item_no, item_id, item_words``; rows with words are counted."""
     rows = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item_id"), F.col(text_col).alias("text"))
     rows = rows.select("item_id", _words("text").alias("item_words")).filter(F.size("item_words") > 0)
-    return _counted(rows.distinct().withColumn("item_no", F.xxhash64("item_id", "item_words")), "items")
+    return store_counted(rows.distinct().withColumn("item_no", F.xxhash64("item_id", "item_words")), "items")
 
 
 def term_postings(docs: DataFrame, terms: DataFrame, n_terms: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -109,7 +104,7 @@ def phrase_matches(
     keyed = _keyed(docs, id_col, text_col)
     bench, n_items = _benchmark(items, item_col, item_text_col)
     places = bench.select("item_no", F.size("item_words").alias("size"), F.posexplode("item_words").alias("at", "term"))
-    terms, n_terms = _counted(places.select("term").distinct(), "terms")
+    terms, n_terms = store_counted(places.select("term").distinct(), "terms")
     counts = store(term_counts(keyed, terms, n_terms, broadcast_rows), "term-counts").df
 
     # windows with the places of their rarest words
@@ -122,16 +117,16 @@ def phrase_matches(
         (F.col("at") >= F.col("begin")) & (F.col("at") < F.col("begin") + F.col("length"))
     )
     by_rarity = F.array_sort(F.collect_list(F.struct("n", "at")))
-    windows, n_windows = _counted(
+    windows, n_windows = store_counted(
         in_window.groupBy("item_no", "begin", "length").agg(F.slice(by_rarity, 1, rarest)["at"].alias("anchors")), "windows"
     )
-    anchors, n_anchors = _counted(
+    anchors, n_anchors = store_counted(
         windows.select("item_no", F.explode("anchors").alias("at")).distinct().join(places, ["item_no", "at"]).select("item_no", "at", "term"),
         "anchors",
     )
 
     # the index: posting lists of the rarest words
-    listed, n_listed = _counted(anchors.select("term").distinct(), "listed-terms")
+    listed, n_listed = store_counted(anchors.select("term").distinct(), "listed-terms")
     postings = store(term_postings(keyed, listed, n_listed, broadcast_rows), "postings").df
     met = (
         join_counted(postings, anchors, n_anchors, ["term"], "inner", broadcast_rows)
@@ -141,7 +136,7 @@ def phrase_matches(
     enough = join_counted(met, windows, n_windows, ["item_no"], "inner", broadcast_rows).filter(
         F.size(F.array_except("anchors", "met")) == 0
     )
-    candidates, n_candidates = _counted(enough.select(*KEY, "item_no", "origin").distinct(), "candidates")
+    candidates, n_candidates = store_counted(enough.select(*KEY, "item_no", "origin").distinct(), "candidates")
 
     # word by word on the documents that have candidates
     texts = join_counted(keyed, candidates, n_candidates, KEY, "inner", broadcast_rows)
@@ -180,10 +175,10 @@ def proximity_matches(
     keyed = _keyed(docs, id_col, text_col)
     bench, _ = _benchmark(items, item_col, item_text_col)
     wanted = bench.select("item_no", "item_id", F.explode(F.array_distinct("item_words")).alias("term"))
-    terms, n_terms = _counted(wanted.select("term").distinct(), "terms")
+    terms, n_terms = store_counted(wanted.select("term").distinct(), "terms")
     postings = store(term_postings(keyed, terms, n_terms, broadcast_rows), "postings").df.distinct()
     counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    listed, n_wanted = _counted(wanted.join(counts, "term", "left").fillna(0, ["n"]), "wanted")
+    listed, n_wanted = store_counted(wanted.join(counts, "term", "left").fillna(0, ["n"]), "wanted")
     rarest = listed.groupBy("item_no").agg(F.min_by("term", F.struct("n", "term")).alias("term"), F.count(F.lit(1)).alias("words"))
     holders = postings.join(rarest, "term").select(*KEY, "item_no", "words").distinct()
     near = join_counted(postings, listed, n_wanted, ["term"], "inner", broadcast_rows).join(holders, [*KEY, "item_no"])
@@ -222,7 +217,7 @@ def contamination(
     new = F.greatest(end - F.greatest("start", F.coalesce("reached", "start")), F.lit(0))
     hits = spans.groupBy(*KEY).agg(F.sum(new).cast("bigint").alias("n_hit"))
     named = found.groupBy(*KEY).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    per_doc, n_docs = _counted(hits.join(named, KEY), "hit-documents")
+    per_doc, n_docs = store_counted(hits.join(named, KEY), "hit-documents")
 
     pieces = _pieces("text")
     last = F.element_at("pieces", -1) == ""

@@ -16,11 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import store
-from .sizes import join_counted
+from .sizes import join_counted, store_counted
 from .words import U64, from_planes, planes
 
 # Fingerprints in one merged part, and quotients (runs) of a part as a power of two.
@@ -139,7 +138,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("fingerprint", F.xxhash64("text"))
-    suspects, n = _counted(repeated_fingerprints(rows), "repeated-fingerprints")
+    suspects, n = store_counted(repeated_fingerprints(rows), "repeated-fingerprints")
     # grouping by the text itself is the byte comparison; copies in one task
     # become one row before the shuffle
     equal = (
@@ -149,7 +148,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .filter(F.col("group_size") > 1)
         .select("fingerprint", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
     )
-    groups, n = _counted(equal, "equal-texts")
+    groups, n = store_counted(equal, "equal-texts")
     hashed = rows.select("doc_id", "fingerprint", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
     grouped = F.col("group_size").isNotNull()
     return join_counted(hashed, groups, n, ["fingerprint", "text_sha256"], "left").select(
@@ -159,10 +158,3 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         (~grouped | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         "text_sha256",
     )
-
-
-def _counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
-    """The written table and its number of rows, from one job."""
-    seen = Observation()
-    table = store(df.observe(seen, F.count(F.lit(1)).alias("n")), label).df
-    return table, seen.get["n"]

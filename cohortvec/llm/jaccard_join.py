@@ -24,12 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_groups
 from ..session import store
-from .sizes import BROADCAST_ROWS, join_counted
+from .sizes import BROADCAST_ROWS, join_counted, store_counted
 from .words import U64, Words, from_planes, groups_of_rows, mix, planes, rolling, split_words
 
 SHINGLE = 5
@@ -235,11 +235,6 @@ def _fit_in_size(nx: Column, ny: Column) -> Column:
     return 100 * F.least(nx, ny) >= PERCENT * F.greatest(nx, ny)
 
 
-def _counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
-    seen = Observation()
-    return store(df.observe(seen, F.count(F.lit(1)).alias("n")), label).df, seen.get["n"]
-
-
 def near_duplicate_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -262,7 +257,7 @@ def near_duplicate_groups(
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     profiles = store(rows.mapInArrow(_profiles(shingle), PROFILE), "set-profiles").df
     of_docs = profiles.filter(F.col("part").isNull())
-    sets, n_sets = _counted(
+    sets, n_sets = store_counted(
         of_docs.filter(F.col("sid").isNotNull())
         .groupBy("sid", "n", "minima", "bitmap")
         .agg(F.min(F.coalesce("doc_id", F.lit(LOWEST))).alias("key"), F.min("doc_id").alias("first_id")),
@@ -280,13 +275,13 @@ def near_duplicate_groups(
             F.zip_with("bitsx", "bitsy", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v
         )
         needed = _needed(F.col("nx"), F.col("ny"))
-        possible, _ = _counted(
+        possible, _ = store_counted(
             joined.filter(_fit_in_size(F.col("nx"), F.col("ny")) & (differing <= F.col("nx") + F.col("ny") - 2 * needed))
             .select("x", "y", needed.alias("needed")),
             f"{label}-pairs",
         )
         wanted = possible.select(F.explode(F.array("x", "y")).alias("sid")).distinct()
-        keys, n_keys = _counted(sets.join(wanted, "sid", "left_semi").select("key"), f"{label}-keys")
+        keys, n_keys = store_counted(sets.join(wanted, "sid", "left_semi").select("key"), f"{label}-keys")
         texts = rows.withColumn("key", F.coalesce("doc_id", F.lit(LOWEST)))
         texts = join_counted(texts, keys.distinct(), n_keys, ["key"], "left_semi", broadcast_rows)
         whole = texts.select("doc_id", "text").mapInArrow(_sets(shingle), "sid bigint, tokens array<bigint>")
@@ -307,7 +302,7 @@ def near_duplicate_groups(
         .distinct()
     )
     first_links = verified(led, "led")
-    first_groups, n_groups = _counted(connected_groups(first_links, "x", "y", "sid", "grp"), "first-groups")
+    first_groups, n_groups = store_counted(connected_groups(first_links, "x", "y", "sid", "grp"), "first-groups")
     grouped = (
         join_counted(sets.select("sid", "n"), first_groups, n_groups, ["sid"], "left", broadcast_rows)
         .select("sid", "n", F.coalesce("grp", "sid").alias("grp"))
@@ -330,7 +325,7 @@ def near_duplicate_groups(
     token = ["bucket", "token"]
     live = live.select(F.shiftright("bucket", bits).alias("ord"), *token, "sid", "place", "n", "grp")
     mixed = live.groupBy(*token).agg(F.min("grp").alias("a"), F.max("grp").alias("b")).filter("a < b").select(*token)
-    met, _ = _counted(live.join(mixed, token, "left_semi"), "postings")
+    met, _ = store_counted(live.join(mixed, token, "left_semi"), "postings")
     in_groups = met.select(*token, "grp").distinct()
     group_pairs = (
         in_groups.withColumnRenamed("grp", "gx")
@@ -356,11 +351,11 @@ def near_duplicate_groups(
     )
     links = first_links.unionByName(verified(crossing, "prefix"))
 
-    groups, n_groups = _counted(connected_groups(links, "x", "y", "sid", "grp"), "groups")
+    groups, n_groups = store_counted(connected_groups(links, "x", "y", "sid", "grp"), "groups")
     keyed = join_counted(sets.select("sid", "first_id"), groups, n_groups, ["sid"], "left", broadcast_rows)
     keyed = keyed.select("sid", "first_id", F.coalesce("grp", "sid").alias("grp"))
     smallest = keyed.groupBy("grp").agg(F.min("first_id").alias("component_id"))
-    named, n_named = _counted(keyed.join(smallest, "grp").select("sid", "component_id"), "components")
+    named, n_named = store_counted(keyed.join(smallest, "grp").select("sid", "component_id"), "components")
     return join_counted(of_docs.select("doc_id", "sid", "n"), named, n_named, ["sid"], "left", broadcast_rows).select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..session import store
+
 # Rows of a few numbers or hashes; about 64 MB as a hash table.
 BROADCAST_ROWS = 500_000
 
@@ -14,3 +16,20 @@ def join_counted(
 ) -> DataFrame:
     """Join with a table of ``rows`` narrow rows: broadcast up to ``limit``, else shuffled."""
     return large.join(F.broadcast(small) if rows <= limit else small, on, how)
+
+
+def store_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """The written table and its number of rows, from one job."""
+    seen = Observation()
+    table = store(df.observe(seen, F.count(F.lit(1)).alias("n")), label).df
+    return table, seen.get["n"]
+
+
+def keep_rows(docs: DataFrame, gone: DataFrame, id_col: str, label: str) -> DataFrame:
+    """``docs`` without the rows whose id is in ``gone`` (one column of that name).
+
+    Few ids are broadcast, so the texts stay where they are; a null id in
+    ``gone`` takes no row away.
+    """
+    ids, n = store_counted(gone.filter(F.col(id_col).isNotNull()).distinct(), label)
+    return join_counted(docs, ids, n, [id_col], "left_anti")
