@@ -148,7 +148,8 @@ def _ftrl(
 
 
 def _sigmoid(v):
-    return 1 / (1 + np.exp(-np.clip(v, -500, 500)))
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-v))
 
 
 def score_toxicity(

@@ -1,0 +1,104 @@
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from cohortvec.llm import decontamination as d
+from cohortvec.llm.decontamination import contamination, phrase_matches, proximity_matches
+
+CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def words(text):
+    return re.findall(CLASS, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def brute(docs, items, window):
+    out = []
+    for doc_id, text in docs:
+        own, hit, found = words(text), set(), set()
+        for item_id, item in items:
+            item = words(item)
+            size = min(window, len(item))
+            windows = {tuple(item[i : i + size]) for i in range(len(item) - size + 1)} if item else set()
+            for p in range(len(own) - size + 1):
+                if tuple(own[p : p + size]) in windows:
+                    hit.update(range(p, p + size))
+                    found.add("null" if item_id is None else str(item_id))
+        out.append((doc_id, len(own), len(hit), len(found), ",".join(sorted(found)), bool(hit) and 20 * len(hit) >= len(own)))
+    return sorted(out, key=repr)
+
+
+def rows_of(df):
+    return sorted(
+        ((r.doc_id, r.n_words, r.n_hit, r.n_items, ",".join(r.item_ids), r.contaminated) for r in df.collect()), key=repr
+    )
+
+
+@pytest.fixture(scope="module")
+def benchmark(spark):
+    rng = random.Random(2)
+    items = [(i, " ".join(rng.choices("abcdefg", k=rng.randrange(1, 25)))) for i in range(2, 12)]
+    items += [(20, None), (21, "!!"), (22, "Été Foo-bar"), (None, "lost item"), (10, "second text of ten"), (23, "Z"), (22, "Été Foo-bar")]
+    return items, spark.createDataFrame([(*r, 1, "x") for r in items], "item_id bigint, text string, place int, item_words string")
+
+
+@pytest.fixture(scope="module")
+def docs(benchmark, long_text):
+    rng = random.Random(9)
+    items, _ = benchmark
+    out = [(1, None), (2, ""), (3, "..."), (4, "?été FOO/BAR."), (5, "Été foo"), (6, "É"), (7, long_text + " lost ITEM"), (8, "z z z")]
+    for i in range(60):
+        text = rng.choices("abcdefghij", k=rng.randrange(60))
+        text.insert(rng.randrange(len(text) + 1), (rng.choice(items)[1] or "").upper())
+        out.append((rng.randrange(100, 130), rng.choice(["", " ", "-"]) + ", ".join(text) + rng.choice(["", "."])))
+    return [*out, out[-1], (None, "lost item"), (None, "second text of ten")]
+
+
+@pytest.mark.parametrize("window", [13, 4])
+def test_against_brute_force(documents, docs, benchmark, window):
+    items, table = benchmark
+    assert rows_of(contamination(documents(docs), table, window=window)) == brute(docs, items, window)
+
+
+def test_joins_by_shuffle_give_the_same(documents, docs, benchmark):
+    items, table = benchmark
+    assert rows_of(contamination(documents(docs), table, broadcast_rows=-1)) == brute(docs, items, 13)
+
+
+def test_empty_tables(documents, benchmark):
+    _, table = benchmark
+    assert contamination(documents([]), table).collect() == []
+    none = contamination(documents([(1, "a b c d")]), table.limit(0))
+    assert rows_of(none) == [(1, 4, 0, 0, "", False)]
+
+
+def test_phrases_have_places(documents, spark):
+    items = spark.createDataFrame([(1, "b c")], "item_id bigint, text string")
+    found = phrase_matches(documents([(1, "a B, c b-c")]), items).collect()
+    assert sorted((r.item_id, r.start, r.length) for r in found) == [("1", 1, 2), ("1", 3, 2)]
+
+
+def test_proximity(documents, spark):
+    items = spark.createDataFrame([(1, "x y z"), (2, "y"), (3, None), (4, "x absent")], "item_id bigint, text string")
+    rows = [(1, "z a x y b b z"), (2, "x b b b y z"), (3, None), (4, "Z y X"), (5, "y")]
+    for span in (3, 4, 6):
+        found = {(r.doc_key, r.item_id, r.start) for r in proximity_matches(documents(rows), items, span).collect()}
+        want = set()
+        for doc_id, text in rows:
+            own = words(text)
+            for item_id, item in ((1, {"x", "y", "z"}), (2, {"y"})):
+                want |= {(doc_id, str(item_id), p) for p in range(len(own)) if own[p] in item and item <= set(own[p : p + span])}
+        assert found == want
+
+
+def test_no_python_in_the_plan(documents, benchmark):
+    _, table = benchmark
+    plan = contamination(documents([(1, "a")]), table)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_lower_case_is_ascii_only(spark):
+    got = spark.createDataFrame([("ÀB",), ("AB",), ("İX",)], "w string").select(d.ascii_lower(F.col("w")).alias("w")).collect()
+    assert [r.w for r in got] == ["Àb", "ab", "İx"]

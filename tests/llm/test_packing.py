@@ -1,0 +1,110 @@
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from cohortvec.llm import packing as p
+from cohortvec.llm.packing import differencing, fill_windows, pack_documents
+
+
+@pytest.fixture(scope="module")
+def reference():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    return lambda text: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+
+
+def check(rows, pieces, encode, capacity):
+    """Every id in exactly one piece, in place; sequences without gaps or overflow."""
+    want = defaultdict(list)
+    for doc_id, text in rows:
+        want[doc_id].append(encode(text))
+    got, sequences = defaultdict(list), defaultdict(list)
+    for r in pieces:
+        ids = np.frombuffer(r.ids, "<u4")
+        assert len(ids) == r.length > 0
+        got[r.doc_id].append((r.start, r.doc_tokens, ids.tolist()))
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert set(got) == set(want)
+    for doc_id, found in got.items():
+        assert sum(len(ids) for _, _, ids in found) == sum(map(len, want[doc_id]))
+        if len(want[doc_id]) == 1:
+            flat = [i for _, _, ids in sorted(found) for i in ids]
+            assert flat == want[doc_id][0]
+            assert [s for s, _, _ in sorted(found)] == list(np.cumsum([0] + [len(i) for *_, i in sorted(found)])[:-1])
+            assert {n for _, n, _ in found} == {len(flat)}
+    for places in sequences.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= capacity
+    return sequences
+
+
+def test_edge_cases(documents, long_text, reference):
+    rows = [(1, "one two"), (2, None), (3, ""), (4, long_text), (None, "no id"), (6, "twin"), (6, "twin"), (7, "É\n ß")]
+    check(rows, pack_documents(documents(rows)).collect(), reference, 2048)
+    assert pack_documents(documents([])).collect() == []
+
+
+def test_little_padding(documents, reference):
+    rows = [(i, "some words here " * (i * 37 % 400)) for i in range(400)]
+    pieces = pack_documents(documents(rows).coalesce(1)).collect()
+    sequences = check(rows, pieces, reference, 2048)
+    total = sum(r.length for r in pieces)
+    assert len(sequences) * 2048 - total <= max(p.MAX_PADDING * total, 2048) + 2048
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["", "It's <|endoftext|> 12,5 € \n\n x", "a" * 3000, " " * 20_000 + "x", "\n" * 6000, "日本語 \U0001f600", "\x00\x7f\\"],
+)
+def test_ids_are_those_of_the_tokenizer(reference, text):
+    assert [*p._encoder(public_tokenizers.path("byte_bpe_50k.json"))(text), 1] == reference(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=60))
+def test_ids_of_any_text(text):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")) if not _cache else _cache[0]
+    _cache[:] = [tokenizer]
+    tokenizer.encode_special_tokens = True
+    encode = p._encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+_cache: list = []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 100), max_size=40), st.integers(1, 9))
+def test_differencing_deals_every_item_once(sizes, windows):
+    found = differencing(np.array(sizes, np.int64), windows)
+    assert len(found) == windows
+    assert sorted(i for w in found for i in w) == list(range(len(sizes)))
+
+
+def test_differencing_balances():
+    assert sorted(sum(w) for w in ([[8, 7, 6, 5, 4][i] for i in w] for w in differencing(np.array([8, 7, 6, 5, 4]), 2))) == [14, 16]
+    sizes = np.random.default_rng(2).integers(1, 2048, 900)
+    sums = [sizes[w].sum() for w in differencing(sizes, 300)]
+    assert max(sums) - min(sums) < 900  # three items a window; dealt in turn it is above 3000
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 63), min_size=1, max_size=60), st.sampled_from([0.0, 0.05, 1.0]))
+def test_windows_hold_every_token_once(sizes, padding):
+    sizes = np.array(sizes, np.int64)
+    windows = fill_windows(sizes, 64, padding)
+    seen = defaultdict(list)
+    for pieces in windows:
+        assert 0 < sum(n for _, _, n in pieces) <= 64
+        for i, start, length in pieces:
+            seen[i] += range(start, start + length)
+    assert {i: sorted(x) for i, x in seen.items()} == {i: list(range(s)) for i, s in enumerate(sizes)}
+    assert (len(windows) - 1) * 64 - sizes.sum() <= padding * sizes.sum()
