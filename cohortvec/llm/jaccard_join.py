@@ -4,17 +4,25 @@ Sets, not documents, are joined: documents with the same shingles share a
 64-bit set number, so copies cost nothing beyond their first.
 
 1. One pass over the texts numbers the sets, counts shingles over all documents
-   in a fixed number of counters, and takes a few minima per set.  Sets that
-   share a minimum are compared with one leader of that minimum, a linear number
-   of pairs; those that match join the larger groups of near copies at once.
+   in a fixed number of counters, and takes a few minima per set.
 2. For each of several global orders (rare counters first, then a different
    hash) a set posts its prefix: the tokens of which two similar sets must share
-   at least one.  Posted tokens that meet in different groups give pairs, which
-   must also fit in size and in the places of the token, under every order.
-3. Pairs left over pass a bitmap bound and are then verified on whole sets.
+   at least one.
+3. Sets that share a minimum are compared with one leader, the one whose posted
+   tokens are shared most: a linear number of pairs that joins the larger groups
+   of near copies at once.
+4. Posted tokens that meet in different groups give pairs, which must also fit
+   in size and in how much they can share from that token on, under every order.
+5. Pairs left over pass a bitmap bound and are then verified on whole sets.
 
 Tokens posted inside one group only give no pairs, so a group of near copies of
 any size costs its postings and one comparison per member.
+
+What two sets can share from a token on: it and what follows it.  Let x be the
+set whose prefix ends earlier in the order.  A token of x's prefix that is also
+in y lies in y's prefix too, so it is posted twice; tokens that only x has
+posted are lost for the pair.  Texts that are variants of one text, each with
+changes of its own, are told apart by this before they are paired.
 """
 
 from __future__ import annotations
@@ -24,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_groups
@@ -39,10 +47,18 @@ MINIMA = 3
 # Counters of shingles, whatever the size of the data: 2 MB of classes.
 COUNTER_BITS = 21
 PART_BITS = 16
-BITMAP = 1024
+# Bits of a set's bitmap, for sets up to that many tokens.
+BITMAPS = {10: 800, 12: 3200, 14: 12_800, 16: math.inf}
 # Postings that meet in one task on average, and postings a task holds back.
-BUCKET_POSTINGS = 1 << 20
-TASK_POSTINGS = 1 << 22
+BUCKET_POSTINGS = 1 << 19
+TASK_POSTINGS = 1 << 19
+# High bytes of tokens and set numbers that postings carry: what agrees in them
+# by chance gives pairs that verification turns down.
+POSTED_BYTES = 6
+# Bits of the order's last prefix key that are kept with a posting.
+LAST_BITS = 16
+# A token posted by more sets is paired around its largest group.
+WIDE_TOKEN = 64
 LOWEST = -(1 << 63)
 
 
@@ -67,9 +83,17 @@ def _set_number(tokens: np.ndarray) -> int:
     return int(mix(np.array([mix(tokens).sum(dtype=U64) + U64(len(tokens))], U64)).view(np.int64)[0])
 
 
+def _bitmap(tokens: np.ndarray) -> list[int]:
+    """A bit for each token; two bitmaps differ in at most as many bits as the sets in tokens."""
+    log = next(b for b, limit in BITMAPS.items() if len(tokens) <= limit)
+    bits = np.zeros(1 << log, bool)
+    bits[(tokens >> U64(64 - log)).astype(np.int64)] = True
+    return np.packbits(bits).view("<i8").tolist()
+
+
 def _each_set(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int | None, np.ndarray]]:
     for batch in batches:
-        for part in groups_of_rows(batch, "text"):
+        for part in groups_of_rows(batch, "text", 1 << 20):
             words = split_words(part.column("text"), lower=True)
             yield from zip(part.column("doc_id").to_pylist(), shingle_sets(words, size), strict=True)
 
@@ -89,10 +113,7 @@ def _profiles(size: int):
         for doc_id, tokens in _each_set(batches, size):
             if len(tokens):
                 minima = [int(mix(tokens ^ s).min().view(np.int64)) for s in salts]
-                bits = np.zeros(BITMAP, bool)
-                bits[(tokens >> U64(64 - 10)).astype(np.int64)] = True
-                bitmap = np.packbits(bits).view("<i8").tolist()
-                rows.append((doc_id, _set_number(tokens), len(tokens), minima, bitmap))
+                rows.append((doc_id, _set_number(tokens), len(tokens), minima, _bitmap(tokens)))
             else:
                 rows.append((doc_id, None, 0, None, None))
             waiting.append(tokens >> U64(64 - COUNTER_BITS))
@@ -140,11 +161,13 @@ def _postings(size: int, classes, buckets_bits: int):
         for order, posted in enumerate(waiting):
             if not posted:
                 continue
-            tokens = np.concatenate([t for t, _ in posted])
-            sids = np.repeat(np.array([s for _, s in posted], np.int64), [len(t) for t, _ in posted])
-            places = np.concatenate([np.arange(len(t)) for t, _ in posted])
+            tokens = np.concatenate([t for t, _, _ in posted])
+            lengths = [len(t) for t, _, _ in posted]
+            sids = np.repeat(np.array([s for _, s, _ in posted], np.int64), lengths)
+            lasts = np.repeat(np.array([k for _, _, k in posted], np.uint16), lengths)
+            places = np.concatenate([np.arange(n, dtype=np.uint32) for n in lengths])
             by_token = np.argsort(tokens)
-            tokens, sids, places = tokens[by_token], sids[by_token], places[by_token]
+            tokens, sids, places, lasts = tokens[by_token], sids[by_token], places[by_token], lasts[by_token]
             edges = np.arange(1, 1 << buckets_bits, dtype=U64) << U64(64 - buckets_bits)
             cuts = [0, *np.searchsorted(tokens, edges), len(tokens)]
             spans = [(b, cuts[b], cuts[b + 1]) for b in range(1 << buckets_bits) if cuts[b] < cuts[b + 1]]
@@ -152,11 +175,13 @@ def _postings(size: int, classes, buckets_bits: int):
                 [
                     pa.array([(order << buckets_bits) + b for b, _, _ in spans], pa.int32()),
                     *(
-                        pa.array([planes(v[x:y]) for _, x, y in spans], pa.binary())
-                        for v in (tokens, sids.view(U64), places)
+                        pa.array([planes(v[x:y], POSTED_BYTES) for _, x, y in spans], pa.binary())
+                        for v in (tokens, sids.view(U64))
                     ),
+                    pa.array([places[x:y].astype("<u4").tobytes() for _, x, y in spans], pa.binary()),
+                    pa.array([lasts[x:y].astype("<u2").tobytes() for _, x, y in spans], pa.binary()),
                 ],
-                ["bucket", "tokens", "sids", "places"],
+                ["bucket", "tokens", "sids", "places", "lasts"],
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +196,9 @@ def _postings(size: int, classes, buckets_bits: int):
             rare = table[(tokens >> U64(64 - COUNTER_BITS)).astype(np.int64)]
             prefix = n - -(-PERCENT * n // 100) + 1
             for posted, salt in zip(waiting, salts, strict=True):
-                order = np.argsort(rare | (mix(tokens ^ salt) >> U64(8)))[:prefix]
-                posted.append((tokens[order], sid))
+                keys = rare | (mix(tokens ^ salt) >> U64(8))
+                order = np.argsort(keys)[:prefix]
+                posted.append((tokens[order], sid, int(keys[order[-1]] >> U64(64 - LAST_BITS))))
                 held += prefix
             if held >= TASK_POSTINGS:
                 yield from handed(waiting)
@@ -184,13 +210,18 @@ def _postings(size: int, classes, buckets_bits: int):
 
 def _shared(table: pa.Table) -> pa.Table:
     """Postings of tokens that at least two sets have posted."""
-    lists = [table.column(c).to_pylist() for c in ("tokens", "sids", "places")]
-    tokens, sids, places = (np.concatenate([from_planes(x) for x in column]) for column in lists)
+    tokens, sids = (
+        np.concatenate([from_planes(x, POSTED_BYTES) for x in table.column(c).to_pylist()]) for c in ("tokens", "sids")
+    )
+    places, lasts = (
+        np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()])
+        for c, kind in (("places", "<u4"), ("lasts", "<u2"))
+    )
     order = np.lexsort((sids, tokens))
-    tokens, sids, places = tokens[order], sids[order], places[order]
+    tokens, sids, places, lasts = tokens[order], sids[order], places[order], lasts[order]
     new = np.ones(len(tokens), bool)  # copies in other tasks have posted the same
     new[1:] = (tokens[1:] != tokens[:-1]) | (sids[1:] != sids[:-1])
-    tokens, sids, places = tokens[new], sids[new], places[new]
+    tokens, sids, places, lasts = tokens[new], sids[new], places[new], lasts[new]
     twin = tokens[1:] == tokens[:-1]
     live = np.zeros(len(tokens), bool)
     live[1:] |= twin
@@ -200,8 +231,9 @@ def _shared(table: pa.Table) -> pa.Table:
         {
             "bucket": pa.array(np.full(live.sum(), bucket, np.int32)),
             "token": pa.array(tokens[live].view(np.int64)),
-            "sid": pa.array(sids[live].view(np.int64)),
+            "posted_sid": pa.array(sids[live].view(np.int64)),
             "place": pa.array(places[live].astype(np.int64)),
+            "last": pa.array(lasts[live].astype(np.int32)),
         }
     )
 
@@ -235,6 +267,11 @@ def _fit_in_size(nx: Column, ny: Column) -> Column:
     return 100 * F.least(nx, ny) >= PERCENT * F.greatest(nx, ny)
 
 
+def _member(met: DataFrame, c: str) -> DataFrame:
+    names = {"grp": "g", "sid": "", "n": "n", "place": "p", "ord": "ord", "rest": "rest", "last": "last"}
+    return met.select("bucket", "token", *[F.col(k).alias(v + c) for k, v in names.items()])
+
+
 def near_duplicate_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -266,47 +303,38 @@ def near_duplicate_groups(
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         """Pairs (x, y) of similar sets, of those that size and bitmap allow."""
-        side = sets.select("sid", "n", "bitmap")
-        joined = pairs
-        for c in ("x", "y"):
-            named = side.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("bitmap").alias(f"bits{c}"))
-            joined = join_counted(joined, named, n_sets, [c], limit=broadcast_rows // 4)
+        asked, n_asked = store_counted(pairs, f"{label}-asked")
+        joined = asked
+        for c, limit in (("x", broadcast_rows // 4), ("y", broadcast_rows // 8)):
+            side = sets.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("bitmap").alias(f"bits{c}"))
+            joined = join_counted(side, joined, n_asked, [c], limit=limit)
         differing = F.aggregate(
             F.zip_with("bitsx", "bitsy", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v
         )
         needed = _needed(F.col("nx"), F.col("ny"))
-        possible, _ = store_counted(
-            joined.filter(_fit_in_size(F.col("nx"), F.col("ny")) & (differing <= F.col("nx") + F.col("ny") - 2 * needed))
-            .select("x", "y", needed.alias("needed")),
+        close = (F.size("bitsx") != F.size("bitsy")) | (differing <= F.col("nx") + F.col("ny") - 2 * needed)
+        possible, n_possible = store_counted(
+            joined.filter(_fit_in_size(F.col("nx"), F.col("ny")) & close).select("x", "y", needed.alias("needed")),
             f"{label}-pairs",
         )
         wanted = possible.select(F.explode(F.array("x", "y")).alias("sid")).distinct()
-        keys, n_keys = store_counted(sets.join(wanted, "sid", "left_semi").select("key"), f"{label}-keys")
+        keys, n_keys = store_counted(
+            join_counted(sets.select("sid", "key"), wanted, 2 * n_possible, ["sid"], "left_semi", broadcast_rows)
+            .select("key").distinct(),
+            f"{label}-keys",
+        )
         texts = rows.withColumn("key", F.coalesce("doc_id", F.lit(LOWEST)))
-        texts = join_counted(texts, keys.distinct(), n_keys, ["key"], "left_semi", broadcast_rows)
-        whole = texts.select("doc_id", "text").mapInArrow(_sets(shingle), "sid bigint, tokens array<bigint>")
-        whole = store(whole, f"{label}-sets").df
-        both = possible.join(whole.select(F.col("sid").alias("y"), F.col("tokens").alias("ty")), "y").join(
-            whole.select(F.col("sid").alias("x"), F.col("tokens").alias("tx")), "x"
+        texts = join_counted(texts, keys, n_keys, ["key"], "left_semi", broadcast_rows)
+        whole = store(
+            texts.select("doc_id", "text").mapInArrow(_sets(shingle), "sid bigint, tokens array<bigint>"), f"{label}-sets"
         )
+        y_side = whole.df.select(F.col("sid").alias("y"), F.col("tokens").alias("ty"))
+        x_side = whole.df.select(F.col("sid").alias("x"), F.col("tokens").alias("tx"))
+        both = join_counted(y_side, possible, n_possible, ["y"], limit=broadcast_rows).join(x_side, "x")
         shared = F.size(F.array_intersect("tx", "ty"))
-        return store(both.filter(shared >= F.col("needed")).select("x", "y").distinct(), f"{label}-links").df
-
-    # sets that share a minimum, each with the smallest of them
-    minima = sets.select("sid", F.posexplode("minima").alias("k", "minimum"))
-    leaders = minima.groupBy("k", "minimum").agg(F.min("sid").alias("y"), F.count(F.lit(1)).alias("m"))
-    led = (
-        minima.join(leaders.filter(F.col("m") > 1), ["k", "minimum"])
-        .filter(F.col("sid") != F.col("y"))
-        .select(F.col("sid").alias("x"), "y")
-        .distinct()
-    )
-    first_links = verified(led, "led")
-    first_groups, n_groups = store_counted(connected_groups(first_links, "x", "y", "sid", "grp"), "first-groups")
-    grouped = (
-        join_counted(sets.select("sid", "n"), first_groups, n_groups, ["sid"], "left", broadcast_rows)
-        .select("sid", "n", F.coalesce("grp", "sid").alias("grp"))
-    )
+        links = store(both.filter(shared >= F.col("needed")).select("x", "y").distinct(), f"{label}-links").df
+        whole.discard()
+        return links
 
     # prefixes under every order
     parts = profiles.filter(F.col("part").isNotNull()).select("part", "counts")
@@ -314,42 +342,75 @@ def near_duplicate_groups(
     by_part = {r["part"]: bytes(r["classes"]) for r in found}  # at most 2**COUNTER_BITS bytes
     zero = bytes(1 << PART_BITS)
     classes = b"".join(by_part.get(k, zero) for k in range(1 << (COUNTER_BITS - PART_BITS)))
-    total = (sets.agg(F.sum("n")).first()[0] or 0) * (100 - PERCENT) // 100
-    bits = min(max(math.ceil(math.log2(max(total / BUCKET_POSTINGS, 1))), 3), 20)
+    total = ORDERS * (sets.agg(F.sum("n")).first()[0] or 0) * (100 - PERCENT) // 100
+    bits = min(max(math.ceil(math.log2(max(total / (ORDERS * BUCKET_POSTINGS), 1))), 3), 20)
     posted = rows.mapInArrow(
         _postings(shingle, spark.sparkContext.broadcast(classes), bits),
-        "bucket int, tokens binary, sids binary, places binary",
+        "bucket int, tokens binary, sids binary, places binary, lasts binary",
     )
-    shared = posted.groupBy("bucket").applyInArrow(_shared, "bucket int, token bigint, sid bigint, place bigint")
-    live = join_counted(shared, grouped, n_sets, ["sid"], limit=broadcast_rows)
-    token = ["bucket", "token"]
-    live = live.select(F.shiftright("bucket", bits).alias("ord"), *token, "sid", "place", "n", "grp")
-    mixed = live.groupBy(*token).agg(F.min("grp").alias("a"), F.max("grp").alias("b")).filter("a < b").select(*token)
-    met, _ = store_counted(live.join(mixed, token, "left_semi"), "postings")
-    in_groups = met.select(*token, "grp").distinct()
-    group_pairs = (
-        in_groups.withColumnRenamed("grp", "gx")
-        .join(in_groups.withColumnRenamed("grp", "gy"), token)
-        .filter("gx < gy")
+    shared = posted.groupBy("bucket").applyInArrow(
+        _shared, "bucket int, token bigint, posted_sid bigint, place bigint, last int"
     )
+    cleared = 64 - 8 * POSTED_BYTES
+    posters = sets.select("sid", "n", F.shiftleft(F.shiftright("sid", cleared), cleared).alias("posted_sid"))
+    posters = join_counted(shared, posters, n_sets, ["posted_sid"], limit=broadcast_rows)
+    posters = posters.withColumn("ord", F.shiftright("bucket", bits)).drop("posted_sid")
+    # tokens of the set from this one on that others may have: it, those posted
+    # twice, and those behind the prefix, of which nothing is known
+    later = F.row_number().over(Window.partitionBy("sid", "ord").orderBy(F.col("place").desc()))
+    behind = F.ceil(F.col("n") * PERCENT / 100.0) - 1
+    live = store(posters.withColumn("rest", behind + later), "postings")
+    central = live.df.groupBy("sid").agg(F.count(F.lit(1)).alias("live"))
+
+    # sets that share a minimum, each with the one whose tokens are shared most
+    share = F.coalesce(F.col("live") / F.col("n"), F.lit(0.0))
+    minima = join_counted(sets.select("sid", "n", "minima"), central, n_sets, ["sid"], "left", broadcast_rows)
+    minima = minima.select("sid", share.alias("share"), F.posexplode("minima").alias("k", "minimum"))
+    leaders = minima.groupBy("k", "minimum").agg(
+        F.max_by("sid", F.struct("share", "sid")).alias("y"), F.count(F.lit(1)).alias("m")
+    )
+    led = (
+        minima.join(leaders.filter(F.col("m") > 1), ["k", "minimum"])
+        .filter(F.col("sid") != F.col("y"))
+        .select(F.col("sid").alias("x"), "y")
+        .distinct()
+    )
+    first_links = verified(led, "led")
+    first_groups, n_groups = store_counted(connected_groups(first_links, "x", "y", "sid", "grp"), "first-groups")
 
-    def member(c: str) -> DataFrame:
-        return met.select(
-            *token, F.col("grp").alias(f"g{c}"), F.col("sid").alias(c), F.col("n").alias(f"n{c}"),
-            F.col("place").alias(f"p{c}"), *([F.col("ord")] if c == "x" else []),
-        )
-
-    rest = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    # posted tokens that meet in different groups
+    token = ["bucket", "token"]
+    hopeful = live.df.filter(100 * F.col("rest") >= PERCENT * F.col("n"))
+    hopeful = join_counted(hopeful, first_groups, n_groups, ["sid"], "left", broadcast_rows)
+    hopeful = hopeful.withColumn("grp", F.coalesce("grp", "sid"))
+    stats = hopeful.groupBy(*token).agg(
+        F.min("grp").alias("a"), F.max("grp").alias("b"), F.count(F.lit(1)).alias("m")
+    )
+    met = store(hopeful.join(stats.filter("a < b").select(*token, "m"), token), "met")
+    live.discard()
+    narrow, wide = met.df.filter(F.col("m") <= WIDE_TOKEN), met.df.filter(F.col("m") > WIDE_TOKEN)
+    needed = _needed(F.col("nx"), F.col("ny"))
+    plain = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= needed
+    of_x, of_y = F.col("restx") >= needed, F.col("resty") >= needed
+    bound = F.when(F.col("lastx") < F.col("lasty"), of_x).when(F.col("lastx") > F.col("lasty"), of_y).otherwise(of_x | of_y)
+    fits = _fit_in_size(F.col("nx"), F.col("ny")) & plain & bound
+    directly = _member(narrow, "x").join(_member(narrow, "y"), token).filter((F.col("gx") < F.col("gy")) & fits)
+    # of a wide token's largest group no two members are put together
+    sizes = wide.groupBy(*token, "grp").agg(F.count(F.lit(1)).alias("c"))
+    largest = sizes.groupBy(*token).agg(F.max_by("grp", F.struct("c", "grp")).alias("largest"))
+    others = _member(wide, "x").join(largest, token).filter(F.col("gx") != F.col("largest"))
+    once = (F.col("gy") == F.col("largest")) | (F.col("gx") < F.col("gy"))
+    around = others.join(_member(wide, "y"), token).filter(once & fits)
+    pair = ["x", "y", F.expr("shiftleft(1, ordx)").alias("ord")]
     crossing = (
-        group_pairs.join(member("x"), [*token, "gx"])
-        .join(member("y"), [*token, "gy"])
-        .filter(_fit_in_size(F.col("nx"), F.col("ny")) & (rest >= _needed(F.col("nx"), F.col("ny"))))
-        .groupBy("x", "y")
-        .agg(F.bit_or(F.expr("shiftleft(1, ord)")).alias("orders"))
+        directly.select(*pair).unionByName(around.select(*pair))
+        .groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        .agg(F.bit_or("ord").alias("orders"))
         .filter(F.col("orders") == (1 << ORDERS) - 1)
         .select("x", "y")
     )
     links = first_links.unionByName(verified(crossing, "prefix"))
+    met.discard()
 
     groups, n_groups = store_counted(connected_groups(links, "x", "y", "sid", "grp"), "groups")
     keyed = join_counted(sets.select("sid", "first_id"), groups, n_groups, ["sid"], "left", broadcast_rows)

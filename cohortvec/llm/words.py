@@ -171,11 +171,17 @@ def groups_of_rows(batch: pa.RecordBatch, texts: str, limit: int = 4 << 20) -> I
         a = b
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Sorted 64-bit values byte plane by byte plane: equal high bytes compress."""
-    return np.ascontiguousarray(values.astype(U64).view(np.uint8).reshape(-1, 8).T).tobytes()
+def planes(values: np.ndarray, high: int = 8) -> bytes:
+    """64-bit values byte plane by byte plane, so that equal bytes compress.
 
+    Only the ``high`` highest bytes are kept.
+    """
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T[8 - high :]).tobytes()
 
-def from_planes(data: bytes) -> np.ndarray:
-    rows = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(rows.T).view(U64).ravel()
+
+def from_planes(data: bytes, high: int = 8) -> np.ndarray:
+    """The values; bytes that were not kept are 0."""
+    rows = np.frombuffer(data, np.uint8).reshape(high, -1)
+    out = np.zeros((rows.shape[1], 8), np.uint8)
+    out[:, 8 - high :] = rows.T
+    return out.view("<u8").ravel()

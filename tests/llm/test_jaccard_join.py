@@ -62,6 +62,13 @@ def rows(long_text):
     for i in range(30):
         chain[2 * i] = f"edit{i}"
         out.append((3000 - i, " ".join(chain)))
+    # variants of one text, each with changes of its own: most reach the others through it
+    star = rng.choices(words, k=100)
+    for i in range(80):
+        variant = list(star)
+        for _ in range(i % 6):
+            variant[rng.randrange(100)] = f"own{rng.randrange(10**6)}"
+        out.append((4000 + i, " ".join(variant)))
     return out
 
 
@@ -72,6 +79,7 @@ def test_against_all_pairs(documents, rows):
 def test_prefixes_find_what_minima_miss(documents, rows, monkeypatch):
     monkeypatch.setattr(j, "MINIMA", 0)
     monkeypatch.setattr(j, "TASK_POSTINGS", 200)
+    monkeypatch.setattr(j, "WIDE_TOKEN", 3)
     assert rows_of(near_duplicate_groups(documents(rows))) == brute(rows)
 
 
