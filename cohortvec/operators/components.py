@@ -6,24 +6,22 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import Stored, store
-
-# A node is hot when it holds more than 1/HOT_SHARE of all edge ends.
-HOT_SHARE = 1000
-
+from . import indexing
 
 def _with_smallest_neighbour(edges: DataFrame, total: int) -> DataFrame:
     """Add ``m``: the smallest of ``u`` and its neighbours ``v``.
 
-    The centre of a large group is a neighbour of all its members.  Fewer than
-    HOT_SHARE nodes can hold more than their share of the edges, so those are
-    broadcast and only the others are joined by shuffle.
+    The centre of a large group is a neighbour of all its members.  Nodes with
+    more than PIECE_ROWS edges are few and are looked up apart, so that the
+    shuffle join holds no such key; with fewer edges in all there is none.
     """
     smallest = edges.groupBy("u").agg(
         F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")
     )
-    floor = max(total // HOT_SHARE, 1)
-    hot = smallest.filter(F.col("n") > floor).select("u", F.col("m").alias("hot_m"))
-    marked = edges.join(F.broadcast(hot), "u", "left")
+    if total <= indexing.PIECE_ROWS:
+        return edges.join(smallest.select("u", "m"), "u")
+    hot = smallest.filter(F.col("n") > indexing.PIECE_ROWS).select("u", F.col("m").alias("hot_m"))
+    marked = edges.join(indexing.hot_side(hot, total), "u", "left")
     centre = marked.filter(F.col("hot_m").isNotNull()).select("u", "v", F.col("hot_m").alias("m"))
     rest = marked.filter(F.col("hot_m").isNull()).select("u", "v").join(smallest.select("u", "m"), "u")
     return centre.unionByName(rest)
@@ -82,10 +80,12 @@ def connected_groups(
         state = new_state
     members = current.df.select(F.col("u").alias(node), F.col("v").alias(group))
     roots = current.df.select(F.col("v").alias(node), F.col("v").alias(group))
-    alone = loops.join(current.df.select(F.col("u").alias("node")), "node", "left_anti").select(
+    # a node linked with itself only; members and roots are never the same node
+    linked = current.df.select(F.explode(F.array("u", "v")).alias("node"))
+    alone = loops.distinct().join(linked, "node", "left_anti").select(
         F.col("node").alias(node), F.col("node").alias(group)
     )
-    return members.unionByName(roots.distinct()).unionByName(alone).distinct()
+    return members.unionByName(roots.distinct()).unionByName(alone)
 
 
 def _store_edges(edges: DataFrame) -> tuple[Stored, dict]:

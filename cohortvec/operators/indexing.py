@@ -21,9 +21,14 @@ ROW_BITS = 33
 # An index is broadcast only below this measured size.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
-# A key is hot when it holds more than 1/HOT_SHARE of all rows, so there are
-# fewer than HOT_SHARE hot keys whatever the data.
-HOT_SHARE = 1000
+# Bytes a row takes in a broadcast table besides its text: row, keys, hash slot.
+ROW_BYTES = 96
+
+# A key is hot when it holds more rows than one task should take, whatever the
+# number of all rows; its pieces hold about as many.
+PIECE_ROWS = 2_000_000
+# Hot keys number at most all rows / PIECE_ROWS; beyond this they are not broadcast.
+HOT_KEYS = 500_000
 
 
 @dataclass(frozen=True)
@@ -62,7 +67,7 @@ def build_key_index(df: DataFrame, key: str, index: str) -> KeyIndex:
         .agg(
             F.count(F.lit(1)).alias("keys"),
             F.sum("_rows").alias("rows"),
-            F.sum(text_bytes + 24).alias("bytes"),
+            F.sum(text_bytes + ROW_BYTES).alias("bytes"),
         )
         .collect()
     )  # one row per range partition
@@ -100,20 +105,26 @@ def attach_index(
     return salted_join(facts, index.table, index.key, index.rows, spread)
 
 
+def hot_side(hot: DataFrame, total: int) -> DataFrame:
+    """Hot keys as join side: broadcast while ``total`` rows cannot have too many."""
+    return F.broadcast(hot) if total // PIECE_ROWS <= HOT_KEYS else hot
+
+
 def salted_join(facts: DataFrame, lookup: DataFrame, key: str, total: int, spread: list[str]) -> DataFrame:
     """Inner shuffle join of ``facts`` with one row per key; hot keys are cut.
 
     ``lookup`` carries ``_rows``, the key's number of rows in ``facts``, and
-    ``total`` is their sum.  Each hot key is cut into pieces by a hash of the
-    ``spread`` columns, with one copy of its lookup row per piece.
+    ``total`` is their sum.  A key of more than PIECE_ROWS rows is cut into
+    pieces by a hash of the ``spread`` columns, with one copy of its lookup row
+    per piece.
     """
-    piece_rows = max(total // HOT_SHARE, 1)
-    pieces = F.ceil(F.col("_rows") / F.lit(piece_rows)).cast("int")
-    is_hot = F.col("_rows") > F.lit(piece_rows)
-    # fewer than HOT_SHARE rows by the definition of hot
+    if total <= PIECE_ROWS:  # no key can be hot
+        return facts.join(lookup.drop("_rows"), key)
+    pieces = F.ceil(F.col("_rows") / F.lit(PIECE_ROWS)).cast("int")
+    is_hot = F.col("_rows") > F.lit(PIECE_ROWS)
     hot = lookup.filter(is_hot).select(key, pieces.alias("_pieces"))
     piece = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_pieces")), F.lit(0)).cast("int")
-    cut = facts.join(F.broadcast(hot), key, "left").withColumn("_piece", piece).drop("_pieces")
+    cut = facts.join(hot_side(hot, total), key, "left").withColumn("_piece", piece).drop("_pieces")
     copies = lookup.select(
         *[c for c in lookup.columns if c != "_rows"],
         F.explode(F.sequence(F.lit(0), F.when(is_hot, pieces - 1).otherwise(F.lit(0)))).alias("_piece"),

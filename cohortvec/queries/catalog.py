@@ -16,9 +16,10 @@ from ..functions.vectors import cosine_similarity, euclidean_similarity
 from ..operators import components, cooccurrence, factorization, firsts, indexing, pairing, ratings, similarity
 from ..operators.evaluation import diversity, ranking, rating, recall
 from ..plans import curation, training
-from ..session import apply_settings, store
+from ..session import apply_settings, new_path, store
+from ..sources import rrf, sinks
 from ..sources.events import scan_interactions, synthetic_events
-from .inputs import VIEWS, oracle, view
+from .inputs import oracle, view
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -226,6 +227,67 @@ def _(spark, folder):
     return ratings.cohort_sample(view(spark, folder, "interactions_brand"))
 
 
+# --- delimited tables and sinks ---------------------------------------------
+
+_PART_COLUMNS = ("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+
+
+def _part_as_delimited(spark, folder) -> str:
+    """The part table as a delimited table with its metadata, in a new folder."""
+    place = new_path(spark, "delimited")
+    part = spark.read.parquet(f"{folder}/part.parquet")
+    line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _PART_COLUMNS], F.lit(""))
+    part.select(line).write.text(f"{place}/PART.RRF")
+    described = part.select(F.explode(F.array(*[F.lit(c) for c in _PART_COLUMNS])).alias("c")).groupBy("c").count()
+    described.select(F.concat_ws("|", "c", F.col("count").cast("string"), F.lit("PART.RRF"), F.lit(""))).write.text(
+        f"{place}/{rrf.COLUMNS_TABLE}"
+    )
+    listed = [("PART.RRF", ",".join(_PART_COLUMNS)), (rrf.COLUMNS_TABLE, "COL,DES,FIL")]
+    metadata = spark.createDataFrame([(f"{name}|a table|{columns}|",) for name, columns in listed], "line string")
+    metadata.write.text(f"{place}/{rrf.FILES_TABLE}")
+    return place
+
+
+@query("rrf_scan", "SELECT " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in _PART_COLUMNS) + " FROM part WHERE p_size > 9")
+def _(spark, folder):
+    return rrf.read_table(spark, _part_as_delimited(spark, folder), "PART.RRF", where="length(p_size) > 1")
+
+
+@query(
+    "rrf_columns",
+    "SELECT c AS COL, CAST((SELECT COUNT(*) FROM part) AS VARCHAR) AS DES, 'PART.RRF' AS FIL FROM (VALUES "
+    + ", ".join(f"('{c}')" for c in _PART_COLUMNS)
+    + ") t(c)",
+)
+def _(spark, folder):
+    return rrf.column_descriptions(spark, _part_as_delimited(spark, folder), "PART.RRF")
+
+
+@query(
+    "sink_roundtrip",
+    oracle(
+        "feature_vectors",
+        """SELECT CAST(item AS BIGINT) AS item, feature_name, round(CAST(embedding[1] AS DOUBLE), 6) AS first,
+round(CAST(embedding[64] AS DOUBLE), 6) AS last, CAST(len(embedding) AS BIGINT) AS dimensions FROM feature_vectors""",
+    ),
+)
+def _(spark, folder):
+    vectors = view(spark, folder, "feature_vectors")
+    place = new_path(spark, "sinks")
+    # as doubles, which CSV text gives back exactly
+    embeddings = vectors.select("item", F.col("embedding").cast("array<double>").alias("embedding"))
+    sinks.write_embeddings(embeddings, f"{place}/csv", "csv")
+    sinks.write_embeddings(embeddings, f"{place}/parquet")
+    sinks.write_index(vectors.select("feature_name", "item"), f"{place}/index")
+    wide = spark.read.option("header", "true").csv(f"{place}/csv")
+    long = spark.read.parquet(f"{place}/parquet")
+    ends = wide.select(
+        F.col("item").cast("bigint"), F.col("emb_vec_0").cast("double").alias("first"), F.col("emb_vec_63").cast("double").alias("last")
+    )
+    sized = long.select("item", F.size("embedding").cast("bigint").alias("dimensions"))
+    return spark.read.parquet(f"{place}/index").join(ends, "item").join(sized, "item")
+
+
 # --- curation ---------------------------------------------------------------
 
 _CLEAN = "lower(replace({c}, '.', ''))"
@@ -317,10 +379,11 @@ def _(spark, folder):
     return curation.may_treat(concepts, view(spark, folder, "relationships"), "ICD10CM")
 
 
-_EXPANDED = """SELECT {columns}, CASE WHEN contains(clean, '-')
-       THEN concat('c', lpad(CAST(n AS VARCHAR), 2, '0')) ELSE clean END AS clean
-FROM (SELECT *, CASE WHEN contains(clean, '-') THEN CAST(substr(clean, 2, 2) AS BIGINT) ELSE 0 END AS low,
-             CASE WHEN contains(clean, '-') THEN CAST(substr(clean, 6, 2) AS BIGINT) ELSE 0 END AS high FROM {table}) e,
+_BOUND = "CAST(substr(split_part(clean, '-', {n}), 2) AS BIGINT)"
+_EXPANDED = f"""SELECT {{columns}}, CASE WHEN contains(clean, '-')
+       THEN concat('c', CASE WHEN n < 10 THEN '0' ELSE '' END, CAST(n AS VARCHAR)) ELSE clean END AS clean
+FROM (SELECT *, CASE WHEN contains(clean, '-') THEN {_BOUND.format(n=1)} ELSE 0 END AS low,
+             CASE WHEN contains(clean, '-') THEN {_BOUND.format(n=2)} ELSE 0 END AS high FROM {{table}}) e,
      LATERAL unnest(generate_series(low, high)) AS t(n)"""
 
 
@@ -437,7 +500,7 @@ FROM embeddings e JOIN first_of_label f ON e.label = f.label""",
 )
 def _(spark, folder):
     firsts_ = view(spark, folder, "first_of_label")
-    pairs = spark.table("embeddings").join(firsts_, "label")
+    pairs = spark.read.parquet(f"{folder}/embeddings.parquet").join(firsts_, "label")
     return pairs.select("vec_id", "first_id", cosine_similarity(F.col("embedding"), F.col("first_embedding")).alias("sim"))
 
 
@@ -451,7 +514,7 @@ FROM embeddings e JOIN first_of_label f ON e.label = f.label""",
 )
 def _(spark, folder):
     firsts_ = view(spark, folder, "first_of_label")
-    pairs = spark.table("embeddings").join(firsts_, "label")
+    pairs = spark.read.parquet(f"{folder}/embeddings.parquet").join(firsts_, "label")
     return pairs.select("vec_id", "first_id", euclidean_similarity(F.col("embedding"), F.col("first_embedding")).alias("sim"))
 
 
@@ -533,6 +596,54 @@ def _(spark, folder):
     return similarity.rank_features(*_similarity_inputs(spark, folder))
 
 
+@query(
+    "feature_ranks_twins",
+    oracle("feature_twins", "").rstrip()
+    + """,
+members AS (SELECT concat('label_', CAST(label AS VARCHAR)) AS referential, embedding,
+                   CAST(1 AS DOUBLE) / (1 + vec_id % 3) AS weight FROM embeddings),
+sims AS (SELECT v.feature_name, m.referential,
+                SUM(m.weight * list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(m.embedding AS DOUBLE[])))
+                / SUM(m.weight) AS score
+         FROM feature_twins v CROSS JOIN members m GROUP BY 1, 2)
+SELECT feature_name, referential, round(score, 6) AS score,
+       CAST(rank() OVER (PARTITION BY referential ORDER BY round(score, 12) DESC) AS BIGINT) AS rank FROM sims""",
+)
+def _(spark, folder):
+    twins = view(spark, folder, "feature_twins")
+    composites = view(spark, folder, "composites")
+    scores = similarity.score_features(twins, composites, referential_patterns=["label_"])
+    return similarity.ranked_scores(scores, twins.count())
+
+
+_LABELS = range(10)
+
+
+@query(
+    "ranked_list",
+    _COSINE_SCORES.rstrip()
+    + _RANKED
+    + "SELECT feature_name, "
+    + ", ".join(
+        f"round(MAX(CASE WHEN referential = 'label_{k}' THEN score END), 6) AS label_{k}_score, "
+        f"MAX(CASE WHEN referential = 'label_{k}' THEN rank END) AS label_{k}_rank"
+        for k in _LABELS
+    )
+    + """, round(AVG(score), 6) AS mean_score, round(median(score), 6) AS median_score,
+round(AVG(rank), 6) AS mean_rank, round(median(rank), 6) AS median_rank,
+CAST(SUM(CASE WHEN rank <= 30 THEN 1 ELSE 0 END) AS BIGINT) AS number_in_top_30
+FROM ranked WHERE starts_with(referential, 'label_') GROUP BY feature_name""",
+)
+def _(spark, folder):
+    vectors = view(spark, folder, "feature_vectors")
+    return similarity.embedding_ranked_list(
+        vectors.select("item", "embedding"),
+        vectors.select("item", "feature_name"),
+        composites=view(spark, folder, "composites"),
+        referential_patterns=["label_"],
+    )
+
+
 @query(
     "similarity_variance",
     oracle(
@@ -697,9 +808,7 @@ _HISTORY, _BOTH = oracle("history", "").rstrip(), oracle(("history", "reco"), ""
 def _history_and_reco(spark, folder):
     """Both tables written once; recommendations are derived from the written history."""
     history = store(view(spark, folder, "history"), "history").df
-    view(spark, folder, "candidates")
-    history.createOrReplaceTempView("history")
-    return history, store(spark.sql(VIEWS["reco"]), "reco").df
+    return history, store(view(spark, folder, "reco", history=history), "reco").df
 
 
 def _reco_and_similarity(spark, folder):
@@ -712,6 +821,21 @@ def _(spark, folder):
     return diversity.cooccurrence_similarity(store(view(spark, folder, "history"), "history").df)
 
 
+_LINE_SIM = """,
+rows_of AS (SELECT userID, itemID, COUNT(*) AS n FROM supplier_lines GROUP BY 1, 2),
+cnt AS (SELECT itemID, SUM(n) AS c FROM rows_of GROUP BY itemID),
+pairs AS (SELECT a.itemID AS i1, b.itemID AS i2, SUM(a.n * b.n) AS n FROM rows_of a
+          JOIN rows_of b ON a.userID = b.userID AND a.itemID <= b.itemID GROUP BY 1, 2)
+SELECT i1, i2, round(n / (sqrt(x.c) * sqrt(y.c)), 6) AS sim FROM pairs
+JOIN cnt x ON i1 = x.itemID JOIN cnt y ON i2 = y.itemID
+"""
+
+
+@query("cooccurrence_similarity_log", oracle("supplier_lines", "").rstrip() + _LINE_SIM)
+def _(spark, folder):
+    return diversity.cooccurrence_similarity(view(spark, folder, "supplier_lines"))
+
+
 @query(
     "item_feature_similarity",
     """SELECT v.vec_id AS i1, r.vec_id AS i2,

@@ -7,7 +7,6 @@ parts for features and compounds, sizes for diseases.
 from __future__ import annotations
 
 import re
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,12 +50,20 @@ VIEWS = {
                concat('V', CAST(vec_id AS STRING)) AS feature_name,
                CAST(1 AS DOUBLE) / (1 + vec_id % 3) AS weight
         FROM embeddings""",
+    # every vector under two names
+    "feature_twins": """
+        SELECT concat(t.twin, CAST(vec_id AS STRING)) AS feature_name, embedding
+        FROM embeddings CROSS JOIN (SELECT 'V' AS twin UNION ALL SELECT 'W' AS twin) t""",
+    # a person's suppliers line by line, repeats included
+    "supplier_lines": f"""
+        SELECT o_custkey AS userID, l_suppkey AS itemID FROM {_LINES}""",
     "first_of_label": """
         SELECT e.label, e.vec_id AS first_id, e.embedding AS first_embedding
         FROM embeddings e JOIN (SELECT label, MIN(vec_id) AS m FROM embeddings GROUP BY label) f
         ON e.vec_id = f.m""",
     # sizes are diseases, parts are compounds; each part has an earlier and a
-    # later row, and some diseases are coded in another vocabulary only
+    # later row, some diseases are coded in another vocabulary only, and some
+    # ranges count with ten digits
     "concepts": """
         SELECT 1000000000 + k AS line_no, concat('D', CAST(k AS STRING)) AS CUI, 'ENG' AS LAT, 'MSH' AS SAB,
                concat('disease ', CAST(k AS STRING)) AS STR, concat('M', CAST(k AS STRING)) AS SCUI,
@@ -67,6 +74,7 @@ VIEWS = {
                CASE WHEN k % 7 = 0 THEN 'ICD9CM' ELSE 'ICD10CM' END,
                concat('icd ', CAST(k AS STRING)), CAST(NULL AS STRING),
                CASE WHEN k % 5 = 0 THEN concat('C', lpad(CAST(k AS STRING), 2, '0'), '-C', lpad(CAST(k + 3 AS STRING), 2, '0'))
+                    WHEN k % 11 = 0 THEN concat('C', CAST(1000000000 + k AS STRING), '-C', CAST(1000000002 + k AS STRING))
                     ELSE concat('C', lpad(CAST(k AS STRING), 2, '0'), '.', CAST(k % 10 AS STRING)) END
         FROM (SELECT DISTINCT CAST(p_size AS BIGINT) AS k FROM part) b
         UNION ALL
@@ -128,21 +136,17 @@ def with_needs(names: tuple[str, ...]) -> list[str]:
     return [v for v in VIEWS if v in wanted]
 
 
-@cache
-def _table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def view(spark: SparkSession, folder: str, name: str, **given: DataFrame) -> DataFrame:
+    """One input view as a DataFrame over the parquet tables of ``folder``.
 
-
-def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One input view as a DataFrame over the parquet tables of ``folder``."""
-    needs = with_needs((name,))
+    ``given`` replaces views it is built on.  Nothing is registered or kept, so
+    folders and threads cannot see each other's views.
+    """
+    needs = [n for n in with_needs((name,)) if n not in given]
     words = set(re.findall(r"\w+", " ".join(VIEWS[n] for n in needs)))
-    for table in TABLES:
-        if table in words:
-            _table(spark, f"{folder}/{table}.parquet").createOrReplaceTempView(table)
-    for need in needs:
-        spark.sql(VIEWS[need]).createOrReplaceTempView(need)
-    return spark.table(name)
+    frames = {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in TABLES if t in words} | given
+    parts = [f"{n} AS (SELECT * FROM {{{n}}})" for n in frames] + [f"{n} AS ({VIEWS[n]})" for n in needs]
+    return spark.sql(f"WITH {', '.join(parts)} SELECT * FROM {name}", **frames)
 
 
 def oracle(names: tuple[str, ...] | str, select: str) -> str:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +46,7 @@ def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
     Only a local session may run without the setting; it gets a temporary
-    folder.  On a cluster the folder must be visible to every executor, so a
+    folder of this machine, as in tests.  On a cluster the folder must be visible to every executor, so a
     missing setting is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -73,16 +75,59 @@ class Stored:
         target.getFileSystem(conf).delete(target, True)
 
 
-def store(df: DataFrame, label: str) -> Stored:
+# Folders of the scopes that are open, innermost last, by application.
+_scopes: dict[str, list[str]] = {}
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path below the shared folder that nothing has used."""
+    application = spark.sparkContext.applicationId
+    scope = "".join(f"/{name}" for name in _scopes.get(application, []))
+    return f"{shared_folder(spark)}/{application}{scope}/{label}-{uuid.uuid4().hex}"
+
+
+def store(df: DataFrame, label: str, partition_by: str | None = None) -> Stored:
     """Write ``df`` as parquet below the shared folder and read it back.
 
     This cuts lineage, survives lost executors, keeps column pruning and gives
     Catalyst true file sizes, so that its own size limit decides on broadcasts.
+    A filter on the ``partition_by`` column reads only its own files.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
-    return Stored(spark.read.schema(df.schema).parquet(path), path)
+    path = new_path(spark, label)
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    return Stored(spark.read.schema(df.schema).parquet(path).select(*df.columns), path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Tables stored inside are removed on exit, but for those given to ``keep``.
+
+    Use a result that reads such tables inside the scope, or keep it.  Scopes
+    may be nested; threads started inside store into the same scope.
+    """
+    scopes = _scopes.setdefault(spark.sparkContext.applicationId, [])
+    parent = new_path(spark, "kept")
+    name = f"scope-{uuid.uuid4().hex}"
+    scopes.append(name)
+    folder = new_path(spark, "x").rpartition("/")[0]
+    try:
+        yield Scratch(parent)
+    finally:
+        scopes.remove(name)
+        Stored(spark.range(0), folder).discard()
+
+
+@dataclass(frozen=True)
+class Scratch:
+    parent: str
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        """``df`` written where it outlives the scope."""
+        path = f"{self.parent}-{label}-{uuid.uuid4().hex}"
+        df.write.mode("errorifexists").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def discard_stored(spark: SparkSession) -> None:

@@ -14,12 +14,13 @@ from pyspark.sql.types import StringType, StructField, StructType
 FILES_TABLE, COLUMNS_TABLE = "MRFILES.RRF", "MRCOLS.RRF"
 FILE_NAME_AT, COLUMN_LIST_AT = 0, 2
 DESCRIBED_COLUMN, DESCRIBED_FILE = "COL", "FIL"
-# Column that receives the nothing after the last delimiter.
-LINE_END = "_end"
+# Columns that receive the nothing after the last delimiter, and a line that
+# has too few or too many delimiters.
+LINE_END, BROKEN_LINE = "_end", "_broken"
 
 
 def _delimited(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    schema = StructType([StructField(c, StringType()) for c in [*columns, LINE_END]])
+    schema = StructType([StructField(c, StringType()) for c in [*columns, LINE_END, BROKEN_LINE]])
     return (
         spark.read.schema(schema)
         .option("sep", "|")
@@ -27,6 +28,8 @@ def _delimited(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
         .option("escape", "")
         .option("header", "false")
         .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", BROKEN_LINE)
+        .option("columnPruning", "false")  # else only the chosen columns are looked at
         .csv(path)
     )
 
@@ -61,19 +64,32 @@ def read_table(
     columns: list[str] | None = None,
     where: Column | str | None = None,
     line_order: str | None = None,
+    broken_lines: str = "raise",
 ) -> DataFrame:
     """Table with the columns named by the metadata, all strings.
 
-    ``columns`` selects and orders, ``where`` filters; both reach the scan.
-    Only the empty string is null and quotes are plain characters.
+    ``columns`` selects and orders, ``where`` filters the table's own columns in
+    the scan.  Only the empty string is null and quotes are plain characters.
     ``line_order`` names an extra column that sorts like the lines of the file.
+    A line with too few or too many delimiters is an error when it is read, or
+    with ``broken_lines="skip"`` is left out.
     """
+    if broken_lines not in ("raise", "skip"):
+        raise ValueError("broken_lines must be 'raise' or 'skip'")
     names = column_names(spark, folder, filename)
     chosen = columns or names
     missing = [c for c in chosen if c not in names]
     if missing:
         raise ValueError(f"{filename} has no columns {missing}; it has {names}")
     table = _delimited(spark, f"{folder}/{filename}", names)
+    broken = F.col(BROKEN_LINE).isNotNull()
+    if broken_lines == "raise":
+        said = F.raise_error(F.concat(F.lit(f"{filename} has a broken line: "), BROKEN_LINE))
+        table = table.filter(F.when(broken, said.cast("boolean")).otherwise(F.lit(True)))
+    else:
+        table = table.filter(~broken)
+    if where is not None:  # before the line numbers, which no filter passes
+        table = table.filter(where)
     selected = [F.col(c) for c in chosen]
     if line_order:
         place = F.struct(
@@ -83,6 +99,4 @@ def read_table(
         )
         table = table.select("*", place.alias(line_order))
         selected.append(F.col(line_order))
-    if where is not None:
-        table = table.filter(where)
     return table.select(*selected)

@@ -77,3 +77,12 @@ def test_vector_similarities(table):
     assert got[0][0] == pytest.approx(0.5**0.5)
     assert got[0][1] == pytest.approx(0.5)
     assert got[1][0] == 0.0
+
+
+def test_long_numbers_and_long_ranges_count(table):
+    rows = [(1, "c1000000000-c1000000002"), (2, "c7-c31"), (3, None), (4, "d" + "9" * 37 + "8-d" + "9" * 38), (5, "x1-y2")]
+    df = table(rows, "id long, c string")
+    want = [(1, f"c{1000000000 + i}") for i in range(3)] + [(2, f"c{i}") for i in range(7, 32)]
+    want += [(3, None), (4, "d" + "9" * 37 + "8"), (4, "d" + "9" * 38), (5, "x1"), (5, "y2")]
+    for step in (10, 1_000_000):
+        assert sorted(map(repr, (tuple(r) for r in expand_code_ranges(df, "c", range_step=step).collect()))) == sorted(map(repr, want))

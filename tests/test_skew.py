@@ -4,8 +4,9 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from cohortvec.operators import cooccurrence, indexing, pairing, ratings
+from cohortvec.operators import components, cooccurrence, indexing, pairing, ratings
 from cohortvec.operators.evaluation import diversity
 from cohortvec.sources import events
 
@@ -17,6 +18,7 @@ def size_limit(request, monkeypatch):
     if request.param:
         for module in (indexing, ratings, cooccurrence, pairing, diversity, events):
             monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(indexing, "PIECE_ROWS", 100)
 
 
 @pytest.fixture(scope="module")
@@ -73,3 +75,54 @@ def test_skewed_pairs(spark, log, size_limit, array_items):
         both.update((a, b) for i, a in enumerate(names) for b in names[i:])
     assert sims.keys() == both.keys()
     assert all(abs(sims[k] - n / (users[k[0]] * users[k[1]]) ** 0.5) < 1e-9 for k, n in both.items())
+
+
+def test_a_key_below_a_thousandth_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(indexing, "PIECE_ROWS", 20)
+    rows = [(k, i) for k in range(1200) for i in range(60 if k == 7 else 50)]
+    facts = spark.createDataFrame(rows, "k long, i long")
+    lookup = facts.groupBy("k").agg(F.count(F.lit(1)).alias("_rows"), F.max("i").alias("top"))
+    joined = indexing.salted_join(facts, lookup, "k", len(rows), ["i"])
+    assert as_set(joined) == sorted((k, i, 59 if k == 7 else 49) for k, i in rows)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "_piece" in plan
+    # the key's rows get three pieces
+    piece = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "_pieces" in piece
+
+
+@pytest.mark.parametrize("piece_rows", [3, 10**6])
+def test_groups_with_a_large_centre(spark, monkeypatch, piece_rows):
+    monkeypatch.setattr(indexing, "PIECE_ROWS", piece_rows)
+    pairs = [("hub", f"m{i}") for i in range(30)] + [("a", "b"), ("b", "c"), ("x", "x"), ("a", "a"), (None, "q")]
+    got = components.connected_groups(spark.createDataFrame(pairs, "CUI1 string, CUI2 string"))
+    want = [("hub", "hub"), *((f"m{i}", "hub") for i in range(30)), ("a", "a"), ("b", "a"), ("c", "a"), ("x", "x")]
+    assert as_set(got) == sorted(want)
+
+
+@pytest.mark.parametrize("array_items", [0, 4096])
+def test_repeated_rows_count_as_often_as_they_occur(spark, array_items):
+    rng = random.Random(4)
+    rows = [(1, 1), (1, 1), (2, 1), *((rng.randrange(3, 20), rng.randrange(8)) for _ in range(200))]
+    both, own = Counter(), Counter(i for _, i in rows)
+    for u, a in rows:
+        for v, b in rows:
+            if u == v and a <= b:
+                both[a, b] += 1
+    train = spark.createDataFrame(rows, "userID long, itemID long")
+    got = {(r.i1, r.i2): r.sim for r in diversity.cooccurrence_similarity(train, array_items=array_items).collect()}
+    assert got.keys() == both.keys()
+    assert all(abs(got[k] - n / (own[k[0]] * own[k[1]]) ** 0.5) < 1e-12 for k, n in both.items())
+
+
+def test_pair_sums_beyond_exact_doubles(spark):
+    rows = [(1, "a", 2**31), (1, "b", 2**31 - 1), (2, "a", 3), (2, "b", 5)]
+    df = spark.createDataFrame(rows, "g long, i string, w long")
+    sums, _ = pairing.pair_sums(df, "g", "i", "w")
+    assert as_set(sums) == [(0, 0, 2**62 + 9), (0, 1, 2**31 * (2**31 - 1) + 15), (1, 1, (2**31 - 1) ** 2 + 25)]
+
+
+def test_joins_of_pairs_are_left_to_the_planner(spark, log):
+    df = spark.createDataFrame(log, "person_id long, feature_name string")
+    plan = pairing.pairs_within(df, "person_id", "feature_name")._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" not in plan

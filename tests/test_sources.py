@@ -35,6 +35,23 @@ def test_selection_and_filter(spark, folder):
         rrf.read_table(spark, folder, "OTHER.RRF")
 
 
+def test_broken_lines(spark, folder, tmp_path):
+    for name in ("MRFILES.RRF",):
+        (tmp_path / name).write_text(open(f"{folder}/{name}").read())
+    (tmp_path / "MRCONSO.RRF").write_text("C1|ENG|whole|\nC2|FR\nC3|ENG|too|many|\n")
+    with pytest.raises(Exception, match="broken line: C2"):
+        rrf.read_table(spark, str(tmp_path), "MRCONSO.RRF", columns=["CUI"]).collect()
+    kept = rrf.read_table(spark, str(tmp_path), "MRCONSO.RRF", columns=["CUI"], broken_lines="skip")
+    assert as_set(kept) == [("C1",)]
+
+
+def test_filter_is_below_the_line_numbers(spark, folder):
+    df = rrf.read_table(spark, folder, "MRCONSO.RRF", where="LAT = 'ENG'", line_order="line_no")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(LAT,ENG)" in plan
+    assert [r.STR for r in df.orderBy("line_no").collect()][-1] == "later"
+
+
 def test_line_order_drives_first_per_key(spark, folder):
     df = rrf.read_table(spark, folder, "MRCONSO.RRF", line_order="line_no")
     got = {r.CUI: r.STR for r in first_per_key(df, "CUI", "line_no").collect()}
