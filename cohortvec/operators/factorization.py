@@ -15,6 +15,7 @@ ratings; the two ways compute the same numbers.
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -22,7 +23,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
@@ -41,6 +42,11 @@ GATHER_DOUBLES = 4_000_000
 SWEEPS, SWEEP_TOLERANCE = 100, 1e-7
 # Stored ratings per partition of the grouped table.
 RATINGS_PER_PART = 2_000_000
+# Numbers of the item side that the driver solves itself.
+DRIVER_SOLVE = 1_000_000
+
+# First item vectors, as an array column over the item number.
+Start = Callable[[Column], Column]
 
 
 @dataclass
@@ -53,24 +59,45 @@ class Factorization:
 
 def solve_rows(target: np.ndarray, gram: np.ndarray) -> np.ndarray:
     """Rows w >= 0 that minimise  w G w' / 2 - w b'  for each row b of ``target``."""
+    return solve_rows_counted(target, gram)[0]
+
+
+def solve_rows_counted(target: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, int]:
+    """The rows, and how many of them still changed after SWEEPS sweeps.
+
+    A row is left alone once it has settled, and every sum over components runs
+    in their order, so a row's result does not depend on the rows beside it.
+    """
     rank = gram.shape[0]
     diagonal = np.diag(gram)
-    start = np.linalg.lstsq(gram, target.T, rcond=None)[0]
-    columns = np.maximum(start, 0.0)  # rank x rows
-    wanted = np.ascontiguousarray(target.T)
-    scale = max(float(columns.max(initial=0.0)), 1e-30)
+    wanted = np.ascontiguousarray(target.T)  # rank x rows
+    inverse = np.linalg.pinv(gram, hermitian=True)
+    columns = np.maximum(_in_order(inverse, wanted), 0.0)
+    active = np.arange(columns.shape[1])
     for _ in range(SWEEPS):
-        change = 0.0
+        own, aim = columns[:, active], wanted[:, active]
+        scale = np.maximum(own.max(axis=0, initial=0.0), 1e-30)
+        change = np.zeros(len(active))
         for j in range(rank):
             if diagonal[j] <= 0.0:
-                columns[j] = 0.0
+                own[j] = 0.0
                 continue
-            moved = np.maximum(columns[j] + (wanted[j] - gram[j] @ columns) / diagonal[j], 0.0)
-            change = max(change, float(np.abs(moved - columns[j]).max(initial=0.0)))
-            columns[j] = moved
-        if change <= SWEEP_TOLERANCE * scale:
+            moved = np.maximum(own[j] + (aim[j] - (gram[j][:, None] * own).sum(axis=0)) / diagonal[j], 0.0)
+            change = np.maximum(change, np.abs(moved - own[j]))
+            own[j] = moved
+        columns[:, active] = own
+        active = active[change > SWEEP_TOLERANCE * scale]
+        if not len(active):
             break
-    return columns.T
+    return columns.T, len(active)
+
+
+def _in_order(matrix: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Matrix product with the terms of every sum added one after the other."""
+    out = np.zeros((matrix.shape[0], columns.shape[1]))
+    for j in range(matrix.shape[1]):
+        out += matrix[:, j, None] * columns[j]
+    return out
 
 
 # Increment and multipliers of the public SplitMix64 generator.
@@ -144,17 +171,13 @@ class RatingCells:
             .agg(F.collect_list(F.struct(ITEM, RATING)).alias("cells"))
             .select(USER, F.col(f"cells.{ITEM}").alias("items"), F.col(f"cells.{RATING}").alias("ratings"))
         )
-        return store(grouped, "user-rows").df.persist()
+        return store(grouped, "user-rows").df
 
     def joined_with(self, other: RatingCells) -> RatingCells:
         """Both tables as one; users of the two sides stay different users."""
         sides = [d.cells.withColumn(USER, F.col(USER) * 2 + i) for i, d in enumerate((self, other))]
         return RatingCells(sides[0].unionByName(sides[1]), self.n_items, unique_cells=True)
 
-    def unpersist(self) -> None:
-        if "rows" in self.__dict__:
-            self.rows.unpersist()
-
 
 def _flat(batch: pa.RecordBatch):
     """Offsets, items and ratings of a batch of user rows, as flat arrays."""
@@ -169,7 +192,7 @@ def _flat(batch: pa.RecordBatch):
 
 
 def _solved_chunks(batch: pa.RecordBatch, factor: np.ndarray, gram: np.ndarray):
-    """Solve the users of a batch; yields (first row, w, b, items, ratings, row of cell)."""
+    """Solve the users of a batch; yields (unsettled rows, w, b, items, ratings, row of cell)."""
     ends, items, ratings = _flat(batch)
     limit = max(GATHER_DOUBLES // factor.shape[1], 1)
     row, rows = 0, len(ends) - 1
@@ -180,7 +203,8 @@ def _solved_chunks(batch: pa.RecordBatch, factor: np.ndarray, gram: np.ndarray):
         row_of = np.repeat(np.arange(stop - row), np.diff(ends[row : stop + 1]))
         gathered = factor[items[cells]] * ratings[cells, None]
         target = np.add.reduceat(gathered, ends[row:stop] - ends[row], axis=0)
-        yield row, solve_rows(target, gram), target, items[cells], ratings[cells], row_of
+        solved, unsettled = solve_rows_counted(target, gram)
+        yield unsettled, solved, target, items[cells], ratings[cells], row_of
         row = stop
 
 
@@ -199,7 +223,7 @@ def _sum_by(df: DataFrame, key: str, rank: int) -> DataFrame:
 
 
 def _round_broadcast(rows: DataFrame, parts: int, items: np.ndarray, alpha: float):
-    """One pass over the users: X'W, W'W, sum of w.b; returns driver arrays.
+    """One pass over the users: X'W, W'W, sum of w.b, unsettled users; returns driver arrays.
 
     The size of all three is the size of the checked, broadcast factor.  The
     sums of all ``parts`` tasks go straight to the driver only if together they
@@ -212,19 +236,21 @@ def _round_broadcast(rows: DataFrame, parts: int, items: np.ndarray, alpha: floa
     def accumulate(batches):
         factor = shared.value
         gram = factor.T @ factor + alpha * size * np.eye(rank)
-        crossed, squares, fitted = np.zeros((size, rank)), np.zeros((rank, rank)), 0.0
+        crossed, squares = np.zeros((size, rank)), np.zeros((rank, rank))
+        fitted, unsettled = 0.0, 0
         for batch in batches:
-            for _, w, b, cell_items, cell_ratings, row_of in _solved_chunks(batch, factor, gram):
+            for open_rows, w, b, cell_items, cell_ratings, row_of in _solved_chunks(batch, factor, gram):
                 squares += w.T @ w
                 fitted += float((w * b).sum())
+                unsettled += open_rows
                 for j in range(rank):
                     crossed[:, j] += np.bincount(cell_items, cell_ratings * w[row_of, j], size)
         used = np.flatnonzero(crossed.any(axis=1))
-        # keys: items from 0, then the rows of W'W at -1 .. -k, then the scalar
-        keys = np.concatenate([used, -1 - np.arange(rank), [-1 - rank]])
-        scalar = np.zeros((1, rank))
-        scalar[0, 0] = fitted
-        values = np.vstack([crossed[used], squares, scalar])
+        # keys: items from 0, then the rows of W'W at -1 .. -k, then two scalars
+        keys = np.concatenate([used, -1 - np.arange(rank), [-1 - rank, -2 - rank]])
+        scalars = np.zeros((2, rank))
+        scalars[:, 0] = fitted, unsettled
+        values = np.vstack([crossed[used], squares, scalars])
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys.astype(np.int64)), *[pa.array(np.ascontiguousarray(values[:, j])) for j in range(rank)]],
             names,
@@ -232,7 +258,7 @@ def _round_broadcast(rows: DataFrame, parts: int, items: np.ndarray, alpha: floa
 
     schema = "key long, " + ", ".join(f"{v} double" for v in _value_columns(rank))
     partials = rows.mapInArrow(accumulate, schema)
-    if parts * (size + rank + 1) * rank * 8 > MODEL_BYTES:
+    if parts * (size + rank + 2) * rank * 8 > MODEL_BYTES:
         partials = _sum_by(partials, "key", rank)
     sums = partials.toPandas().groupby("key", as_index=False).sum()
     shared.destroy()
@@ -241,7 +267,8 @@ def _round_broadcast(rows: DataFrame, parts: int, items: np.ndarray, alpha: floa
     crossed[keys[keys >= 0]] = values[keys >= 0]
     inner = (keys < 0) & (keys >= -rank)
     squares[-1 - keys[inner]] = values[inner]
-    return crossed, squares, float(values[keys == -1 - rank][0, 0])
+    scalar = [float(values[keys == -k - rank][0, 0]) for k in (1, 2)]
+    return crossed, squares, scalar[0], int(scalar[1])
 
 
 def gram_matrix(df: DataFrame, column: str, normalise: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
@@ -280,7 +307,7 @@ def gram_matrix(df: DataFrame, column: str, normalise: bool = False) -> tuple[np
 
 
 def _solve_frame(sums: DataFrame, key: str, gram: np.ndarray, carry: list[str]) -> DataFrame:
-    """``(key, embedding, fitted, carry..)`` solved from the summed columns v0 .."""
+    """``(key, embedding, fitted, unsettled, carry..)`` solved from the summed columns v0 .."""
     rank = gram.shape[0]
     kept = [key, *carry]
 
@@ -289,12 +316,15 @@ def _solve_frame(sums: DataFrame, key: str, gram: np.ndarray, carry: list[str])
             if not batch.num_rows:
                 continue
             target = np.column_stack([batch.column(v).to_numpy(zero_copy_only=False) for v in _value_columns(rank)])
-            w = solve_rows(target, gram)
+            w, open_rows = solve_rows_counted(target, gram)
             fitted = pa.array((w * target).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], _lists(w), fitted], [*kept, VECTOR, "fitted"])
+            unsettled = pa.array(np.arange(len(w)) < open_rows)  # their number is what counts
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in kept], _lists(w), fitted, unsettled], [*kept, VECTOR, "fitted", "unsettled"]
+            )
 
     types = {f.name: f.dataType.simpleString() for f in sums.schema.fields}
-    schema = ", ".join(f"{c} {types[c]}" for c in kept) + f", {VECTOR} array<double>, fitted double"
+    schema = ", ".join(f"{c} {types[c]}" for c in kept) + f", {VECTOR} array<double>, fitted double, unsettled boolean"
     return sums.select(*kept, *_value_columns(rank)).mapInArrow(solve, schema)
 
 
@@ -305,7 +335,7 @@ def _weighted_sums(cells: DataFrame, factor: DataFrame, key: str, other: str, to
     return _sum_by(parts, other, rank)
 
 
-def _fit_joined(data: RatingCells, rank: int, alpha: float, iterations: int, tol: float, seed: int):
+def _fit_joined(data: RatingCells, rank: int, alpha: float, iterations: int, tol: float, seed: int, given: Start | None):
     """The rounds of ``fit`` with both factors as tables; nothing grows on the driver."""
     cells, n_items, facts = data.cells, data.n_items, data.facts
     total, n_users, squares_x = facts.cells, facts.users, facts.squares
@@ -324,7 +354,11 @@ def _fit_joined(data: RatingCells, rank: int, alpha: float, iterations: int, tol
                 [batch.column(ITEM), batch.column("_rows"), _lists(drawn)], [ITEM, "_rows", VECTOR]
             )
 
-    items = store(item_rows.mapInArrow(start, f"{ITEM} long, _rows long, {VECTOR} array<double>"), "items")
+    if given is None:
+        drawn = item_rows.mapInArrow(start, f"{ITEM} long, _rows long, {VECTOR} array<double>")
+    else:
+        drawn = item_rows.withColumn(VECTOR, given(F.col(ITEM)).cast("array<double>"))
+    items = store(drawn, "items")
     losses: list[float] = []
     for step in range(iterations + 1):
         item_gram, _, _ = gram_matrix(items.df, VECTOR)
@@ -332,7 +366,8 @@ def _fit_joined(data: RatingCells, rank: int, alpha: float, iterations: int, tol
         sums = _weighted_sums(cells, items.df, ITEM, USER, total, rank).join(user_rows, USER)
         users = store(_solve_frame(sums, USER, item_gram + ridge, ["_rows"]), "users")
         user_gram, _, _ = gram_matrix(users.df, VECTOR)
-        fitted = users.df.agg(F.sum("fitted")).first()[0]
+        fitted, unsettled = users.df.agg(F.sum("fitted"), F.count_if("unsettled")).first()
+        _report(unsettled, step)
         losses.append(_loss(squares_x, fitted, user_gram, item_gram, alpha, n_users, n_items))
         if step == iterations or _settled(losses, tol):
             users.discard()
@@ -353,6 +388,24 @@ def _loss(squares_x, fitted, user_gram, item_gram, alpha, n_users, n_items) -> f
     return 0.5 * (max(error, 0.0) + float(ridge))
 
 
+def _report(unsettled: int, step: int) -> None:
+    if unsettled:
+        logger.warning("round %d: %d users had not settled after %d sweeps", step, unsettled, SWEEPS)
+
+
+def _solve_spread(rows: DataFrame, target: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """``solve_rows`` on the driver for few rows, else on the executors."""
+    if target.size <= DRIVER_SOLVE:
+        return solve_rows(target, gram)
+    rank = target.shape[1]
+    table = pa.table({"key": np.arange(len(target)), **{v: target[:, j] for j, v in enumerate(_value_columns(rank))}})
+    spread = rows.sparkSession.createDataFrame(table).repartition(parallelism(rows.sparkSession))
+    solved = _solve_frame(spread, "key", gram, []).select("key", VECTOR).toArrow()  # as large as the target
+    out = np.empty_like(target)
+    out[solved["key"].to_numpy()] = solved[VECTOR].combine_chunks().flatten().to_numpy().reshape(-1, rank)
+    return out
+
+
 def _settled(losses: list[float], tol: float) -> bool:
     return len(losses) > 1 and losses[-2] - losses[-1] <= tol * max(losses[-2], 1e-30)
 
@@ -365,26 +418,35 @@ def fit(
     tol: float = 1e-4,
     seed: int = 42,
     model_bytes: int = MODEL_BYTES,
+    start: Start | None = None,
 ) -> Factorization:
     """Factorize a prepared rating table.
 
     One Spark job per round; stops after ``iterations`` item updates or when
-    the loss falls by less than ``tol`` of itself.
+    the loss falls by less than ``tol`` of itself (a negative ``tol`` never
+    stops).  ``start`` maps the item number to its first vector; without it the
+    vectors are random.  Users whose vector had not settled are logged.
     """
     n_items, facts = data.n_items, data.facts
     if n_items * rank * 8 > model_bytes:
-        items, losses = _fit_joined(data, rank, regularization, iterations, tol, seed)
+        items, losses = _fit_joined(data, rank, regularization, iterations, tol, seed, start)
         return Factorization(items, rank, regularization, losses)
     rows, n_users, squares_x = data.rows, facts.users, facts.squares
     scale = float(np.sqrt(facts.mean / rank))
-    items = start_vectors(np.arange(n_items), rank, scale, seed)
+    if start is None:
+        items = start_vectors(np.arange(n_items), rank, scale, seed)
+    else:
+        numbers = rows.sparkSession.range(n_items).select("id", start(F.col("id")).cast("array<double>").alias("v"))
+        given = numbers.toArrow().sort_by("id")  # the checked model size
+        items = np.array(given["v"].to_pylist(), np.float64)
     losses: list[float] = []
     for step in range(iterations + 1):
-        crossed, user_gram, fitted = _round_broadcast(rows, data.parts, items, regularization)
+        crossed, user_gram, fitted, unsettled = _round_broadcast(rows, data.parts, items, regularization)
+        _report(unsettled, step)
         losses.append(_loss(squares_x, fitted, user_gram, items.T @ items, regularization, n_users, n_items))
         if step == iterations or _settled(losses, tol):
             break
-        items = solve_rows(crossed, user_gram + regularization * n_users * np.eye(rank))
+        items = _solve_spread(rows, crossed, user_gram + regularization * n_users * np.eye(rank))
     table = pa.table({ITEM: np.arange(n_items), VECTOR: _lists(items)})  # the checked model size
     return Factorization(rows.sparkSession.createDataFrame(table), rank, regularization, losses)
 
@@ -464,13 +526,7 @@ def factor_metrics(
     cells zero (``legacy_inactive``: different from 1).  ``n_users`` overrides
     the number of matrix rows.
     """
-    spark = ratings.sparkSession
     user_gram, user_sum, user_rows = gram_matrix(users, VECTOR)
-    item_gram, item_sum, n_items = gram_matrix(items, VECTOR)
-    rows = user_rows if n_users is None else n_users
-    if rows == 0 or n_items == 0:
-        logger.warning("no metrics for empty dataset %s", dataset)
-        return spark.createDataFrame([], METRIC_SCHEMA)
     x, y = F.col("x"), F.col("y")
     cells = (
         ratings.filter(F.col(RATING) != 0)
@@ -479,23 +535,94 @@ def factor_metrics(
         .select(F.col(RATING).cast("double").alias("x"), dot(F.col("_w"), F.col("_h")).alias("y"))
     )
     other = F.col("x") != 1
-    s = cells.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[
-            F.coalesce(F.sum(e), F.lit(0.0)).alias(name)
-            for name, e in {
-                "xx": x * x,
-                "xy": x * y,
-                "yy": y * y,
-                "y": y,
-                "sse": (x - y) * (x - y),
-                "sae": F.abs(x - y),
-                "n_other": F.when(other, 1.0).otherwise(0.0),
-                "sse_other": F.when(other, (x - y) * (x - y)).otherwise(0.0),
-                "sae_other": F.when(other, F.abs(x - y)).otherwise(0.0),
-            }.items()
-        ],
-    ).first()
+    sums = {
+        "n": F.lit(1.0),
+        "xx": x * x,
+        "xy": x * y,
+        "yy": y * y,
+        "y": y,
+        "sse": (x - y) * (x - y),
+        "sae": F.abs(x - y),
+        "n_other": F.when(other, 1.0).otherwise(0.0),
+        "sse_other": F.when(other, (x - y) * (x - y)).otherwise(0.0),
+        "sae_other": F.when(other, F.abs(x - y)).otherwise(0.0),
+    }
+    s = cells.agg(*[F.coalesce(F.sum(sums[name]), F.lit(0.0)).alias(name) for name in CELL_SUMS]).first().asDict()
+    rows = user_rows if n_users is None else n_users
+    return _metrics_table(ratings.sparkSession, s, user_gram, user_sum, rows, items, dataset, legacy_inactive)
+
+
+# Sums over the stored cells that the metrics need.
+CELL_SUMS = ("n", "xx", "xy", "yy", "y", "sse", "sae", "n_other", "sse_other", "sae_other")
+
+
+def fold_in_metrics(
+    data: RatingCells,
+    items: DataFrame,
+    regularization: float = 0.0,
+    dataset: str = "test",
+    legacy_inactive: bool = False,
+    model_bytes: int = MODEL_BYTES,
+) -> DataFrame:
+    """``factor_metrics`` of the users folded in for ``items``.
+
+    While the item factor may be broadcast, one pass over the user rows solves
+    the users and adds up the errors of their cells: no vector is shuffled or
+    written.  Beyond, users are stored and joined.
+    """
+    item_gram, _, _ = gram_matrix(items, VECTOR)
+    rank = item_gram.shape[0]
+    if data.n_items * rank * 8 > model_bytes:
+        users = store(fold_in(data, items, regularization, model_bytes), "users")
+        metrics = factor_metrics(data.cells, users.df, items, dataset, legacy_inactive)
+        users.discard()
+        return metrics
+    gram = item_gram + regularization * data.n_items * np.eye(rank)
+    local = items.toPandas()  # below the checked model size
+    factor = np.zeros((data.n_items, rank))
+    factor[local[ITEM].to_numpy()] = np.array(local[VECTOR].tolist())
+    rows = data.rows
+    shared = rows.sparkSession.sparkContext.broadcast(factor)
+
+    def add_up(batches):
+        s = dict.fromkeys(CELL_SUMS, 0.0)
+        squares, total, users = np.zeros((rank, rank)), np.zeros(rank), 0
+        for batch in batches:
+            for _, w, _, cell_items, x, row_of in _solved_chunks(batch, shared.value, gram):
+                y = (w[row_of] * shared.value[cell_items]).sum(axis=1)
+                error, other = x - y, x != 1
+                for name, value in {
+                    "n": np.ones(len(x)), "xx": x * x, "xy": x * y, "yy": y * y, "y": y,
+                    "sse": error * error, "sae": np.abs(error), "n_other": other,
+                    "sse_other": (error * error)[other], "sae_other": np.abs(error)[other],
+                }.items():
+                    s[name] += float(value.sum())
+                squares += w.T @ w
+                total += w.sum(axis=0)
+                users += len(w)
+        if users:
+            values = [*s.values(), users, *total, *squares.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(np.array(values, np.float64))], ["at", "value"])
+
+    parts = rows.mapInArrow(add_up, "at long, value double").groupBy("at").agg(F.sum("value").alias("value"))
+    values = parts.toPandas().sort_values("at")["value"].to_numpy()
+    shared.destroy()
+    if not len(values):
+        values = np.zeros(len(CELL_SUMS) + 1 + rank + rank * rank)
+    s = dict(zip(CELL_SUMS, values.tolist(), strict=False))
+    rest = values[len(CELL_SUMS) :]
+    return _metrics_table(
+        rows.sparkSession, s, rest[1 + rank :].reshape(rank, rank), rest[1 : 1 + rank], int(rest[0]), items, dataset, legacy_inactive
+    )
+
+
+def _metrics_table(
+    spark, s: dict, user_gram: np.ndarray, user_sum: np.ndarray, rows: int, items: DataFrame, dataset: str, legacy_inactive: bool
+) -> DataFrame:
+    item_gram, item_sum, n_items = gram_matrix(items, VECTOR)
+    if rows == 0 or n_items == 0:
+        logger.warning("no metrics for empty dataset %s", dataset)
+        return spark.createDataFrame([], METRIC_SCHEMA)
     y_squares, y_total = float((user_gram * item_gram).sum()), float(user_sum @ item_sum)
     all_cells = rows * n_items
     zero_cells = all_cells - s["n"]
@@ -554,6 +681,7 @@ def grid_search(
     tol: float = 1e-4,
     model_bytes: int = MODEL_BYTES,
     unique_cells: bool = False,
+    start: Start | None = None,
 ) -> GridResult:
     """Fit every setting on ``train``, score it on ``test``, refit the best on both.
 
@@ -566,9 +694,8 @@ def grid_search(
 
     def attempt(setting):
         size, regularization, rounds = setting
-        model = fit(train_data, size, regularization, rounds, tol, seed, model_bytes)
-        users = store(fold_in(test_data, model.items, regularization, model_bytes), "test-users").df
-        metrics = factor_metrics(test_data.cells, users, model.items)
+        model = fit(train_data, size, regularization, rounds, tol, seed, model_bytes, start)
+        metrics = fold_in_metrics(test_data, model.items, regularization, model_bytes=model_bytes)
         return setting, metrics, performance_score(metrics, measure)
 
     settings = list(product(sizes, regularizations, iterations))
@@ -582,9 +709,7 @@ def grid_search(
     best = max(usable, key=lambda a: a[2])  # the first of equal scores
     both = train_data.joined_with(test_data)
     size, regularization, rounds = best[0]
-    model = fit(both, size, regularization, rounds, tol, seed, model_bytes)
-    for data in (train_data, test_data, both):
-        data.unpersist()
+    model = fit(both, size, regularization, rounds, tol, seed, model_bytes, start)
     scores = spark.createDataFrame(
         [(*s, float(v)) for s, _, v in attempts],
         "embedding_size int, regularization double, max_iterations int, score double",

@@ -182,7 +182,8 @@ def split_by_person(
     """Persons (not cells) go to train or test; users are numbered anew from 0.
 
     One index over (side, user) numbers both sides at once, and one join adds
-    it to the ratings.  Runs jobs.
+    it to the ratings.  The result is written once, a folder for each side, and
+    both sides read it back.  Runs jobs.
     """
     side = (hash_fraction(F.col(person), seed) >= F.lit(ratio)).cast("int")
     sided = persons.select(F.struct(side.alias("side"), F.col(USER)).alias("_key"))
@@ -196,11 +197,14 @@ def split_by_person(
     if index.bytes <= BROADCAST_BYTES:
         moved = ratings.join(F.broadcast(numbers), USER)
     else:
+        ratings = store(ratings, "ratings").df  # counted and joined
         sizes = store(ratings.groupBy(USER).agg(F.count(F.lit(1)).alias("_rows")), "user-sizes").df
         total = sizes.agg(F.sum("_rows")).first()[0] or 0
         moved = salted_join(ratings, numbers.join(sizes, USER), USER, total, [ITEM])
 
+    split = store(moved.select("_side", "_number", ITEM, RATING), "split", partition_by="_side").df
+
     def one_side(value: int) -> DataFrame:
-        return moved.filter(F.col("_side") == value).select(F.col("_number").alias(USER), ITEM, RATING)
+        return split.filter(F.col("_side") == value).select(F.col("_number").alias(USER), ITEM, RATING)
 
     return Split(one_side(0), one_side(1))

@@ -7,9 +7,9 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 
 from ..operators.cooccurrence import cooccurrence, cooccurrence_ratings
-from ..operators.factorization import GridResult, grid_search
+from ..operators.factorization import grid_search
 from ..operators.ratings import FEATURE, ITEM, PERSON, cohort_sample, sparse_ratings, split_by_person
-from ..session import store
+from ..session import scratch
 from ..sources import sinks
 
 # Default settings for persons x features ..
@@ -29,9 +29,18 @@ class Trained(NamedTuple):
     scores: DataFrame  # one row per tried setting
 
 
-def _finish(result: GridResult, features: DataFrame) -> Trained:
-    named = result.items.join(features.select(FEATURE, ITEM), ITEM).select(ITEM, FEATURE, "embedding")
-    return Trained(named, features, result.metrics, result.scores)
+def _train(log: DataFrame, make, key: str, settings: tuple, ratio: float, seed: int, measure: str, workers: int, solver) -> Trained:
+    """Ratings, split, grid search; only what is returned stays in the shared folder."""
+    sizes, regularizations, iterations = (list(x) for x in settings)
+    with scratch(log.sparkSession) as tables:
+        indexed = make(log)
+        features = tables.keep(indexed.features, "features")
+        train, test = split_by_person(indexed.ratings, indexed.persons, ratio, seed, key)
+        result = grid_search(
+            train, test, features.count(), sizes, regularizations, iterations, measure, workers, unique_cells=True, **solver
+        )
+        named = result.items.join(features.select(FEATURE, ITEM), ITEM).select(ITEM, FEATURE, "embedding")
+        return Trained(tables.keep(named, "embeddings"), features, result.metrics, result.scores)
 
 
 def train_embeddings(
@@ -49,22 +58,8 @@ def train_embeddings(
     """Embeddings from persons x features; ``sample`` takes that share of the persons."""
     if sample is not None:
         log = cohort_sample(log, sample, seed)
-    indexed = sparse_ratings(log, mode="sum")
-    features = store(indexed.features, "features").df
-    train, test = split_by_person(indexed.ratings, indexed.persons, ratio, seed, PERSON)
-    result = grid_search(
-        train,
-        test,
-        features.count(),
-        list(sizes),
-        list(regularizations),
-        list(iterations),
-        measure,
-        workers,
-        unique_cells=True,
-        **solver,
-    )
-    return _finish(result, features)
+    settings = sizes, regularizations, iterations
+    return _train(log, lambda x: sparse_ratings(x, mode="sum"), PERSON, settings, ratio, seed, measure, workers, solver)
 
 
 def train_cooccurrence_embeddings(
@@ -82,22 +77,10 @@ def train_cooccurrence_embeddings(
     """Embeddings from feature co-occurrence; rows of the count table are split."""
     if sample is not None:
         log = cohort_sample(log, sample, seed)
-    indexed = cooccurrence_ratings(cooccurrence(log))
-    features = store(indexed.features, "features").df
-    train, test = split_by_person(indexed.ratings, indexed.persons, ratio, seed, FEATURE)
-    result = grid_search(
-        train,
-        test,
-        features.count(),
-        list(sizes),
-        list(regularizations),
-        list(iterations),
-        measure,
-        workers,
-        unique_cells=True,
-        **solver,
+    settings = sizes, regularizations, iterations
+    return _train(
+        log, lambda x: cooccurrence_ratings(cooccurrence(x)), FEATURE, settings, ratio, seed, measure, workers, solver
     )
-    return _finish(result, features)
 
 
 def save_training(trained: Trained, folder: str, file_format: str = "parquet") -> None:

@@ -973,42 +973,162 @@ def _brand_cells(spark, folder):
     return factorization.RatingCells(indexed.ratings, indexed.features.count(), unique_cells=True)
 
 
-@query("nmf_embeddings")
+# One dimension from a given start: each half round is one division per row, so
+# a few rounds can be written down in SQL.  Higher ranks are tested in pytest.
+_ALPHA, _ROUNDS = 0.001, 3
+_START_SQL = "CAST(1 AS DOUBLE) / (1 + item % 6)"
+
+
+def _start(item):
+    return F.array(1 / (1 + item % 6))
+
+
+def _solver() -> dict:
+    return {"start": _start, "tol": -1.0}
+
+
+_LOG_CELLS = """,
+cells AS (SELECT "user", item, CAST(COUNT(*) AS DOUBLE) AS x FROM interactions_brand i
+          JOIN p ON i.person_id = p.person_id JOIN f ON i.feature_name = f.feature_name GROUP BY 1, 2)"""
+_BRAND = oracle("interactions_brand", "").rstrip() + _INDEXED_BRAND.rstrip()
+
+
+def _rounds(rounds: int = _ROUNDS, alpha: float = _ALPHA, cells: str = "cells", name: str = "t") -> str:
+    """Common table expressions up to ``{name}_h{rounds}``, the item vectors."""
+    parts = [f"{name}_h0 AS (SELECT item, {_START_SQL} AS h FROM f)"]
+    for r in range(1, rounds + 1):
+        h, w = f"{name}_h{r - 1}", f"{name}_w{r}"
+        parts.append(f"""{w} AS (SELECT "user", SUM(x * h) / ((SELECT SUM(h * h) FROM {h}) + {alpha} * (SELECT COUNT(*) FROM f)) AS w
+FROM {cells} c JOIN {h} h ON c.item = h.item GROUP BY "user")""")
+        parts.append(f"""{name}_h{r} AS (SELECT f.item, coalesce(SUM(x * w), 0)
+/ ((SELECT SUM(w * w) FROM {w}) + {alpha} * (SELECT COUNT(*) FROM {w})) AS h
+FROM f LEFT JOIN (SELECT c.item, x, w FROM {cells} c JOIN {w} w ON c."user" = w."user") s ON f.item = s.item GROUP BY f.item)""")
+    return ",\n" + ",\n".join(parts)
+
+
+_ITEM_VECTORS = f"""
+SELECT CAST(item AS BIGINT) AS item, CAST(0 AS INTEGER) AS dimension, round(h, 6) AS value FROM t_h{_ROUNDS}"""
+_NAMED_VECTORS = f"""
+SELECT CAST(h.item AS BIGINT) AS item, feature_name, CAST(0 AS INTEGER) AS dimension, round(h, 6) AS value
+FROM t_h{_ROUNDS} h JOIN f ON h.item = f.item"""
+
+
+def _fitted(spark, folder, **options):
+    data = _brand_cells(spark, folder)
+    return _unnested(factorization.fit(data, 1, _ALPHA, _ROUNDS, **_solver(), **options).items, "item")
+
+
+@query("nmf_embeddings", _BRAND + _LOG_CELLS + _rounds() + _ITEM_VECTORS)
 def _(spark, folder):
-    return _unnested(factorization.fit(_brand_cells(spark, folder), 6, 0.0, 30).items, "item")
+    return _fitted(spark, folder)
 
 
-@query("nmf_fold_in")
+@query("nmf_embeddings_joined", _BRAND + _LOG_CELLS + _rounds() + _ITEM_VECTORS)
 def _(spark, folder):
-    data = _brand_cells(spark, folder)
-    model = factorization.fit(data, 6, 0.001, 10)
-    return _unnested(factorization.fold_in(data, model.items, 0.001), "user")
+    return _fitted(spark, folder, model_bytes=0)
+
+
+# vectors with one dimension of three set, so that each is solved by itself
+_FIXED = [f"CASE WHEN item % 3 = {j} THEN {_START_SQL} ELSE 0 END" for j in range(3)]
+
+
+@query(
+    "nmf_fold_in",
+    _BRAND
+    + _LOG_CELLS
+    + f""",
+norms AS (SELECT item % 3 AS dimension, SUM(({_START_SQL}) * ({_START_SQL})) AS hh FROM f GROUP BY 1)
+SELECT CAST(u."user" AS BIGINT) AS "user", CAST(n.dimension AS INTEGER) AS dimension,
+       round(coalesce(SUM(x * {_START_SQL.replace('item', 'c.item')}), 0) / (MAX(hh) + {_ALPHA} * (SELECT COUNT(*) FROM f)), 6) AS value
+FROM (SELECT DISTINCT "user" FROM cells) u CROSS JOIN norms n
+LEFT JOIN cells c ON c."user" = u."user" AND c.item % 3 = n.dimension GROUP BY 1, 2""",
+)
+def _(spark, folder):
+    indexed = ratings.sparse_ratings(view(spark, folder, "interactions_brand"), mode="sum")
+    data = factorization.RatingCells(indexed.ratings, indexed.features.count(), unique_cells=True)
+    vectors = F.array(*[F.expr(v).cast("double") for v in _FIXED])
+    return _unnested(factorization.fold_in(data, indexed.features.select("item", vectors.alias("embedding")), _ALPHA), "user")
+
+
+_GRID_ALPHAS = (0.0, 0.001)
+
+
+def _grid_oracle() -> str:
+    """Score of each setting: rounds on the train side, fold-in and error on the test side."""
+    text = _BRAND + f""",
+s AS (SELECT *, CASE WHEN {_FRACTION.format(key="person_id")} < 0.9 THEN 0 ELSE 1 END AS side FROM p),
+sided AS (SELECT s."user", item, side, CAST(COUNT(*) AS DOUBLE) AS x FROM interactions_brand i
+          JOIN s ON i.person_id = s.person_id JOIN f ON i.feature_name = f.feature_name GROUP BY 1, 2, 3),
+train AS (SELECT * FROM sided WHERE side = 0),
+test AS (SELECT * FROM sided WHERE side = 1)"""
+    scores = []
+    for k, alpha in enumerate(_GRID_ALPHAS):
+        h = f"g{k}_h2"
+        text += _rounds(2, alpha, "train", f"g{k}") + f""",
+g{k}_w AS (SELECT "user", SUM(x * h) / ((SELECT SUM(h * h) FROM {h}) + {alpha} * (SELECT COUNT(*) FROM f)) AS w
+           FROM test c JOIN {h} h ON c.item = h.item GROUP BY "user"),
+g{k}_e AS (SELECT (SUM(x * x) - 2 * SUM(x * w * h) + (SELECT SUM(w * w) FROM g{k}_w) * (SELECT SUM(h * h) FROM {h}))
+                  / ((SELECT COUNT(*) FROM g{k}_w) * (SELECT COUNT(*) FROM f)) AS mse
+           FROM test c JOIN {h} h ON c.item = h.item JOIN g{k}_w w ON c."user" = w."user")"""
+        scores.append(
+            f"SELECT CAST(1 AS INTEGER) AS embedding_size, CAST({alpha} AS DOUBLE) AS regularization, "
+            f"CAST(2 AS INTEGER) AS max_iterations, round(1 / (1 + mse), 6) AS score FROM g{k}_e"
+        )
+    return text + "\n" + "\nUNION ALL\n".join(scores)
 
 
-@query("nmf_grid_search")
+@query("nmf_grid_search", _grid_oracle())
 def _(spark, folder):
     indexed = ratings.sparse_ratings(view(spark, folder, "interactions_brand"), mode="sum")
     train, test = ratings.split_by_person(indexed.ratings, indexed.persons, 0.9)
     found = factorization.grid_search(
-        train, test, indexed.features.count(), [4, 8], [0.0, 0.001], [10], "MSE", workers=4, unique_cells=True
+        train, test, indexed.features.count(), [1], list(_GRID_ALPHAS), [2], "MSE", workers=2, unique_cells=True, **_solver()
     )
     return found.scores
 
 
-@query("nmf_ranked_list")
+_TRAINING = (1,), (_ALPHA,), (_ROUNDS,)
+
+
+@query(
+    "nmf_ranked_list",
+    _BRAND
+    + _LOG_CELLS
+    + _rounds()
+    + f""",
+named AS (SELECT feature_name, h FROM t_h{_ROUNDS} h JOIN f ON h.item = f.item),
+sims AS (SELECT a.feature_name, b.feature_name AS referential, 1 / (1 + abs(a.h - b.h)) AS score FROM named a CROSS JOIN named b)"""
+    + _RANKED
+    + """SELECT feature_name, round(AVG(score), 6) AS mean_score, round(median(score), 6) AS median_score,
+round(AVG(rank), 6) AS mean_rank, round(median(rank), 6) AS median_rank,
+CAST(SUM(CASE WHEN rank <= 5 THEN 1 ELSE 0 END) AS BIGINT) AS number_in_top_5
+FROM ranked GROUP BY feature_name""",
+)
 def _(spark, folder):
-    trained = training.train_embeddings(view(spark, folder, "interactions_brand"), (6,), (0.0,), (20,))
-    return similarity.embedding_ranked_list(trained.embeddings.drop("feature_name"), trained.features)
+    log = view(spark, folder, "interactions_brand")
+    trained = training.train_embeddings(log, *_TRAINING, measure="MSE", **_solver())
+    return similarity.embedding_ranked_list(
+        trained.embeddings.drop("feature_name"), trained.features, wide=False, measure="euclidean", top_k=5
+    )
 
 
-@query("train_embeddings")
+@query("train_embeddings", _BRAND + _LOG_CELLS + _rounds() + _NAMED_VECTORS)
 def _(spark, folder):
-    trained = training.train_embeddings(view(spark, folder, "interactions_brand"), (4, 8), (0.0,), (20,), workers=2)
+    log = view(spark, folder, "interactions_brand")
+    trained = training.train_embeddings(log, *_TRAINING, measure="MSE", **_solver())
     return _unnested(trained.embeddings, "item", "feature_name")
 
 
-@query("train_embeddings_cooc")
+@query(
+    "train_embeddings_cooc",
+    _BRAND
+    + f""",
+cells AS (SELECT a.item AS "user", b.item, CAST(n AS DOUBLE) AS x FROM ({_PAIR_COUNTS.format(log="interactions_brand")}) x
+          JOIN f a ON x.feature_name = a.feature_name JOIN f b ON x.feature_name_other = b.feature_name)"""
+    + _rounds()
+    + _NAMED_VECTORS,
+)
 def _(spark, folder):
     log = view(spark, folder, "interactions_brand")
-    trained = training.train_cooccurrence_embeddings(log, (6,), (0.0,), (20,), ratio=0.9)
+    trained = training.train_cooccurrence_embeddings(log, *_TRAINING, ratio=0.9, measure="MSE", **_solver())
     return _unnested(trained.embeddings, "item", "feature_name")

@@ -1,9 +1,11 @@
+import os
+
 import numpy as np
 import pytest
 
 from cohortvec.operators import factorization as N
 from cohortvec.plans.training import save_training, train_cooccurrence_embeddings, train_embeddings
-from cohortvec.session import discard_stored, shared_folder, store
+from cohortvec.session import discard_stored, scratch, shared_folder, store
 from cohortvec.sources.events import synthetic_events
 
 CELLS = "user long, item long, rating double"
@@ -95,6 +97,45 @@ def test_metrics_equal_the_dense_ones(spark, counts, legacy):
     assert [got[m] for m in N.METRICS] == pytest.approx(list(want))
 
 
+@pytest.mark.parametrize("legacy", [False, True])
+def test_metrics_in_one_pass_are_the_joined_ones(counts, legacy):
+    _, data = counts
+    items = N.fit(data, 3, 0.01, 2).items
+    users = N.fold_in(data, items, 0.01)
+    joined = N.factor_metrics(data.cells, users, items, legacy_inactive=legacy).collect()
+    for size in (0, N.MODEL_BYTES):
+        passed = N.fold_in_metrics(data, items, 0.01, legacy_inactive=legacy, model_bytes=size).collect()
+        assert [r.metric for r in passed] == [r.metric for r in joined]
+        assert [r.value for r in passed] == pytest.approx([r.value for r in joined])
+
+
+def test_rows_are_solved_alone(monkeypatch):
+    rng = np.random.default_rng(3)
+    a = rng.random((9, 4))
+    b = rng.standard_normal((70, 9)) @ a
+    together = N.solve_rows(b, a.T @ a)
+    assert (together == np.vstack([N.solve_rows(row[None], a.T @ a) for row in b])).all()
+    assert N.solve_rows_counted(b, a.T @ a)[1] == 0
+    monkeypatch.setattr(N, "SWEEPS", 1)
+    assert 0 < N.solve_rows_counted(b, a.T @ a)[1] <= 70
+
+
+def test_items_solved_on_executors(counts, monkeypatch):
+    _, data = counts
+    here = matrix_of(N.fit(data, 3, 0.01, 3).items, "item", 30)
+    monkeypatch.setattr(N, "DRIVER_SOLVE", 0)
+    assert np.allclose(here, matrix_of(N.fit(data, 3, 0.01, 3).items, "item", 30))
+
+
+def test_given_start_and_both_ways(counts):
+    from pyspark.sql import functions as F
+
+    _, data = counts
+    start = lambda item: F.array(1 / (1 + item % 6), 1 / (2 + item % 4))
+    ways = [N.fit(data, 2, 0.01, 4, tol=-1, model_bytes=b, start=start) for b in (0, N.MODEL_BYTES)]
+    assert ways[0].losses == pytest.approx(ways[1].losses, rel=1e-9)
+
+
 def test_scores(spark):
     metrics = spark.createDataFrame([("MSE", 0.25, "test"), ("similarity_variance", 0.1, "test")], N.METRIC_SCHEMA)
     assert N.performance_score(metrics) == pytest.approx(0.8)
@@ -152,6 +193,40 @@ def test_synthetic_events(spark):
     assert sorted(log.collect()) == sorted(synthetic_events(spark, ["a", "b", "c"], 100, 20).repartition(3).collect())
 
 
+def stored_files(spark):
+    root = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    return {f"{d}/{f}" for d, _, names in os.walk(root) for f in names}
+
+
+def test_scopes_remove_their_tables(spark):
+    before = stored_files(spark)
+    with scratch(spark) as outer:
+        five = store(spark.range(5), "five").df
+        with scratch(spark):
+            assert store(five, "inner").df.count() == 5
+        kept = outer.keep(five, "kept")
+        assert five.count() == 5
+    assert kept.count() == 5
+    with pytest.raises(Exception):
+        spark.read.parquet(five.inputFiles()[0]).count()
+    assert {p.split("/kept")[0] for p in stored_files(spark) - before} == {p.split("/kept")[0] for p in kept_files(spark)}
+
+
+def kept_files(spark):
+    return {p for p in stored_files(spark) if "/kept-" in p}
+
+
+def test_training_leaves_nothing_in_a_scope(spark):
+    log = synthetic_events(spark, [f"event {i}" for i in range(8)], persons=60, events_per_person=10)
+    before = stored_files(spark)
+    with scratch(spark):
+        trained = train_embeddings(log, (2,), (0.0,), (2,))
+        assert trained.embeddings.count() == 8
+        inside = {p.split("/kept-")[0] for p in stored_files(spark) - before if p.endswith(".parquet")}
+        assert len(inside) == 1  # embeddings and features only
+    assert stored_files(spark) == before
+
+
 def test_stored_tables_use_the_configured_folder(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     kept = store(spark.range(5), "five")
