@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import bound_batches
+
 # Fixed values of the template.
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>\n"
 LEARNED_ROLES = ("assistant",)
@@ -115,6 +117,7 @@ def format_conversations(
         F.expr(f"cast(null as {PARTS})") if parts_col is None else F.col(parts_col).cast(PARTS)
     ).alias("parts")
     text = (F.lit(None).cast("string") if parts_col is not None else F.col(text_col)).alias("text")
+    bound_batches(turns.sparkSession)
     rows = turns.select(
         F.col(conv_col).cast("bigint").alias("conv_id"),
         F.col(turn_col).cast("bigint").alias("turn"),

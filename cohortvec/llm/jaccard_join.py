@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_groups
 from ..session import store
-from .sizes import BROADCAST_ROWS, join_counted, store_counted
+from .sizes import BROADCAST_ROWS, bound_batches, join_counted, store_counted
 from .words import U64, Words, from_planes, groups_of_rows, mix, planes, rolling, split_words
 
 SHINGLE = 5
@@ -291,6 +291,7 @@ def near_duplicate_groups(
     written to the shared folder.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     profiles = store(rows.mapInArrow(_profiles(shingle), PROFILE), "set-profiles").df
     of_docs = profiles.filter(F.col("part").isNull())

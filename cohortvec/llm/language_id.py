@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import bound_batches
 from .words import LOWER, SPACE, U64, groups_of_rows, string_bytes
 
 HASH_BITS = 15
@@ -113,6 +114,7 @@ def fit_languages(
     unknown.  ``right`` is the share of right answers above the rejection
     threshold.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
@@ -210,6 +212,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "tex
                 columns["rejected"] = pa.array(~known | (score < model.reject_below), pa.bool_())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
+    bound_batches(docs.sparkSession)
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string, score double, rejected boolean"])
     return docs.select(*[f"`{f.name}`" for f in kept], letter.alias("_letter")).mapInArrow(run, schema)

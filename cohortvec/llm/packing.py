@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .sizes import bound_batches
 from .words import groups_of_rows
 
 CAPACITY = 2048
@@ -247,5 +248,6 @@ def pack_documents(
         sequences.pack()
         yield sequences.taken()
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, SCHEMA)

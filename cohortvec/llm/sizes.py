@@ -1,8 +1,8 @@
-"""Joins that broadcast only what was counted to be small."""
+"""Bounds on what is broadcast and on what a task holds at a time."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import store
@@ -11,6 +11,22 @@ from ..session import store
 BROADCAST_ROWS = 500_000
 
 
+# Rows with whole texts that travel to Python in one Arrow batch.
+BATCH_ROWS = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS, for rows with whole texts.
+
+    Both the JVM and Python hold a batch several times over; a smaller setting
+    of the session stays.
+    """
+    rows = int(spark.conf.get(BATCH_SETTING))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+
+
 def join_counted(
     large: DataFrame, small: DataFrame, rows: int, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS
 ) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranges import range_bounds, range_number
+from .sizes import bound_batches
 from .words import U64, Words, from_planes, groups_of_rows, planes, rolling, split_words, window_starts
 
 BLOCK_BYTES = 4 << 20
@@ -58,6 +59,7 @@ def remove_repeated_windows(
     lose every word that a window covers.  Other columns are not looked at.
     Runs two jobs for the sizes; the rest is lazy.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     bounds = range_bounds(rows, "doc_id", "text", block_bytes)
     spark = docs.sparkSession

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import bound_batches
 from .words import U64, Words, groups_of_rows, mix, split_words
 
 HASH_BITS = 20
@@ -86,6 +87,7 @@ def fit_toxicity(
     larger counts.  Features of fewer than ``min_rows`` drawn rows are left out.
     Without any row of class 1 every score is 0.
     """
+    bound_batches(docs.sparkSession)
     ids = (
         labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
         .dropna()
@@ -187,5 +189,6 @@ def score_toxicity(
                 kept[predicted_col] = pa.array((score >= threshold).astype(np.int32), pa.int32())
                 yield pa.RecordBatch.from_arrays(list(kept.values()), list(kept))
 
+    bound_batches(docs.sparkSession)
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in (score_col, predicted_col)]
     return docs.mapInArrow(run, ", ".join([*kept, f"`{score_col}` double", f"`{predicted_col}` int"]))

@@ -158,7 +158,7 @@ def window_starts(words: Words, size: int) -> np.ndarray:
     return np.flatnonzero(np.arange(len(words.hash)) <= last)
 
 
-def groups_of_rows(batch: pa.RecordBatch, texts: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def groups_of_rows(batch: pa.RecordBatch, texts: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with about ``limit`` bytes of text each."""
     if not batch.num_rows:
         return
