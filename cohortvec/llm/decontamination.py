@@ -231,7 +231,7 @@ def contamination(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
-        F.coalesce(F.size("item_ids"), F.lit(0)).cast("bigint").alias("n_items"),
+        F.coalesce(F.array_size("item_ids"), F.lit(0)).cast("bigint").alias("n_items"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
         ((n_hit > 0) & (HIT_SHARE * n_hit >= F.col("n_words"))).alias("contaminated"),
     )

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import new_path
 from .chat import format_conversations, read_back
 from .decontamination import contamination
 from .exact_dedup import exact_duplicates
 from .jaccard_join import near_duplicate_groups
 from .language_id import fit_languages, predict_language
+from .line_dedup import remove_repeated_chunks
 from .packing import pack_documents
 from .substring_dedup import remove_repeated_windows
+from .token_output import read_positions, write_training_order
 from .toxicity import fit_toxicity, score_toxicity
 
 
@@ -64,6 +67,11 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = remove_repeated_chunks(_read(spark, folder, "documents"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def _fold(folds: int) -> Column:
     """Fold of a document; a null id is in none."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
@@ -85,6 +93,12 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(_read(spark, folder, "documents"))
 
 
+def op9_token_output(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_path(spark, "training-order")
+    write_training_order(_read(spark, folder, "documents"), path)
+    return read_positions(spark, path).select("position", "shard", "slot", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents").select("doc_id", "text")
     held_out = F.coalesce(_fold(4) == 2, F.lit(True))
@@ -98,9 +112,11 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_chat_format": op3_chat_format,
     "op4_packing": op4_packing,
+    "op5_line_dedup": op5_line_dedup,
     "op6_language_id": op6_language_id,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_token_output": op9_token_output,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -157,6 +173,22 @@ ORACLES = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (learned), '')) AS loss_sha256,
                CAST(SUM(chars) AS BIGINT) AS formatted_chars
         FROM m GROUP BY conv_id""",
+    # chunks end where h(line) + 31 h(line before) is a multiple of four
+    "op5_line_dedup": r"""
+        WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+        l AS (SELECT doc_id, i, lines[i] AS line, CAST('0x' || substr(md5(lines[i]), 1, 7) AS BIGINT) AS h
+              FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+        b AS (SELECT *, CAST((h + 31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 4 = 0 AS INTEGER) AS cut FROM l),
+        c AS (SELECT *, coalesce(SUM(cut) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM b),
+        k AS (SELECT doc_id, part, MIN(i) AS p, COUNT(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY 1, 2),
+        r AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, p) AS nth FROM k WHERE n > 1),
+        g AS (SELECT doc_id, part FROM r WHERE nth > 1),
+        x AS (SELECT c.doc_id, COUNT(*) AS n_lines, COUNT(g.part) AS n_removed,
+                     string_agg(CASE WHEN g.part IS NULL THEN line END, chr(10) ORDER BY i) AS kept
+              FROM c LEFT JOIN g ON c.doc_id = g.doc_id AND c.part = g.part GROUP BY c.doc_id)
+        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN x ON d.doc_id = x.doc_id""",
     # all pairs that share a shingle, then the links' transitive closure
     "op7_ngram_jaccard_join": r"""
         WITH RECURSIVE d AS (
