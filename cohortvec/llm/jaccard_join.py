@@ -110,6 +110,11 @@ def _profiles(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, waiting, held = [], [], 0
         counters = np.zeros(1 << COUNTER_BITS, np.int64)
+
+        def count() -> None:
+            seen, times = np.unique(np.concatenate(waiting), return_counts=True)
+            counters[seen.astype(np.int64)] += times
+
         for doc_id, tokens in _each_set(batches, size):
             if len(tokens):
                 minima = [int(mix(tokens ^ s).min().view(np.int64)) for s in salts]
@@ -119,7 +124,7 @@ def _profiles(size: int):
             waiting.append(tokens >> U64(64 - COUNTER_BITS))
             held += len(tokens)
             if held >= TASK_POSTINGS:
-                counters += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=len(counters))
+                count()
                 waiting, held = [], 0
             if len(rows) >= 5000:
                 yield documents(rows)
@@ -127,7 +132,7 @@ def _profiles(size: int):
         if rows:
             yield documents(rows)
         if waiting:
-            counters += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=len(counters))
+            count()
         if counters.any():
             parts = counters.reshape(-1, 1 << PART_BITS)
             full = [k for k in range(len(parts)) if parts[k].any()]
@@ -185,7 +190,7 @@ def _postings(size: int, classes, buckets_bits: int):
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(classes.value, np.uint8).astype(U64) << U64(56)
+        table = np.frombuffer(classes.value, np.uint8)
         waiting, held, seen = [[] for _ in salts], 0, set()
         for _, tokens in _each_set(batches, size):
             n = len(tokens)
@@ -193,7 +198,7 @@ def _postings(size: int, classes, buckets_bits: int):
             if not n or sid in seen:
                 continue  # the same set in this task has posted
             seen.add(sid)
-            rare = table[(tokens >> U64(64 - COUNTER_BITS)).astype(np.int64)]
+            rare = table[(tokens >> U64(64 - COUNTER_BITS)).astype(np.int64)].astype(U64) << U64(56)
             prefix = n - -(-PERCENT * n // 100) + 1
             for posted, salt in zip(waiting, salts, strict=True):
                 keys = rare | (mix(tokens ^ salt) >> U64(8))

@@ -14,7 +14,7 @@ import pyarrow as pa
 U64 = np.uint64
 
 # Bytes hashed at a time; bounds the working memory, not the text.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 # Odd multipliers of the byte, word and mixing steps.
 BYTE_BASE = 0x9E3779B97F4A7C15
