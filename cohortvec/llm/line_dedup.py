@@ -1,10 +1,14 @@
-"""Line deduplication over content-defined chunks of lines.
+"""Line deduplication over content-defined chunks of lines, or over all line pairs.
 
 DataFrame functions only.  A rolling hash over the hashes of the last lines
 decides where a chunk ends, so the same lines are cut in the same places
 wherever they stand in a document.  Chunks of several lines whose hash occurs
 more than once are compared by their bytes; all but the first of equal chunks
 are removed.
+
+Chunks find a repeated passage only where both copies are cut alike and in
+several lines, and most are not.  ``remove_repeated_runs`` takes the lines two by
+two at every place instead, so it finds every repeated passage.
 """
 
 from __future__ import annotations
@@ -94,6 +98,45 @@ def remove_repeated_chunks(
     Runs jobs; intermediate tables are written to the shared folder.
     """
     chunks = line_chunks(docs, id_col, text_col, mean_lines, window_lines).filter(F.col("end") - F.col("start") > 1)
+    return _without_repeats(_keyed(docs, id_col, text_col), chunks, broadcast_rows)
+
+
+def line_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every two adjacent lines, as ``line_chunks`` gives chunks."""
+    rows = _keyed(docs, id_col, text_col).filter(F.col("text").isNotNull())
+    rows = rows.withColumn("lines", F.split("text", "\n", -1))
+    n = F.size("lines") - 1
+    pairs = F.zip_with(F.slice("lines", F.lit(1), n), F.slice("lines", F.lit(2), n), lambda a, b: F.concat_ws("\n", a, b))
+    return rows.select(*KEY, F.posexplode(pairs).alias("start", "chunk")).select(
+        *KEY, "start", (F.col("start") + 2).alias("end"), "chunk"
+    )
+
+
+def remove_repeated_runs(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """One row per document, as ``remove_repeated_chunks``; ``removed`` has maximal runs of lines.
+
+    A line goes when two adjacent lines, of which it is one, also stand earlier:
+    in a document with a smaller id, or before in the same document.  So every
+    repeated passage of two lines or more goes, wherever it begins, and the first
+    place of a line always stays.  All pairs are judged on the input; a single
+    line that repeats between others stays.  Edge cases as in
+    ``remove_repeated_chunks``.
+    """
+    return _without_repeats(_keyed(docs, id_col, text_col), line_pairs(docs, id_col, text_col), broadcast_rows, overlapping=True)
+
+
+def _runs(spans: str) -> Column:
+    """Spans that may overlap, as maximal runs in order."""
+    places = F.array_distinct(F.flatten(F.transform(spans, lambda r: F.sequence(r["start"], r["end"] - 1))))
+    after = F.transform(places, lambda p: p + 1)
+    starts, ends = F.array_sort(F.array_except(places, after)), F.array_sort(F.array_except(after, places))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+
+
+def _without_repeats(keyed: DataFrame, chunks: DataFrame, broadcast_rows: int, overlapping: bool = False) -> DataFrame:
+    """The rows of ``keyed`` without the chunks that stand earlier too."""
     hashed = chunks.withColumn("chunk_hash", F.xxhash64("chunk"))
     # copies of a chunk are counted map-side, so no chunk is a hot key
     repeated, n_repeated = store_counted(
@@ -116,13 +159,11 @@ def remove_repeated_chunks(
     )
     later = F.struct("doc_key", "text_hash", "start") != F.col("first")
     gone = join_counted(placed.drop("chunk"), equal, n_equal, ["chunk_hash", "chunk_sha"], "inner", broadcast_rows).filter(later)
-    removed, n_docs = store_counted(
-        gone.groupBy(*KEY).agg(
-            F.array_sort(F.collect_set(F.struct(F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end")))).alias("removed")
-        ),
-        "removed",
+    spans = gone.groupBy(*KEY).agg(
+        F.array_sort(F.collect_set(F.struct(F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end")))).alias("removed")
     )
-    joined = join_counted(_keyed(docs, id_col, text_col), removed, n_docs, KEY, "left", broadcast_rows // 10)
+    removed, n_docs = store_counted(spans.withColumn("removed", _runs("removed")) if overlapping else spans, "removed")
+    joined = join_counted(keyed, removed, n_docs, KEY, "left", broadcast_rows // 10)
     split = joined.withColumn("lines", F.split("text", "\n", -1))
     # places of the kept lines by a set difference: one step per line
     places = F.sequence(F.lit(0).cast("bigint"), F.size("lines").cast("bigint") - 1)

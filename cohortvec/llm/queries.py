@@ -11,7 +11,7 @@ from .decontamination import contamination
 from .exact_dedup import exact_duplicates
 from .jaccard_join import near_duplicate_groups
 from .language_id import fit_languages, predict_language
-from .line_dedup import remove_repeated_chunks
+from .line_dedup import remove_repeated_chunks, remove_repeated_runs
 from .packing import pack_documents
 from .substring_dedup import remove_repeated_windows
 from .token_output import read_positions, write_training_order
@@ -72,6 +72,11 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_line_runs(spark: SparkSession, folder: str) -> DataFrame:
+    cut = remove_repeated_runs(_read(spark, folder, "documents"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def _fold(folds: int) -> Column:
     """Fold of a document; a null id is in none."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
@@ -113,6 +118,7 @@ QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,
+    "op5_line_runs": op5_line_runs,
     "op6_language_id": op6_language_id,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_exact_dedup": op8_exact_dedup,
@@ -189,6 +195,20 @@ ORACLES = {
         SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN x ON d.doc_id = x.doc_id""",
+    # every two adjacent lines' first place; a later place takes both lines
+    "op5_line_runs": r"""
+        WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+        l AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM d),
+        p AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM l),
+        r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line, following ORDER BY doc_id, i) AS nth
+              FROM p WHERE following IS NOT NULL),
+        g AS (SELECT DISTINCT doc_id, unnest([i, i + 1]) AS i FROM r WHERE nth > 1),
+        x AS (SELECT l.doc_id, COUNT(*) AS n_lines, COUNT(g.i) AS n_removed,
+                     string_agg(CASE WHEN g.i IS NULL THEN line END, chr(10) ORDER BY l.i) AS kept
+              FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
+        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN x ON d.doc_id = x.doc_id""",
     # all pairs that share a shingle, then the links' transitive closure
     "op7_ngram_jaccard_join": r"""
         WITH RECURSIVE d AS (
