@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import store
@@ -41,11 +41,15 @@ def store_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     return table, seen.get["n"]
 
 
-def keep_rows(docs: DataFrame, gone: DataFrame, id_col: str, label: str) -> DataFrame:
-    """``docs`` without the rows whose id is in ``gone`` (one column of that name).
+def row_key(id_col: str, text: Column) -> Column:
+    """One bigint for an id, null or not, and a text; rows that repeat both share it."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col), text)
 
-    Few ids are broadcast, so the texts stay where they are; a null id in
-    ``gone`` takes no row away.
+
+def keep_rows(docs: DataFrame, gone: DataFrame, key: Column, label: str) -> DataFrame:
+    """``docs`` without the rows whose ``key`` (never null) is in ``gone`` (one column).
+
+    Few keys are broadcast, so the texts stay where they are.
     """
-    ids, n = store_counted(gone.filter(F.col(id_col).isNotNull()).distinct(), label)
-    return join_counted(docs, ids, n, [id_col], "left_anti")
+    keys, n = store_counted(gone.toDF("_gone_key").distinct(), label)
+    return join_counted(docs.withColumn("_gone_key", key), keys, n, ["_gone_key"], "left_anti").select(*docs.columns)
