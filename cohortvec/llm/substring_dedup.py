@@ -1,7 +1,8 @@
 """Substring deduplication over fixed-length word windows.
 
 Every window of ``window`` words gets a Rabin-Karp hash.  Texts are dealt once
-into blocks of consecutive ids; each block sends its distinct hashes, sorted, to
+into blocks of consecutive ids, an id with more than a block into several in the
+order of its texts; each block sends its distinct hashes, sorted, to
 hash ranges, where Spark brings equal ones together.  A hash that an earlier
 block also holds sets one bit that travels back to its block, so no position is
 ever shuffled: within a block the task knows the order itself.  Repeated windows
@@ -15,20 +16,25 @@ windows).
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranges import range_bounds, range_number
-from .sizes import bound_batches
+from ..session import store
+from .ranges import UNIT, range_cuts, range_number
+from .sizes import bound_batches, join_counted
 from .words import U64, Words, from_planes, groups_of_rows, planes, rolling, split_words, window_starts
 
 BLOCK_BYTES = 4 << 20
+# First characters of a text by which the rows of one id are dealt to be sorted.
+PREFIX = 128
 # Windows that one hash range holds on average, and bytes of text per window.
 RANGE_WINDOWS = 1 << 21
 WINDOW_BYTES = 6
@@ -57,17 +63,18 @@ def remove_repeated_windows(
     nothing removed.  Rows that share an id come in the order of their texts; a
     null id comes first.  Repeated rows are documents of their own: all but one
     lose every word that a window covers.  Other columns are not looked at.
-    Runs two jobs for the sizes; the rest is lazy.
+    Runs two jobs for the sizes; the rest is lazy, unless an id or null holds more
+    than a block: then its rows are sorted and written to the shared folder.
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    bounds = range_bounds(rows, "doc_id", "text", block_bytes)
+    blocks, n_blocks = blocks_of_rows(rows, block_bytes)
     spark = docs.sparkSession
     # a task gets a few whole blocks; at least the session's number, so that
     # the planner keeps this dealing for both uses below
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((len(bounds) + 1) / 4))
-    dealt = rows.withColumn("block", range_number(F.col("doc_id"), bounds).cast("int")).repartition(tasks, "block")
-    total = (len(bounds) + 1) * block_bytes // WINDOW_BYTES
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_blocks / 4))
+    dealt = blocks.repartition(tasks, "block")
+    total = n_blocks * block_bytes // WINDOW_BYTES
     bits = min(max(math.ceil(math.log2(max(total / range_windows, 1))), 4), 20)
 
     hashes = dealt.mapInArrow(_hashes_of_blocks(window, bits), "block int, bucket int, hashes binary")
@@ -75,6 +82,65 @@ def remove_repeated_windows(
     return dealt.groupBy("block").cogroup(earlier.groupBy("block")).applyInArrow(_cut(window, bits), SCHEMA)
 
 
+def blocks_of_rows(rows: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """``doc_id, text, block`` and how many blocks; blocks follow the order of id and text.
+
+    A block holds a few times ``block_bytes`` at most, or one row, whatever
+    number of rows share an id.  Rows of an id that fills a block, or of null, are
+    sorted by Spark and cut while they stream through a task.
+    """
+    cuts, null_bytes = range_cuts(rows, "doc_id", "text", block_bytes)
+    bounds = sorted(set(cuts))
+    number = range_number(F.col("doc_id"), bounds)
+    shared = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
+    if not shared and null_bytes <= block_bytes:
+        return rows.withColumn("block", number.cast("int")), len(bounds) + 1
+    spark = rows.sparkSession
+    apart = F.coalesce(F.col("doc_id").isin(shared), F.lit(null_bytes > block_bytes))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = (
+        rows.filter(apart)
+        .repartitionByRange(tasks, "doc_id", F.substring("text", 1, PREFIX))
+        .sortWithinPartitions("doc_id", "text")
+    )
+    pieces = store(ordered.mapInArrow(_pieces(block_bytes), "doc_id bigint, text string, part int, piece int"), "shared-ids").df
+    # pieces of an id come before the block that it begins, those of null first
+    places: list[tuple] = [((i, 1), None) for i in range(len(bounds) + 1)]
+    for r in pieces.select("doc_id", "part", "piece").distinct().collect():
+        at = 0 if r["doc_id"] is None else bisect_right(bounds, r["doc_id"])
+        places.append(((at, 0, r["part"], r["piece"]), (r["part"], r["piece"])))
+    places.sort(key=lambda p: p[0])
+    plain = ",".join(str(k) for k, (_, piece) in enumerate(places) if piece is None)
+    others = rows.filter(~apart).withColumn("block", F.get(F.split(F.lit(plain), ",").cast("array<int>"), number.cast("int")))
+    numbered = [(*piece, k) for k, (_, piece) in enumerate(places) if piece is not None]
+    numbers = spark.createDataFrame(numbered, "part int, piece int, block int")
+    cut = join_counted(pieces, numbers, len(numbered), ["part", "piece"])
+    return others.unionByName(cut.select("doc_id", "text", "block")), len(places)
+
+
+def _pieces(block_bytes: int):
+    """Numbers consecutive rows of an id, as many as a block holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        piece, held, last = -1, 0, None
+        for batch in batches:
+            ids, texts = batch.column("doc_id"), batch.column("text")
+            pieces = []
+            for doc_id, n in zip(ids.to_pylist(), pc.binary_length(texts).to_pylist(), strict=True):
+                weight = max(-(-(n or 0) // UNIT), 1) * UNIT
+                if piece < 0 or doc_id != last or held + weight > block_bytes:
+                    piece, held, last = piece + 1, 0, doc_id
+                held += weight
+                pieces.append(piece)
+            yield pa.RecordBatch.from_arrays(
+                [ids, texts, pa.array([part] * len(ids), pa.int32()), pa.array(pieces, pa.int32())],
+                ["doc_id", "text", "part", "piece"],
+            )
+
+    return run
+
+
 def _bucket_edges(bits: int) -> np.ndarray:
     return np.arange(1, 1 << bits, dtype=U64) << U64(64 - bits)
 
