@@ -974,7 +974,7 @@ def _brand_cells(spark, folder):
 
 
 # One dimension from a given start: each half round is one division per row, so
-# a few rounds can be written down in SQL.  Higher ranks are tested in pytest.
+# a few rounds can be written down in SQL.  Higher ranks have queries without SQL.
 _ALPHA, _ROUNDS = 0.001, 3
 _START_SQL = "CAST(1 AS DOUBLE) / (1 + item % 6)"
 
@@ -1132,3 +1132,15 @@ def _(spark, folder):
     log = view(spark, folder, "interactions_brand")
     trained = training.train_cooccurrence_embeddings(log, *_TRAINING, ratio=0.9, measure="MSE", **_solver())
     return _unnested(trained.embeddings, "item", "feature_name")
+
+
+# the ranks and rounds of the first round, over the whole tables; no SQL
+@query("nmf_embeddings_rank6")
+def _(spark, folder):
+    return _unnested(factorization.fit(_brand_cells(spark, folder), 6, 0.0, 30).items, "item")
+
+
+@query("train_embeddings_ranks")
+def _(spark, folder):
+    trained = training.train_embeddings(view(spark, folder, "interactions_brand"), (4, 8), (0.0,), (20,), workers=2)
+    return _unnested(trained.embeddings, "item", "feature_name")
