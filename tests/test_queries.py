@@ -31,6 +31,8 @@ def rows_of(frame):
 def test_query_equals_sql(spark, tables, name):
     got = driver.queries()[name](spark, FOLDER).toPandas()
     want = tables.sql(driver.oracle_sql()[name]).df()
+    # integers with nulls: only one of the two keeps them integers in pandas
+    got = got.astype({c: "Int64" for c in want.columns if str(want[c].dtype) == "Int64"})
     assert list(got.dtypes.sort_index()) == list(want.dtypes.sort_index())
     assert rows_of(got) == rows_of(want)
 
