@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path
+from .byte_bpe import decode_ids, encode_texts
 from .chat import format_conversations, read_back
 from .decontamination import contamination
 from .exact_dedup import exact_duplicates
+from .fill_in_middle import fill_in_middle, restore_texts
 from .jaccard_join import near_duplicate_groups
 from .language_id import fit_languages, predict_language
+from .lexical_search import rank_documents
 from .line_dedup import remove_repeated_chunks, remove_repeated_runs
 from .packing import pack_documents
 from .substring_dedup import remove_repeated_windows
@@ -112,6 +115,30 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    decoded = decode_ids(encode_texts(_read(spark, folder, "documents")))
+    return decoded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return rank_documents(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    arranged = restore_texts(fill_in_middle(_read(spark, folder, "documents")))
+    return arranged.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
@@ -124,6 +151,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_output": op9_token_output,
     "op10_toxicity": op10_toxicity,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLES = {
@@ -231,4 +261,37 @@ ORACLES = {
         SELECT doc_id, MAX(doc_id) OVER g AS keep_id, COUNT(*) OVER g AS group_size,
                doc_id = MAX(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    # every document's score for every item, from all its terms
+    "op12_lexical_search": r"""
+        WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(
+                       translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        c AS (SELECT COUNT(*) AS N, CAST(SUM(len(w)) AS BIGINT) AS L FROM d WHERE len(w) > 0),
+        m AS (SELECT row_id, doc_id, 100 - 25 + ((25 * len(w) * N) // L) AS m FROM d, c WHERE len(w) > 0),
+        t AS (SELECT row_id, term, COUNT(*) AS tf FROM (SELECT row_id, unnest(w) AS term FROM d) GROUP BY row_id, term),
+        v AS (SELECT term, CAST(floor(1000 * ln((2 * MAX(N) + 2) / (2 * COUNT(*) + 1))) AS BIGINT) AS weight
+              FROM t, c GROUP BY term),
+        q AS (SELECT item_id, term, COUNT(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(
+                  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, term),
+        s AS (SELECT item_id, doc_id, row_id,
+                     CAST(SUM(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+              FROM q JOIN v USING (term) JOIN t USING (term) JOIN m USING (row_id) GROUP BY item_id, doc_id, row_id),
+        r AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (
+                  PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20""",
+    "op13_fill_in_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        h AS (SELECT doc_id, text, length(text) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+                     CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+        c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                     CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                               OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+        p AS (SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p""",
 }

@@ -104,11 +104,11 @@ def string_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at.astype(np.int64) - at[0]
 
 
-def split_words(texts: pa.Array, lower: bool = False, space: np.ndarray = SPACE) -> Words:
-    """Words between ``space`` bytes of every text; a word never spans two texts."""
-    raw, offsets = string_bytes(texts)
-    if lower:
-        raw = LOWER[raw]
+def word_spans(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of the words between ``space`` bytes and the bytes after them.
+
+    ``offsets`` cut ``raw`` into texts; a word never spans two of them.
+    """
     inside = ~space[raw]
     starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
@@ -116,7 +116,15 @@ def split_words(texts: pa.Array, lower: bool = False, space: np.ndarray = SPACE)
     cuts = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(raw))]
     starts[cuts] = inside[cuts]  # a text begins here whatever stands before
     ends[cuts - 1] = inside[cuts - 1]
-    start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
+def split_words(texts: pa.Array, lower: bool = False, space: np.ndarray = SPACE) -> Words:
+    """Words between ``space`` bytes of every text; a word never spans two texts."""
+    raw, offsets = string_bytes(texts)
+    if lower:
+        raw = LOWER[raw]
+    start, end = word_spans(raw, offsets, space)
     return Words(raw, start, end, _hash_spans(raw, start, end), np.searchsorted(start, offsets))
 
 

@@ -21,7 +21,7 @@ def texts(spark):
 
 
 def test_names():
-    assert set(QUERIES) - set(ORACLES) == {"op4_packing", "op6_language_id", "op9_token_output", "op10_toxicity"}
+    assert set(QUERIES) - set(ORACLES) == {"op4_packing", "op6_language_id", "op9_token_output", "op10_toxicity", "op11_byte_bpe"}
 
 
 def test_pieces(spark, texts):
