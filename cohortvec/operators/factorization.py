@@ -8,27 +8,32 @@ from small normal equations (size k x k), row by row:
 * the item side needs  X'W  and  W'W.
 
 W is solved anew from H in each round and never kept.  ``fit`` broadcasts H
-while it is small (size checked) and otherwise joins both factors to the
-ratings; the two ways compute the same numbers.
+while it is small (size checked).  Otherwise both factors are tables and the
+ratings lie in tiles of a block of users and a block of items.  A vector goes to
+each tile that has ratings for it, once, and a tile hands on one sum per row of
+the other side, so what is shuffled grows with the blocks, not with the ratings,
+and the tiles stay where they are.  The two ways compute the same numbers.
 """
 
 from __future__ import annotations
 
 import logging
+import weakref
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cached_property
 from itertools import product
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
 from ..session import parallelism, store
-from .indexing import salted_join
 from .ratings import ITEM, RATING, USER, sum_duplicates
 
 logger = logging.getLogger(__name__)
@@ -42,6 +47,9 @@ GATHER_DOUBLES = 4_000_000
 SWEEPS, SWEEP_TOLERANCE = 100, 1e-7
 # Stored ratings per partition of the grouped table.
 RATINGS_PER_PART = 2_000_000
+# Doubles of a block of vectors, and ratings of a tile on average at most.
+BLOCK_DOUBLES = 4_000_000
+RATINGS_PER_TILE = 2_000_000
 # Numbers of the item side that the driver solves itself.
 DRIVER_SOLVE = 1_000_000
 
@@ -55,6 +63,7 @@ class Factorization:
     rank: int
     regularization: float
     losses: list[float] = field(default_factory=list)
+    factor: np.ndarray | None = None  # the item vectors, while the model may be broadcast
 
 
 def solve_rows(target: np.ndarray, gram: np.ndarray) -> np.ndarray:
@@ -132,6 +141,11 @@ class CellFacts:
     squares: float
 
 
+def _unpersist(tiles: dict[int, Tiles]) -> None:
+    while tiles:
+        tiles.popitem()[1].cells.unpersist()
+
+
 class RatingCells:
     """A rating table prepared for several fits.
 
@@ -145,6 +159,8 @@ class RatingCells:
             USER, F.col(ITEM).cast("bigint").alias(ITEM), F.col(RATING).cast("double").alias(RATING)
         )
         self.n_items = n_items
+        self._tiles: dict[int, Tiles] = {}
+        weakref.finalize(self, _unpersist, self._tiles).atexit = False
         self.cells = store(doubles if unique_cells else sum_duplicates(doubles), "cells").df
 
     @cached_property
@@ -173,6 +189,18 @@ class RatingCells:
         )
         return store(grouped, "user-rows").df
 
+    def tiles(self, rank: int) -> Tiles:
+        """Tiles for vectors of this length, kept for later fits; ``release`` drops them."""
+        if rank not in self._tiles:
+            facts = self.facts
+            least = parallelism(self.cells.sparkSession)
+            self._tiles[rank] = make_tiles(self.cells, facts.users, self.n_items, facts.cells, rank, least)
+        return self._tiles[rank]
+
+    def release(self) -> None:
+        """Drop the tiles from the executors' disks; they are made anew when needed."""
+        _unpersist(self._tiles)
+
     def joined_with(self, other: RatingCells) -> RatingCells:
         """Both tables as one; users of the two sides stay different users."""
         sides = [d.cells.withColumn(USER, F.col(USER) * 2 + i) for i, d in enumerate((self, other))]
@@ -222,53 +250,63 @@ def _sum_by(df: DataFrame, key: str, rank: int) -> DataFrame:
     return df.groupBy(key).agg(*[F.sum(v).alias(v) for v in _value_columns(rank)])
 
 
-def _round_broadcast(rows: DataFrame, parts: int, items: np.ndarray, alpha: float):
-    """One pass over the users: X'W, W'W, sum of w.b, unsettled users; returns driver arrays.
+def _round_broadcast(rows: DataFrame, parts: int, models: list[tuple[np.ndarray, float]]) -> list[tuple]:
+    """One pass over the users for all ``(item factor, regularization)``.
 
-    The size of all three is the size of the checked, broadcast factor.  The
+    For each model X'W, W'W, the sum of w.b and the number of unsettled users,
+    as driver arrays; their size is that of the checked, broadcast factors.  The
     sums of all ``parts`` tasks go straight to the driver only if together they
     stay below the model limit; otherwise Spark adds them up first.
     """
-    size, rank = items.shape
-    shared = rows.sparkSession.sparkContext.broadcast(items)
-    names = ["key", *_value_columns(rank)]
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+    widest = max(items.shape[1] for items, _ in models)
+    names = ["model", "key", *_value_columns(widest)]
 
     def accumulate(batches):
-        factor = shared.value
-        gram = factor.T @ factor + alpha * size * np.eye(rank)
-        crossed, squares = np.zeros((size, rank)), np.zeros((rank, rank))
-        fitted, unsettled = 0.0, 0
+        states = []
+        for items, alpha in shared.value:
+            size, rank = items.shape
+            gram = items.T @ items + alpha * size * np.eye(rank)
+            states.append([items, gram, np.zeros((size, rank)), np.zeros((rank, rank)), 0.0, 0])
         for batch in batches:
-            for open_rows, w, b, cell_items, cell_ratings, row_of in _solved_chunks(batch, factor, gram):
-                squares += w.T @ w
-                fitted += float((w * b).sum())
-                unsettled += open_rows
-                for j in range(rank):
-                    crossed[:, j] += np.bincount(cell_items, cell_ratings * w[row_of, j], size)
-        used = np.flatnonzero(crossed.any(axis=1))
-        # keys: items from 0, then the rows of W'W at -1 .. -k, then two scalars
-        keys = np.concatenate([used, -1 - np.arange(rank), [-1 - rank, -2 - rank]])
-        scalars = np.zeros((2, rank))
-        scalars[:, 0] = fitted, unsettled
-        values = np.vstack([crossed[used], squares, scalars])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.astype(np.int64)), *[pa.array(np.ascontiguousarray(values[:, j])) for j in range(rank)]],
-            names,
-        )
-
-    schema = "key long, " + ", ".join(f"{v} double" for v in _value_columns(rank))
+            for state in states:
+                items, gram, crossed, squares = state[:4]
+                size, rank = items.shape
+                for open_rows, w, b, cell_items, cell_ratings, row_of in _solved_chunks(batch, items, gram):
+                    squares += w.T @ w
+                    state[4] += float((w * b).sum())
+                    state[5] += open_rows
+                    for j in range(rank):
+                        crossed[:, j] += np.bincount(cell_items, cell_ratings * w[row_of, j], size)
+        for number, (items, _, crossed, squares, fitted, unsettled) in enumerate(states):
+            rank = items.shape[1]
+            used = np.flatnonzero(crossed.any(axis=1))
+            # keys: items from 0, then the rows of W'W at -1 .. -k, then two scalars
+            keys = np.concatenate([used, -1 - np.arange(rank), [-1 - rank, -2 - rank]]).astype(np.int64)
+            values = np.zeros((len(keys), widest))
+            values[:-2, :rank] = np.vstack([crossed[used], squares])
+            values[-2:, 0] = fitted, unsettled
+            columns = [pa.array(np.ascontiguousarray(values[:, j])) for j in range(widest)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), number)), pa.array(keys), *columns], names)
+
+    schema = "model long, key long, " + ", ".join(f"{v} double" for v in _value_columns(widest))
     partials = rows.mapInArrow(accumulate, schema)
-    if parts * (size + rank + 2) * rank * 8 > MODEL_BYTES:
-        partials = _sum_by(partials, "key", rank)
-    sums = partials.toPandas().groupby("key", as_index=False).sum()
+    if parts * sum((len(items) + widest + 2) * widest * 8 for items, _ in models) > MODEL_BYTES:
+        partials = partials.groupBy("model", "key").agg(*[F.sum(v).alias(v) for v in _value_columns(widest)])
+    sums = partials.toPandas().groupby(["model", "key"], as_index=False).sum()
     shared.destroy()
-    keys, values = sums["key"].to_numpy(), sums[_value_columns(rank)].to_numpy()
-    crossed, squares = np.zeros((size, rank)), np.zeros((rank, rank))
-    crossed[keys[keys >= 0]] = values[keys >= 0]
-    inner = (keys < 0) & (keys >= -rank)
-    squares[-1 - keys[inner]] = values[inner]
-    scalar = [float(values[keys == -k - rank][0, 0]) for k in (1, 2)]
-    return crossed, squares, scalar[0], int(scalar[1])
+    out = []
+    for number, (items, _) in enumerate(models):
+        size, rank = items.shape
+        own = sums[sums["model"] == number]
+        keys, values = own["key"].to_numpy(), own[_value_columns(rank)].to_numpy()
+        crossed, squares = np.zeros((size, rank)), np.zeros((rank, rank))
+        crossed[keys[keys >= 0]] = values[keys >= 0]
+        inner = (keys < 0) & (keys >= -rank)
+        squares[-1 - keys[inner]] = values[inner]
+        scalar = [float(values[keys == -k - rank][0, 0]) for k in (1, 2)]
+        out.append((crossed, squares, scalar[0], int(scalar[1])))
+    return out
 
 
 def gram_matrix(df: DataFrame, column: str, normalise: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
@@ -328,34 +366,94 @@ def _solve_frame(sums: DataFrame, key: str, gram: np.ndarray, carry: list[str])
     return sums.select(*kept, *_value_columns(rank)).mapInArrow(solve, schema)
 
 
-def _weighted_sums(cells: DataFrame, factor: DataFrame, key: str, other: str, total: int, rank: int) -> DataFrame:
-    """Sum of rating x vector per ``other``, over the cells joined on ``key``."""
-    joined = salted_join(cells, factor.select(key, "_rows", VECTOR), key, total, [other])
-    parts = joined.select(other, *[(F.col(RATING) * F.col(VECTOR)[j]).alias(v) for j, v in enumerate(_value_columns(rank))])
-    return _sum_by(parts, other, rank)
+@dataclass(frozen=True)
+class Tiles:
+    """Ratings in tiles of a user block and an item block, and each row's routes.
+
+    ``cells`` is kept where it was dealt, on the executors' disks, sorted by
+    tile; a lost part is made again from the stored ratings.  ``routes`` has for
+    each user or item the other side's blocks in which it has ratings.
+    """
+
+    cells: DataFrame  # (_ub, _ib, user, item, rating)
+    blocks: dict[str, int]
+    routes: dict[str, DataFrame]  # by side: (user or item, _routes)
+    parts: int
+
+    def own_block(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.blocks[key])).cast("int").alias(BLOCK_OF[key])
+
+    def sums(self, factor: DataFrame, key: str, rank: int) -> DataFrame:
+        """Sum of rating x vector per row of the other side.
+
+        ``factor`` has the columns ``key``, ``_routes`` and the vector.  Rows
+        without ratings on the other side are absent.
+        """
+        other = ITEM if key == USER else USER
+        sent = factor.select(self.own_block(key), F.explode("_routes").alias(BLOCK_OF[other]), key, VECTOR)
+        tile = [BLOCK_OF[USER], BLOCK_OF[ITEM]]
+        sent = sent.repartition(self.parts, *tile)
+        names = [other, *_value_columns(rank)]
+
+        def multiply(ratings: pa.Table, vectors: pa.Table) -> pa.Table:
+            numbers = vectors[key].to_numpy()
+            order = np.argsort(numbers)
+            matrix = vectors[VECTOR].combine_chunks().flatten().to_numpy().reshape(-1, rank)[order]
+            at = np.searchsorted(numbers[order], ratings[key].to_numpy())
+            rows, row_of = np.unique(ratings[other].to_numpy(), return_inverse=True)
+            values = ratings[RATING].to_numpy()
+            sums = [np.bincount(row_of, values * matrix[at, j], len(rows)) for j in range(rank)]
+            return pa.Table.from_arrays([pa.array(rows), *map(pa.array, sums)], names)
+
+        schema = ", ".join([f"{other} long", *(f"{v} double" for v in _value_columns(rank))])
+        partials = self.cells.groupBy(*tile).cogroup(sent.groupBy(*tile)).applyInArrow(multiply, schema)
+        return _sum_by(partials, other, rank)
+
+
+BLOCK_OF = {USER: "_ub", ITEM: "_ib"}
+
+
+def make_tiles(cells: DataFrame, n_users: int, n_items: int, n_cells: int, rank: int, least: int) -> Tiles:
+    """Tiles of a (user, item, rating) table with unique rows; ``least`` tiles at least.
+
+    Blocks have about BLOCK_DOUBLES numbers of vectors; more are made, on the
+    side with more rows, while tiles would hold more than RATINGS_PER_TILE.
+    """
+    blocks = {USER: -(-n_users * rank // BLOCK_DOUBLES), ITEM: -(-n_items * rank // BLOCK_DOUBLES)}
+    wanted = max(-(-n_cells // RATINGS_PER_TILE), least)
+    longer, shorter = (USER, ITEM) if n_users >= n_items else (ITEM, USER)
+    blocks[longer] = max(blocks[longer], -(-wanted // blocks[shorter]))
+    parts = max(least, -(-n_cells // RATINGS_PER_PART))
+    tile = [BLOCK_OF[USER], BLOCK_OF[ITEM]]
+    block = {k: F.pmod(F.xxhash64(k), F.lit(n)).cast("int").alias(BLOCK_OF[k]) for k, n in blocks.items()}
+    dealt = cells.select(block[USER], block[ITEM], F.col(USER).cast("bigint").alias(USER), ITEM, RATING)
+    dealt = dealt.repartition(parts, *tile).sortWithinPartitions(*tile).persist(StorageLevel.DISK_ONLY)
+    routes = {}
+    for key, other in ((USER, ITEM), (ITEM, USER)):
+        found = dealt.select(key, BLOCK_OF[other]).distinct().groupBy(key).agg(F.collect_list(BLOCK_OF[other]).alias("_routes"))
+        routes[key] = store(found, f"{key}-routes").df
+    return Tiles(dealt, blocks, routes, parts)
 
 
 def _fit_joined(data: RatingCells, rank: int, alpha: float, iterations: int, tol: float, seed: int, given: Start | None):
     """The rounds of ``fit`` with both factors as tables; nothing grows on the driver."""
-    cells, n_items, facts = data.cells, data.n_items, data.facts
-    total, n_users, squares_x = facts.cells, facts.users, facts.squares
+    n_items, facts = data.n_items, data.facts
+    n_users, squares_x = facts.users, facts.squares
     scale = float(np.sqrt(facts.mean / rank))
-    user_rows = store(cells.groupBy(USER).agg(F.count(F.lit(1)).alias("_rows")), "user-counts").df
-    counted = cells.groupBy(ITEM).agg(F.count(F.lit(1)).alias("_rows"))
-    every_item = cells.sparkSession.range(n_items).select(F.col("id").alias(ITEM))
-    item_rows = store(
-        every_item.join(counted, ITEM, "left").select(ITEM, F.coalesce("_rows", F.lit(0)).alias("_rows")), "item-counts"
-    ).df
+    tiles = data.tiles(rank)
+    every_item = data.cells.sparkSession.range(n_items).select(F.col("id").alias(ITEM))
+    item_rows = store(every_item.join(tiles.routes[ITEM], ITEM, "left"), "item-rows").df
+    user_rows = tiles.routes[USER]
 
     def start(batches):
         for batch in batches:
             drawn = start_vectors(batch.column(ITEM).to_numpy(), rank, scale, seed)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(ITEM), batch.column("_rows"), _lists(drawn)], [ITEM, "_rows", VECTOR]
+                [batch.column(ITEM), batch.column("_routes"), _lists(drawn)], [ITEM, "_routes", VECTOR]
             )
 
     if given is None:
-        drawn = item_rows.mapInArrow(start, f"{ITEM} long, _rows long, {VECTOR} array<double>")
+        drawn = item_rows.mapInArrow(start, f"{ITEM} long, _routes array<int>, {VECTOR} array<double>")
     else:
         drawn = item_rows.withColumn(VECTOR, given(F.col(ITEM)).cast("array<double>"))
     items = store(drawn, "items")
@@ -363,8 +461,8 @@ def _fit_joined(data: RatingCells, rank: int, alpha: float, iterations: int, tol
     for step in range(iterations + 1):
         item_gram, _, _ = gram_matrix(items.df, VECTOR)
         ridge = alpha * n_items * np.eye(rank)
-        sums = _weighted_sums(cells, items.df, ITEM, USER, total, rank).join(user_rows, USER)
-        users = store(_solve_frame(sums, USER, item_gram + ridge, ["_rows"]), "users")
+        sums = tiles.sums(items.df, ITEM, rank).join(user_rows, USER)
+        users = store(_solve_frame(sums, USER, item_gram + ridge, ["_routes"]), "users")
         user_gram, _, _ = gram_matrix(users.df, VECTOR)
         fitted, unsettled = users.df.agg(F.sum("fitted"), F.count_if("unsettled")).first()
         _report(unsettled, step)
@@ -373,9 +471,9 @@ def _fit_joined(data: RatingCells, rank: int, alpha: float, iterations: int, tol
             users.discard()
             break
         # an item without ratings has only zero sums
-        sums = item_rows.join(_weighted_sums(cells, users.df, USER, ITEM, total, rank), ITEM, "left")
+        sums = item_rows.join(tiles.sums(users.df, USER, rank), ITEM, "left")
         sums = sums.fillna(0.0, subset=_value_columns(rank))
-        new_items = store(_solve_frame(sums, ITEM, user_gram + alpha * n_users * np.eye(rank), ["_rows"]), "items")
+        new_items = store(_solve_frame(sums, ITEM, user_gram + alpha * n_users * np.eye(rank), ["_routes"]), "items")
         users.discard()
         items.discard()
         items = new_items
@@ -410,6 +508,12 @@ def _settled(losses: list[float], tol: float) -> bool:
     return len(losses) > 1 and losses[-2] - losses[-1] <= tol * max(losses[-2], 1e-30)
 
 
+class Setting(NamedTuple):
+    rank: int
+    regularization: float
+    iterations: int
+
+
 def fit(
     data: RatingCells,
     rank: int,
@@ -427,28 +531,85 @@ def fit(
     stops).  ``start`` maps the item number to its first vector; without it the
     vectors are random.  Users whose vector had not settled are logged.
     """
-    n_items, facts = data.n_items, data.facts
-    if n_items * rank * 8 > model_bytes:
-        items, losses = _fit_joined(data, rank, regularization, iterations, tol, seed, start)
-        return Factorization(items, rank, regularization, losses)
-    rows, n_users, squares_x = data.rows, facts.users, facts.squares
-    scale = float(np.sqrt(facts.mean / rank))
+    return fit_settings(data, [Setting(rank, regularization, iterations)], tol, seed, model_bytes, start)[0]
+
+
+def fit_settings(
+    data: RatingCells,
+    settings: list[Setting],
+    tol: float = 1e-4,
+    seed: int = 42,
+    model_bytes: int = MODEL_BYTES,
+    start: Start | None = None,
+    workers: int = 1,
+) -> list[Factorization]:
+    """``fit`` for each setting, with the numbers it has alone.
+
+    One pass over the users per round serves all settings whose item factors
+    together may be broadcast, and settings that differ only in their number of
+    rounds are one model, taken at several rounds.  So the jobs grow with the
+    rounds, not with the settings.  Models that are too large to broadcast are
+    fitted one by one, ``workers`` at a time.
+    """
+    chains = list(dict.fromkeys((s.rank, s.regularization) for s in settings))
+    rounds = {c: sorted({s.iterations for s in settings if s[:2] == c}) for c in chains}
+    found: dict[Setting, Factorization] = {}
+    waves: list[list[tuple[int, float]]] = []
+    held = 0
+    for chain in chains:
+        size = data.n_items * chain[0] * 8
+        if size <= model_bytes:
+            if not waves or held + size > model_bytes:
+                waves.append([])
+                held = 0
+            waves[-1].append(chain)
+            held += size
+    for wave in waves:
+        found |= _fit_wave(data, wave, rounds, tol, seed, start)
+
+    def alone(setting: Setting) -> Factorization:
+        items, losses = _fit_joined(data, *setting[:2], setting.iterations, tol, seed, start)
+        return Factorization(items, *setting[:2], losses)
+
+    large = [s for s in dict.fromkeys(settings) if s not in found]
+    for rank in {s.rank for s in large}:
+        data.tiles(rank)  # made once, before the threads start
+    with ThreadPoolExecutor(max_workers=max(workers, 1)) as pool:
+        found |= dict(zip(large, pool.map(alone, large), strict=True))
+    return [found[s] for s in settings]
+
+
+def _fit_wave(data: RatingCells, wave: list[tuple[int, float]], rounds: dict, tol: float, seed: int, start: Start | None) -> dict:
+    """Models of all ``(rank, regularization)`` of a wave, taken at their ``rounds``."""
+    n_items, facts, rows = data.n_items, data.facts, data.rows
+    n_users, squares_x, spark = facts.users, facts.squares, data.cells.sparkSession
     if start is None:
-        items = start_vectors(np.arange(n_items), rank, scale, seed)
+        factors = {c: start_vectors(np.arange(n_items), c[0], float(np.sqrt(facts.mean / c[0])), seed) for c in wave}
     else:
-        numbers = rows.sparkSession.range(n_items).select("id", start(F.col("id")).cast("array<double>").alias("v"))
-        given = numbers.toArrow().sort_by("id")  # the checked model size
-        items = np.array(given["v"].to_pylist(), np.float64)
-    losses: list[float] = []
-    for step in range(iterations + 1):
-        crossed, user_gram, fitted, unsettled = _round_broadcast(rows, data.parts, items, regularization)
-        _report(unsettled, step)
-        losses.append(_loss(squares_x, fitted, user_gram, items.T @ items, regularization, n_users, n_items))
-        if step == iterations or _settled(losses, tol):
-            break
-        items = _solve_spread(rows, crossed, user_gram + regularization * n_users * np.eye(rank))
-    table = pa.table({ITEM: np.arange(n_items), VECTOR: _lists(items)})  # the checked model size
-    return Factorization(rows.sparkSession.createDataFrame(table), rank, regularization, losses)
+        numbers = spark.range(n_items).select("id", start(F.col("id")).cast("array<double>").alias("v"))
+        given = np.array(numbers.toArrow().sort_by("id")["v"].to_pylist(), np.float64)  # the checked model size
+        factors = {c: given for c in wave}
+    losses: dict[tuple, list[float]] = {c: [] for c in wave}
+    found: dict[Setting, Factorization] = {}
+    active, step = list(wave), 0
+    while active:
+        passed = _round_broadcast(rows, data.parts, [(factors[c], c[1]) for c in active])
+        for chain, (crossed, user_gram, fitted, unsettled) in zip(list(active), passed, strict=True):
+            items, alpha = factors[chain], chain[1]
+            _report(unsettled, step)
+            losses[chain].append(_loss(squares_x, fitted, user_gram, items.T @ items, alpha, n_users, n_items))
+            settled = _settled(losses[chain], tol)
+            taken = [t for t in rounds[chain] if t == step or (settled and t > step)]
+            if taken:
+                # the checked model size
+                table = spark.createDataFrame(pa.table({ITEM: np.arange(n_items), VECTOR: _lists(items)}))
+                found |= {Setting(*chain, t): Factorization(table, *chain, list(losses[chain]), items) for t in taken}
+            if settled or step == rounds[chain][-1]:
+                active.remove(chain)
+            else:
+                factors[chain] = _solve_spread(rows, crossed, user_gram + alpha * n_users * np.eye(chain[0]))
+        step += 1
+    return found
 
 
 def fold_in(
@@ -460,10 +621,8 @@ def fold_in(
     rank = item_gram.shape[0]
     gram = item_gram + regularization * n_items * np.eye(rank)
     if n_items * rank * 8 > model_bytes:
-        cells = data.cells
-        counts = cells.groupBy(ITEM).agg(F.count(F.lit(1)).alias("_rows"))
-        sized = store(items.join(counts, ITEM), "items").df
-        sums = _weighted_sums(cells, sized, ITEM, USER, data.facts.cells, rank)
+        tiles = data.tiles(rank)
+        sums = tiles.sums(items.join(tiles.routes[ITEM], ITEM), ITEM, rank)
         return _solve_frame(sums, USER, gram, []).select(USER, VECTOR)
     local = items.toPandas()  # below the checked model size
     factor = np.zeros((n_items, rank))
@@ -488,7 +647,10 @@ def similarity_variance(items: DataFrame, column: str = VECTOR) -> float:
     From the sum and the Gram matrix of the unit vectors; the item x item
     matrix is never built.
     """
-    gram, total, rows = gram_matrix(items, column, normalise=True)
+    return _variance(*gram_matrix(items, column, normalise=True))
+
+
+def _variance(gram: np.ndarray, total: np.ndarray, rows: int) -> float:
     if not rows:
         return float("nan")
     mean = float(total @ total) / rows**2
@@ -549,7 +711,8 @@ def factor_metrics(
     }
     s = cells.agg(*[F.coalesce(F.sum(sums[name]), F.lit(0.0)).alias(name) for name in CELL_SUMS]).first().asDict()
     rows = user_rows if n_users is None else n_users
-    return _metrics_table(ratings.sparkSession, s, user_gram, user_sum, rows, items, dataset, legacy_inactive)
+    item_sums, variance = gram_matrix(items, VECTOR), similarity_variance(items)
+    return _metrics_table(ratings.sparkSession, s, user_gram, user_sum, rows, item_sums, variance, dataset, legacy_inactive)
 
 
 # Sums over the stored cells that the metrics need.
@@ -570,56 +733,71 @@ def fold_in_metrics(
     the users and adds up the errors of their cells: no vector is shuffled or
     written.  Beyond, users are stored and joined.
     """
-    item_gram, _, _ = gram_matrix(items, VECTOR)
-    rank = item_gram.shape[0]
+    rank = gram_matrix(items, VECTOR)[0].shape[0]
     if data.n_items * rank * 8 > model_bytes:
         users = store(fold_in(data, items, regularization, model_bytes), "users")
         metrics = factor_metrics(data.cells, users.df, items, dataset, legacy_inactive)
         users.discard()
         return metrics
-    gram = item_gram + regularization * data.n_items * np.eye(rank)
     local = items.toPandas()  # below the checked model size
     factor = np.zeros((data.n_items, rank))
     factor[local[ITEM].to_numpy()] = np.array(local[VECTOR].tolist())
+    sums = _fold_in_sums(data, [(factor, regularization)])[0]
+    return _metrics_table(data.cells.sparkSession, *sums, gram_matrix(items, VECTOR), similarity_variance(items), dataset, legacy_inactive)
+
+
+def _fold_in_sums(data: RatingCells, models: list[tuple[np.ndarray, float]]) -> list[tuple[dict, np.ndarray, np.ndarray, int]]:
+    """Per ``(item factor, regularization)`` the cells' sums, W'W, the sum of w and the users, in one pass."""
     rows = data.rows
-    shared = rows.sparkSession.sparkContext.broadcast(factor)
+    shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def add_up(batches):
-        s = dict.fromkeys(CELL_SUMS, 0.0)
-        squares, total, users = np.zeros((rank, rank)), np.zeros(rank), 0
+        states = []
+        for factor, alpha in shared.value:
+            size, rank = factor.shape
+            gram = factor.T @ factor + alpha * size * np.eye(rank)
+            states.append([factor, gram, dict.fromkeys(CELL_SUMS, 0.0), np.zeros((rank, rank)), np.zeros(rank), 0])
         for batch in batches:
-            for _, w, _, cell_items, x, row_of in _solved_chunks(batch, shared.value, gram):
-                y = (w[row_of] * shared.value[cell_items]).sum(axis=1)
-                error, other = x - y, x != 1
-                for name, value in {
-                    "n": np.ones(len(x)), "xx": x * x, "xy": x * y, "yy": y * y, "y": y,
-                    "sse": error * error, "sae": np.abs(error), "n_other": other,
-                    "sse_other": (error * error)[other], "sae_other": np.abs(error)[other],
-                }.items():
-                    s[name] += float(value.sum())
-                squares += w.T @ w
-                total += w.sum(axis=0)
-                users += len(w)
-        if users:
-            values = [*s.values(), users, *total, *squares.ravel()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(np.array(values, np.float64))], ["at", "value"])
-
-    parts = rows.mapInArrow(add_up, "at long, value double").groupBy("at").agg(F.sum("value").alias("value"))
-    values = parts.toPandas().sort_values("at")["value"].to_numpy()
+            for state in states:
+                factor, gram, s, squares, total, _ = state
+                for _, w, _, cell_items, x, row_of in _solved_chunks(batch, factor, gram):
+                    y = (w[row_of] * factor[cell_items]).sum(axis=1)
+                    error, other = x - y, x != 1
+                    for name, value in {
+                        "n": np.ones(len(x)), "xx": x * x, "xy": x * y, "yy": y * y, "y": y,
+                        "sse": error * error, "sae": np.abs(error), "n_other": other,
+                        "sse_other": (error * error)[other], "sae_other": np.abs(error)[other],
+                    }.items():
+                        s[name] += float(value.sum())
+                    squares += w.T @ w
+                    total += w.sum(axis=0)
+                    state[5] += len(w)
+        for number, (_, _, s, squares, total, users) in enumerate(states):
+            if users:
+                values = np.array([*s.values(), users, *total, *squares.ravel()], np.float64)
+                columns = [pa.array(np.full(len(values), number)), pa.array(np.arange(len(values))), pa.array(values)]
+                yield pa.RecordBatch.from_arrays(columns, ["model", "at", "value"])
+
+    parts = rows.mapInArrow(add_up, "model long, at long, value double").groupBy("model", "at").agg(F.sum("value").alias("value"))
+    table = parts.toPandas().sort_values(["model", "at"])
     shared.destroy()
-    if not len(values):
-        values = np.zeros(len(CELL_SUMS) + 1 + rank + rank * rank)
-    s = dict(zip(CELL_SUMS, values.tolist(), strict=False))
-    rest = values[len(CELL_SUMS) :]
-    return _metrics_table(
-        rows.sparkSession, s, rest[1 + rank :].reshape(rank, rank), rest[1 : 1 + rank], int(rest[0]), items, dataset, legacy_inactive
-    )
+    out = []
+    for number, (factor, _) in enumerate(models):
+        rank = factor.shape[1]
+        values = table.loc[table["model"] == number, "value"].to_numpy()
+        if not len(values):
+            values = np.zeros(len(CELL_SUMS) + 1 + rank + rank * rank)
+        rest = values[len(CELL_SUMS) :]
+        s = dict(zip(CELL_SUMS, values.tolist(), strict=False))
+        out.append((s, rest[1 + rank :].reshape(rank, rank), rest[1 : 1 + rank], int(rest[0])))
+    return out
 
 
 def _metrics_table(
-    spark, s: dict, user_gram: np.ndarray, user_sum: np.ndarray, rows: int, items: DataFrame, dataset: str, legacy_inactive: bool
-) -> DataFrame:
-    item_gram, item_sum, n_items = gram_matrix(items, VECTOR)
+    spark, s: dict, user_gram: np.ndarray, user_sum: np.ndarray, rows: int,
+    item_sums: tuple[np.ndarray, np.ndarray, int], variance: float, dataset: str, legacy_inactive: bool,
+) -> DataFrame:
+    item_gram, item_sum, n_items = item_sums
     if rows == 0 or n_items == 0:
         logger.warning("no metrics for empty dataset %s", dataset)
         return spark.createDataFrame([], METRIC_SCHEMA)
@@ -645,7 +823,7 @@ def _metrics_table(
         mean(inactive_sse, inactive),
         float(s["n"]),
         float(inactive),
-        similarity_variance(items),
+        variance,
     )
     return spark.createDataFrame([(m, v, dataset) for m, v in zip(METRICS, values)], METRIC_SCHEMA)
 
@@ -668,6 +846,26 @@ class GridResult:
     best: tuple[int, float, int]
 
 
+def _all_metrics(data: RatingCells, settings: list[Setting], models: list[Factorization], model_bytes: int):
+    """``(setting, metrics)`` of all models; those on the driver go through the users together."""
+    small = [(s, m.factor) for s, m in zip(settings, models, strict=True) if m.factor is not None]
+    while small:
+        wave, held = [], 0
+        while small and (not wave or held + small[0][1].nbytes <= model_bytes):
+            wave.append(small.pop(0))
+            held += wave[-1][1].nbytes
+        sums = _fold_in_sums(data, [(factor, s.regularization) for s, factor in wave])
+        for (setting, factor), own in zip(wave, sums, strict=True):
+            length = np.sqrt((factor * factor).sum(axis=1, keepdims=True))
+            unit = np.divide(factor, length, out=np.zeros_like(factor), where=length > 0)
+            variance = _variance(unit.T @ unit, unit.sum(axis=0), len(unit))
+            item_sums = factor.T @ factor, factor.sum(axis=0), len(factor)
+            yield setting, _metrics_table(data.cells.sparkSession, *own, item_sums, variance, "test", False)
+    for setting, model in zip(settings, models, strict=True):
+        if model.factor is None:
+            yield setting, fold_in_metrics(data, model.items, setting.regularization, model_bytes=model_bytes)
+
+
 def grid_search(
     train: DataFrame,
     test: DataFrame,
@@ -685,24 +883,19 @@ def grid_search(
 ) -> GridResult:
     """Fit every setting on ``train``, score it on ``test``, refit the best on both.
 
-    The first setting with the highest score wins.  ``workers`` settings share
-    the cluster at a time.  ``unique_cells`` says that no (user, item) repeats.
+    The first setting with the highest score wins.  Settings are fitted and
+    scored together (``fit_settings``); those too large to broadcast share the
+    cluster ``workers`` at a time.  ``unique_cells`` says that no (user, item)
+    repeats.
     """
     spark = train.sparkSession
     train_data = RatingCells(train, n_items, unique_cells)
     test_data = RatingCells(test, n_items, unique_cells)
 
-    def attempt(setting):
-        size, regularization, rounds = setting
-        model = fit(train_data, size, regularization, rounds, tol, seed, model_bytes, start)
-        metrics = fold_in_metrics(test_data, model.items, regularization, model_bytes=model_bytes)
-        return setting, metrics, performance_score(metrics, measure)
-
-    settings = list(product(sizes, regularizations, iterations))
-    if any(n_items * size * 8 <= model_bytes for size in sizes):
-        train_data.rows, test_data.rows  # grouped once, before the threads start
-    with ThreadPoolExecutor(max_workers=max(workers, 1)) as pool:
-        attempts = list(pool.map(attempt, settings))
+    settings = [Setting(*s) for s in product(sizes, regularizations, iterations)]
+    models = fit_settings(train_data, settings, tol, seed, model_bytes, start, workers)
+    tables = dict(_all_metrics(test_data, settings, models, model_bytes))
+    attempts = [(s, tables[s], performance_score(tables[s], measure)) for s in settings]
     usable = [a for a in attempts if not np.isnan(a[2])]
     if not usable:
         raise ValueError("no setting gave a usable score; check the ratings for NaN")
@@ -710,6 +903,8 @@ def grid_search(
     both = train_data.joined_with(test_data)
     size, regularization, rounds = best[0]
     model = fit(both, size, regularization, rounds, tol, seed, model_bytes, start)
+    for data in (train_data, test_data, both):
+        data.release()
     scores = spark.createDataFrame(
         [(*s, float(v)) for s, _, v in attempts],
         "embedding_size int, regularization double, max_iterations int, score double",

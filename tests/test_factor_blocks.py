@@ -1,0 +1,81 @@
+"""Both factors as tables: vectors travel by block, results are those of the plain rounds."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cohortvec.operators import factorization as N
+
+from .test_factorization import cells_of, matrix_of
+
+
+def ratings_matrix(users, items, seed, hot=False):
+    rng = np.random.default_rng(seed)
+    matrix = (rng.random((users, items)) < 0.25) * rng.integers(1, 5, (users, items)).astype(float)
+    if hot:
+        matrix[:, 0] = 1  # an item of every user, and a user of every item
+        matrix[0] = 2
+    return matrix
+
+
+def plain_rounds(x, h, alpha, rounds):
+    """The rounds on dense arrays; the first item factor is given."""
+    n, m = x.shape
+    losses = []
+    for step in range(rounds + 1):
+        w = N.solve_rows(x @ h, h.T @ h + alpha * m * np.eye(h.shape[1]))
+        losses.append(0.5 * ((x - w @ h.T) ** 2).sum() + 0.5 * alpha * (m * (w**2).sum() + n * (h**2).sum()))
+        if step < rounds:
+            h = N.solve_rows(x.T @ w, w.T @ w + alpha * n * np.eye(h.shape[1]))
+    return h, w, losses
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_DOUBLES", 90)
+    monkeypatch.setattr(N, "RATINGS_PER_TILE", 40)
+
+
+@pytest.mark.parametrize(("rank", "alpha", "hot"), [(6, 0.0, False), (6, 0.02, True), (1, 0.01, True)])
+def test_rounds_equal_the_dense_ones(spark, small_blocks, rank, alpha, hot):
+    x = ratings_matrix(70, 41, rank, hot)
+    data = N.RatingCells(cells_of(spark, x), 41)
+    start = np.abs(np.random.default_rng(9).standard_normal((41, rank)))
+    given = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in start])
+    model = N.fit(data, rank, alpha, 4, tol=-1, model_bytes=0, start=lambda item: F.get(given, item.cast("int")))
+    h, w, losses = plain_rounds(x, start, alpha, 4)
+    assert model.losses == pytest.approx(losses, rel=1e-6)
+    assert np.allclose(matrix_of(model.items, "item", 41), h, atol=1e-5)
+    users = N.fold_in(data, model.items, alpha, model_bytes=0)
+    assert np.allclose(matrix_of(users, "user", 70), w, atol=1e-5)
+    tiles = data.tiles(rank)
+    assert min(tiles.blocks.values()) > 1 or rank == 1
+    data.release()
+    assert data._tiles == {} and not tiles.cells.storageLevel.useDisk
+
+
+def test_a_vector_goes_once_to_a_block(spark, small_blocks):
+    """Rows sent are distinct (vector, block) pairs, and the ratings are not shuffled again."""
+    x = ratings_matrix(300, 24, 5, hot=True)
+    data = N.RatingCells(cells_of(spark, x), 24)
+    tiles = data.tiles(5)
+    items = spark.createDataFrame([(i, [1.0] * 5) for i in range(24)], "item long, embedding array<double>")
+    factor = items.join(tiles.routes["item"], "item")
+    sent = factor.agg(F.sum(F.size("_routes"))).first()[0]
+    assert sent <= 24 * tiles.blocks["user"] < np.count_nonzero(x) / 2
+    sums = tiles.sums(factor, "item", 5)
+    assert [r[0] for r in sums.select("v0").collect()] != []
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    last = plan[plan.index("FlatMapCoGroupsInArrow") :].split("== Initial Plan ==")[0]
+    scans = [line for line in last.splitlines() if "InMemoryTableScan" in line or "TableCacheQueryStage" in line]
+    assert scans
+    # of the two inputs of the tiles only the vectors come through an exchange
+    before_scan = last[: last.index(scans[0])]
+    assert "Exchange" not in before_scan
+
+
+def test_one_block_and_one_cell(spark):
+    data = N.RatingCells(cells_of(spark, np.array([[2.0, 0.0]])), 2)
+    ways = [N.fit(data, 2, 0.01, 3, tol=-1, model_bytes=b) for b in (0, N.MODEL_BYTES)]
+    assert ways[0].losses == pytest.approx(ways[1].losses, rel=1e-9)
+    assert np.allclose(*(matrix_of(w.items, "item", 2) for w in ways))
