@@ -135,6 +135,25 @@ def discard_stored(spark: SparkSession) -> None:
     Stored(spark.range(0), f"{shared_folder(spark)}/{spark.sparkContext.applicationId}").discard()
 
 
+# Bytes of an Arrow batch that goes to Python, for rows with long arrays.
+ARROW_BYTES = 8 * 1024 * 1024
+ARROW_BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_arrow_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the session's Arrow batches; a smaller setting stays.
+
+    Batches are otherwise cut by rows alone, and both the JVM and Python hold a
+    batch several times over.  A result is computed after the operator has
+    returned, so the setting stays with the session.
+    """
+    said = spark.conf.get(ARROW_BYTES_SETTING).lower()
+    number = said.rstrip("bkmgtp")
+    size = int(number) * 1024 ** " kmgtp".index(said[len(number) :].rstrip("b") or " ")
+    if size <= 0 or size > ARROW_BYTES:
+        spark.conf.set(ARROW_BYTES_SETTING, ARROW_BYTES)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Number of tasks worth creating for compute-heavy steps."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
