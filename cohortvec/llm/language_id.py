@@ -109,7 +109,7 @@ def fit_languages(
 ) -> LanguageModel:
     """Model from the labelled rows of ``docs``, at most about ``language_rows`` a language.
 
-    The draw follows a hash of id and text length, the same on any partitioning.
+    The draw follows a hash of id and text, the same on any partitioning.
     Rows without text or language are left out.  Without any, every text is
     unknown.  ``right`` is the share of right answers above the rejection
     threshold.
@@ -124,7 +124,7 @@ def fit_languages(
         return LanguageModel([], np.zeros((1 << HASH_BITS, 0)), np.zeros(0), 1.0)
     languages = sorted(counts)
     share = F.create_map(*[F.lit(v) for k in languages for v in (k, min(language_rows / counts[k], 1.0))])
-    place = F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(1 << 30))
+    place = F.pmod(F.xxhash64(F.lit("draw"), "doc_id", "text"), F.lit(1 << 30))
     drawn = rows.withColumn("place", place).filter(F.col("place") < share[F.col("lang")] * (1 << 30))
     sample = (
         drawn.select("text", "lang", "place")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import store
+from ..session import bound_arrow_batches, store
 
 # Rows of a few numbers or hashes; about 64 MB as a hash table.
 BROADCAST_ROWS = 500_000
@@ -17,11 +17,12 @@ BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to BATCH_ROWS, for rows with whole texts.
+    """Lower the session's Arrow batches to BATCH_ROWS and a few MB, for rows with whole texts.
 
     Both the JVM and Python hold a batch several times over; a smaller setting
     of the session stays.
     """
+    bound_arrow_batches(spark)
     rows = int(spark.conf.get(BATCH_SETTING))
     if rows <= 0 or rows > BATCH_ROWS:
         spark.conf.set(BATCH_SETTING, BATCH_ROWS)
@@ -51,5 +52,14 @@ def keep_rows(docs: DataFrame, gone: DataFrame, key: Column, label: str) -> Data
 
     Few keys are broadcast, so the texts stay where they are.
     """
-    keys, n = store_counted(gone.toDF("_gone_key").distinct(), label)
-    return join_counted(docs.withColumn("_gone_key", key), keys, n, ["_gone_key"], "left_anti").select(*docs.columns)
+    name = unused_name(docs, "_gone_key")
+    keys, n = store_counted(gone.toDF(name).distinct(), label)
+    return join_counted(docs.withColumn(name, key), keys, n, [name], "left_anti").select(*docs.columns)
+
+
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, longer until no column of ``df`` has it, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

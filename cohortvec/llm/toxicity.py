@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sizes import bound_batches
@@ -82,7 +82,8 @@ def fit_toxicity(
     """Model from labelled rows; at most about ``class_rows`` of each class.
 
     The rows are drawn by a hash of their id, so the draw is the same on any
-    partitioning, and the intercept is corrected for the shares drawn.  Rows
+    partitioning, and the intercept is corrected for the shares drawn.  Never more
+    than ``4 * class_rows`` rows are taken, however many share an id.  Rows
     without id, text or label are left out; of several labels of one id the
     larger counts.  Features of fewer than ``min_rows`` drawn rows are left out.
     Without any row of class 1 every score is 0.
@@ -103,8 +104,11 @@ def fit_toxicity(
     drawn = ids.withColumn("place", place).filter(F.pmod("place", F.lit(1 << 30)) < share * (1 << 30))
     # about 2 * class_rows rows, whatever the size of the tables
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).dropna()
+    # rows that share a drawn id are drawn once more by their texts
     sample = (
         rows.join(F.broadcast(drawn), "doc_id")
+        .select("text", "toxic", "place", F.xxhash64("doc_id", "text").alias("own"))
+        .orderBy("own").limit(4 * class_rows)
         .select("text", "toxic", "place")
         .mapInArrow(_training_features, "toxic int, place bigint, features binary")
         .toArrow()
@@ -154,6 +158,30 @@ def _sigmoid(v):
         return 1 / (1 + np.exp(-v))
 
 
+def _text_scores(texts: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
+    words = split_words(texts, lower=True, space=BREAKS)
+    hits = []
+    for of, number in _features(words):
+        hit = np.flatnonzero(table[number])
+        hits.append((of[hit] << HASH_BITS) | number[hit])
+    # each feature of a text counts once
+    hits = np.unique(np.concatenate(hits))
+    return _sigmoid(bias + np.bincount(hits >> HASH_BITS, table[hits & ((1 << HASH_BITS) - 1)], minlength=len(texts)))
+
+
+def toxicity_score(text: Column, model: ToxicityModel) -> Column:
+    """The score of a text, 0 to 1, as a column; the other columns of its row stay where they are."""
+
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = model.dense()
+        for texts in batches:
+            batch = pa.RecordBatch.from_arrays([texts], ["text"])
+            parts = [_text_scores(p.column(0), table, model.bias) for p in groups_of_rows(batch, "text")]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+
+    return F.arrow_udf(score, "double")(text)
+
+
 def score_toxicity(
     docs: DataFrame,
     model: ToxicityModel,
@@ -172,18 +200,7 @@ def score_toxicity(
         table = model.dense()
         for batch in batches:
             for part in groups_of_rows(batch, text_col):
-                words = split_words(part.column(text_col), lower=True, space=BREAKS)
-                total = np.full(part.num_rows, model.bias)
-                hits = []
-                for of, number in _features(words):
-                    hit = np.flatnonzero(table[number])
-                    hits.append((of[hit] << HASH_BITS) | number[hit])
-                # each feature of a text counts once
-                hits = np.unique(np.concatenate(hits))
-                total += np.bincount(
-                    hits >> HASH_BITS, table[hits & ((1 << HASH_BITS) - 1)], minlength=part.num_rows
-                )
-                score = _sigmoid(total)
+                score = _text_scores(part.column(text_col), table, model.bias)
                 kept = {c: part.column(c) for c in part.schema.names if c not in (score_col, predicted_col)}
                 kept[score_col] = pa.array(score, pa.float64())
                 kept[predicted_col] = pa.array((score >= threshold).astype(np.int32), pa.int32())

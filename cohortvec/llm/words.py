@@ -5,6 +5,7 @@ Works on the bytes of an Arrow string column: no Python object per word.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,11 +14,11 @@ import pyarrow as pa
 
 U64 = np.uint64
 
-# Bytes hashed at a time; bounds the working memory, not the text.
-PIECE_BYTES = 1 << 18
+# Bytes of a word from which on it is hashed by itself.
+LONG_WORD = 512
 
-# Odd multipliers of the byte, word and mixing steps.
-BYTE_BASE = 0x9E3779B97F4A7C15
+# Odd multipliers of the length, word and mixing steps.
+LENGTH_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD1342543DE82EF95
 MIX_1 = 0xBF58476D1CE4E5B9
 MIX_2 = 0x94D049BB133111EB
@@ -58,7 +59,7 @@ class Powers:
         return np.cumprod(steps)
 
 
-_bytes, _words = Powers(BYTE_BASE), Powers(WORD_BASE)
+_words = Powers(WORD_BASE)
 
 
 @dataclass
@@ -129,18 +130,28 @@ def split_words(texts: pa.Array, lower: bool = False, space: np.ndarray = SPACE)
 
 
 def _hash_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Polynomial hash of each byte span, by prefix sums modulo 2**64."""
-    out = np.empty(len(start), U64)
-    a = 0
-    while a < len(start):
-        b = max(int(np.searchsorted(end, start[a] + PIECE_BYTES, "right")), a + 1)
-        low, high = int(start[a]), int(end[b - 1])
-        up, down = _bytes.upto(high - low)
-        sums = np.zeros(high - low + 1, U64)
-        np.cumsum((raw[low:high].astype(U64) + U64(1)) * up, out=sums[1:])
-        out[a:b] = (sums[end[a:b] - low] - sums[start[a:b] - low]) * down[start[a:b] - low]
-        a = b
-    return mix(out)
+    """A 64-bit hash of each byte span.
+
+    Eight bytes at a time are mixed in by a bijection, so spans of one length up
+    to eight never share a hash, and nothing of it is a polynomial in the bytes.
+    Spans of more than LONG_WORD bytes are hashed by BLAKE2.
+    """
+    lengths = end - start
+    out = mix(lengths.astype(U64) * U64(LENGTH_BASE))
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))  # at every byte
+    at = np.flatnonzero(lengths <= LONG_WORD)
+    done = 0
+    while len(at):
+        left = np.minimum(lengths[at] - done, 8)
+        part = eights[start[at] + done] & (U64(2**64 - 1) >> ((8 - left) * 8).astype(U64))
+        out[at] = mix(out[at] ^ part)
+        done += 8
+        at = at[lengths[at] > done]
+    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+        digest = hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
 
 
 def rolling(hashes: np.ndarray, size: int) -> np.ndarray:

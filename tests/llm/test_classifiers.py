@@ -1,10 +1,15 @@
+import math
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cohortvec.llm import language_id as li
 from cohortvec.llm import toxicity as tx
+from cohortvec.llm.words import mix, split_words
 
 SYLLABLES = {"en": ["the", "ing", "th", "er", "sh"], "fr": ["eau", "oui", "le", "é", "ai"], "de": ["sch", "ung", "ei", "ß", "ü"]}
 
@@ -88,15 +93,77 @@ def test_toxicity_of_held_out_rows(corpus):
     assert "lang" in rows[0].asDict()
 
 
-def test_a_feature_counts_once(corpus):
+def plain_features(text):
+    """Distinct feature numbers of a text, word by word."""
+    words = [x.lower() if x.isascii() else x for x in re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", text or "")]
+    hashes = [int(split_words(pa.array([x]), lower=True, space=tx.BREAKS).hash[0]) for x in words]
+    out = {h >> (64 - tx.HASH_BITS) for h in hashes}
+    for gap in (1, 2):
+        for a, b in zip(hashes, hashes[gap:]):
+            both = np.array([(a * (2 * gap + 1) + b) % 2**64], np.uint64)
+            out.add(int(mix(both)[0]) >> (64 - tx.HASH_BITS))
+    return out
+
+
+def test_scores_equal_plain_sums(corpus):
     model = tx.fit_toxicity(corpus, corpus.select("doc_id", "toxic"))
-    spark = corpus.sparkSession
-    rows = [(1, "idiot"), (2, "idiot idiot idiot IDIOT!")]
-    once, often = [
-        r.score for r in tx.score_toxicity(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), model).collect()
-    ]
-    assert once > 0.3
-    assert abs(often - once) < 0.5
+    weights = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    rows = [(1, "idiot"), (2, "idiot idiot idiot IDIOT!"), (3, None), (4, ""), (5, "the scum, the moron er"), (6, "É")]
+    rows += [(r.doc_id, r.text) for r in corpus.filter("doc_id < 40").collect()]
+    scored = tx.score_toxicity(corpus.sparkSession.createDataFrame(rows, "doc_id bigint, text string"), model).collect()
+    columns = corpus.sparkSession.createDataFrame(rows, "doc_id bigint, text string").withColumn("s", tx.toxicity_score(F.col("text"), model))
+    alike = {(r.doc_id, r.text): r.s for r in columns.collect()}
+    for r in scored:
+        total = model.bias + sum(weights.get(f, 0.0) for f in plain_features(r.text))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)), rel=1e-6)
+        assert alike[r.doc_id, r.text] == r.score
+
+
+def plain_ftrl(x, y, rounds, alpha, beta, l1, l2):
+    """The published update, one coordinate at a time; the last coordinate is the intercept."""
+    z, n = {}, {}
+
+    def weight(f, free):
+        if not free and abs(z.get(f, 0.0)) <= l1:
+            return 0.0
+        pull = 0.0 if free else math.copysign(l1, z[f])
+        return -(z.get(f, 0.0) - pull) / ((beta + math.sqrt(n.get(f, 0.0))) / alpha + (0.0 if free else l2))
+
+    for _ in range(rounds):
+        for features, label in zip(x, y, strict=True):
+            own = {f: weight(f, False) for f in features} | {"b": weight("b", True)}
+            g = 1 / (1 + math.exp(-sum(own.values()))) - label
+            for f, w in own.items():
+                step = (math.sqrt(n.get(f, 0.0) + g * g) - math.sqrt(n.get(f, 0.0))) / alpha
+                z[f] = z.get(f, 0.0) + g - step * w
+                n[f] = n.get(f, 0.0) + g * g
+    return {f: weight(f, False) for f in z if f != "b"}, weight("b", True)
+
+
+def test_training_equals_the_published_update():
+    rng = np.random.default_rng(2)
+    x = [np.unique(rng.integers(0, 30, rng.integers(1, 12))) for _ in range(120)]
+    y = np.array([float(3 in f or rng.random() < 0.1) for f in x])
+    weights, bias = tx._ftrl(x, y, 3, 1.0, 1.0, 0.7, 1.0)
+    want, want_bias = plain_ftrl([f.tolist() for f in x], y, 3, 1.0, 1.0, 0.7, 1.0)
+    assert bias == pytest.approx(want_bias)
+    assert {f: weights[f] for f in want} == pytest.approx(want)
+    assert np.count_nonzero(weights) == sum(w != 0 for w in want.values()) < 30
+
+
+def test_rows_that_share_an_id_are_bounded(spark):
+    rows = [(1, f"some scum {i}", 1) for i in range(3000)] + [(i, f"clean {i}", 0) for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    labels = docs.select("doc_id", "toxic").distinct()
+    taken = []
+    plain = tx._ftrl
+    try:
+        tx._ftrl = lambda x, y, *a: (taken.append(len(y)), plain(x, y, *a))[1]
+        model = tx.fit_toxicity(docs, labels, class_rows=50)
+    finally:
+        tx._ftrl = plain
+    assert taken and taken[0] <= 200
+    assert len(model.features)
 
 
 @pytest.mark.parametrize("labels", ["toxic = 0", "toxic > 5", "toxic = 1"])

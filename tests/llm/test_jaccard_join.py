@@ -7,6 +7,8 @@ import pytest
 from cohortvec.llm import jaccard_join as j
 from cohortvec.llm.jaccard_join import near_duplicate_groups
 
+from .test_words import thue_morse
+
 
 def shingles(text, size):
     words = [w.lower() if w.isascii() else w for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
@@ -101,3 +103,10 @@ def test_bitmap_bound_is_sound():
         y = set(rng.integers(0, 1000, 300).tolist()) | set(list(x)[:250])
         bits = [{v * 7919 % 256 for v in s} for s in (x, y)]
         assert len(bits[0] ^ bits[1]) <= len(x ^ y)
+
+
+def test_shingles_of_words_whose_polynomials_agree(documents):
+    one, two = thue_morse("a", "b")
+    rows = [(1, f"{one} v w x y"), (2, f"{two} v w x y"), (3, f"{one} v w x y")]
+    got = {r.doc_id: r.component_id for r in near_duplicate_groups(documents(rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}

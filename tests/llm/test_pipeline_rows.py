@@ -50,3 +50,20 @@ def test_near_copies_leave_one_row(left, text):
     assert len(got) == 4 and {(3, a), (3, d)} < set(got)
     assert len({(None, b), (None, b + " y")} & set(got)) == 1
     assert len({(7, c), (7, c + " z")} & set(got)) == 1
+
+
+def test_columns_named_like_those_inside(spark, tmp_path, text):
+    """Every column keeps its values, whatever its name."""
+    names = ["_gone_key", "_Gone_Key_", "_row", "_score", "_predicted", "key", "n", "sid", "_group"]
+    texts = [text() for _ in range(6)] + [ITEM + " end"]
+    rows = [(i, t, *range(k * 10, k * 10 + len(names))) for k, (i, t) in enumerate([*enumerate(texts), (9, texts[0]), (10, texts[1] + " x")])]
+    columns = ", ".join(f"{n} int" for n in names)
+    docs = spark.createDataFrame(rows, f"doc_id bigint, text string, {columns}")
+    spark.createDataFrame([(1, ITEM)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels = [(i, 0) for i in range(6)]
+    spark.createDataFrame(labels, "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    gone = {"toxicity": set(), "exact_dedup": {0}, "near_dedup": {9, 10}, "decontamination": {6}}
+    for stage, ids in gone.items():
+        out = getattr(corpus_pipeline, stage)(spark, docs, str(tmp_path))
+        assert out.schema == docs.schema
+        assert sorted(map(tuple, out.collect())) == sorted(r for r in rows if r[0] not in ids)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from cohortvec.llm.ranges import range_bounds, range_number
 from cohortvec.llm.substring_dedup import remove_repeated_windows
 
+from .test_words import thue_morse
+
 
 def brute(rows, window):
     """Kept words of each row, rows in order of id (null first) and text."""
@@ -71,3 +73,11 @@ def test_digest_of_query(spark, tmp_path, documents):
     documents([(1, "a\tb  c"), (2, None)]).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.kept_sha256 for r in op1_substring_dedup(spark, str(tmp_path)).collect()}
     assert got == {1: hashlib.sha256(b"a b c").hexdigest(), 2: hashlib.sha256(b"").hexdigest()}
+
+
+def test_windows_of_words_whose_polynomials_agree(documents):
+    one, two = thue_morse("a", "b")
+    rest = [f"w{i}" for i in range(19)]
+    rows = [(1, " ".join([one, *rest])), (2, " ".join([two, *rest])), (3, " ".join([one, *rest]))]
+    got = {r.doc_id: r.n_removed for r in remove_repeated_windows(documents(rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}

@@ -32,11 +32,27 @@ def test_windows_hash_alike_if_and_only_if_equal(tokens, size):
     assert len(at) == 2 * max(len(tokens) - size + 1, 0)
 
 
-def test_pieces_do_not_change_hashes(monkeypatch):
-    text = pa.array([" ".join(f"word{i}" for i in range(500)), "x" * 300, "word7"])
-    whole = w.split_words(text).hash
-    monkeypatch.setattr(w, "PIECE_BYTES", 64)
-    assert np.array_equal(whole, w.split_words(text).hash)
+def thue_morse(a, b, doublings=10):
+    """Two strings that every polynomial hash modulo a power of two takes for equal."""
+    for _ in range(doublings):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_whose_polynomials_agree():
+    words = [*thue_morse("a", "b"), *thue_morse("x", "q", 8), *thue_morse("cd", "dc")]
+    words += ["a" * n for n in (1, 7, 8, 9, 16, 17, 511, 512, 513, 5000)] + ["\0", "\0\0", "a\0"]
+    hashes = w.split_words(pa.array([" ".join(words)])).hash
+    assert len(hashes) == len(words) == len(set(hashes.tolist()))
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.text(alphabet="abé\0", min_size=1, max_size=1200), min_size=1, max_size=5))
+def test_hashes_depend_on_the_word_alone(words):
+    together = w.split_words(pa.array(["zz", " ".join(words)])).hash[1:]
+    alone = [w.split_words(pa.array([x])).hash[0] for x in words]
+    assert together.tolist() == [int(h) for h in alone]
+    assert len(set(together.tolist())) == len(set(words))
 
 
 def test_sliced_and_chunked_columns():
