@@ -27,7 +27,7 @@ from cohortvec.llm.exact_dedup import exact_duplicates
 from cohortvec.llm.jaccard_join import near_duplicate_groups
 from cohortvec.llm.packing import pack_documents
 from cohortvec.llm.sizes import join_counted, keep_rows, row_key, store_counted
-from cohortvec.llm.toxicity import fit_toxicity, score_toxicity
+from cohortvec.llm.toxicity import THRESHOLD, fit_toxicity, toxicity_score
 from cohortvec.session import store
 
 #: Toxicity is learned, not expressible in SQL.
@@ -41,8 +41,7 @@ def _documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Da
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it learns from the labelled ones."""
     model = fit_toxicity(docs.select("doc_id", "text"), _documents(spark, sf_dir, "labels"))
-    scored = score_toxicity(docs, model, score_col="_score", predicted_col="_predicted")
-    return scored.filter(F.col("_predicted") == 0).select(*docs.columns)
+    return docs.filter(toxicity_score(F.col("text"), model) < THRESHOLD)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +63,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     alone, come in the order of their hash.
     """
     key = row_key("doc_id", F.col("text"))
-    rows = docs.withColumn("_row", key)
+    rows = docs.select("doc_id", "text", key.alias("_row"))
     groups = near_duplicate_groups(rows, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
     groups, _ = store_counted(groups.distinct(), "near-groups")
     several, n = store_counted(groups.filter(F.col("_row") != F.col("_group")).select("_group").distinct(), "near-several")
@@ -79,7 +78,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark windows, or with too few of their words in them."""
     key = row_key("doc_id", F.col("text"))
-    found = contamination(docs.withColumn("_row", key), _documents(spark, sf_dir, "benchmark"), id_col="_row")
+    rows = docs.select("text", key.alias("_row"))
+    found = contamination(rows, _documents(spark, sf_dir, "benchmark"), id_col="_row")
     return keep_rows(docs, found.filter("contaminated").select("doc_id"), key, "contaminated")
 
 
