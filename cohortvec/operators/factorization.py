@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot
 from ..session import parallelism, store
 from .ratings import ITEM, RATING, USER, sum_duplicates
+from .rounds import RoundStates
 
 logger = logging.getLogger(__name__)
 
@@ -435,7 +436,9 @@ def make_tiles(cells: DataFrame, n_users: int, n_items: int, n_cells: int, rank:
     return Tiles(dealt, blocks, routes, parts)
 
 
-def _fit_joined(data: RatingCells, rank: int, alpha: float, iterations: int, tol: float, seed: int, given: Start | None):
+def _fit_joined(
+    data: RatingCells, rank: int, alpha: float, iterations: int, tol: float, seed: int, given: Start | None, states: RoundStates | None
+):
     """The rounds of ``fit`` with both factors as tables; nothing grows on the driver."""
     n_items, facts = data.n_items, data.facts
     n_users, squares_x = facts.users, facts.squares
@@ -452,13 +455,16 @@ def _fit_joined(data: RatingCells, rank: int, alpha: float, iterations: int, tol
                 [batch.column(ITEM), batch.column("_routes"), _lists(drawn)], [ITEM, "_routes", VECTOR]
             )
 
-    if given is None:
+    saved = states.last() if states else None
+    if saved:
+        drawn = item_rows.join(saved[2], ITEM)
+    elif given is None:
         drawn = item_rows.mapInArrow(start, f"{ITEM} long, _routes array<int>, {VECTOR} array<double>")
     else:
         drawn = item_rows.withColumn(VECTOR, given(F.col(ITEM)).cast("array<double>"))
     items = store(drawn, "items")
-    losses: list[float] = []
-    for step in range(iterations + 1):
+    losses: list[float] = list(saved[1]["losses"]) if saved else []
+    for step in range(saved[0] if saved else 0, iterations + 1):
         item_gram, _, _ = gram_matrix(items.df, VECTOR)
         ridge = alpha * n_items * np.eye(rank)
         sums = tiles.sums(items.df, ITEM, rank).join(user_rows, USER)
@@ -477,6 +483,8 @@ def _fit_joined(data: RatingCells, rank: int, alpha: float, iterations: int, tol
         users.discard()
         items.discard()
         items = new_items
+        if states:
+            states.save(step + 1, {"losses": losses}, items.df.select(ITEM, VECTOR))
     return items.df.select(ITEM, VECTOR), losses
 
 
@@ -523,6 +531,7 @@ def fit(
     seed: int = 42,
     model_bytes: int = MODEL_BYTES,
     start: Start | None = None,
+    state: str | None = None,
 ) -> Factorization:
     """Factorize a prepared rating table.
 
@@ -530,8 +539,11 @@ def fit(
     the loss falls by less than ``tol`` of itself (a negative ``tol`` never
     stops).  ``start`` maps the item number to its first vector; without it the
     vectors are random.  Users whose vector had not settled are logged.
+    ``state``: a folder for the state of each round; a fit that was stopped goes
+    on from its last whole round when it is called again with the same data,
+    settings and folder, and ends with the same numbers.
     """
-    return fit_settings(data, [Setting(rank, regularization, iterations)], tol, seed, model_bytes, start)[0]
+    return fit_settings(data, [Setting(rank, regularization, iterations)], tol, seed, model_bytes, start, state=state)[0]
 
 
 def fit_settings(
@@ -542,6 +554,7 @@ def fit_settings(
     model_bytes: int = MODEL_BYTES,
     start: Start | None = None,
     workers: int = 1,
+    state: str | None = None,
 ) -> list[Factorization]:
     """``fit`` for each setting, with the numbers it has alone.
 
@@ -564,11 +577,23 @@ def fit_settings(
                 held = 0
             waves[-1].append(chain)
             held += size
-    for wave in waves:
-        found |= _fit_wave(data, wave, rounds, tol, seed, start)
+
+
+    def states(name: str, fitted: list) -> RoundStates | None:
+        if state is None:
+            return None
+        facts = data.facts
+        about = [data.n_items, facts.users, facts.cells, facts.squares, tol, seed]
+        identity = dict(zip(("items", "users", "cells", "squares", "tol", "seed"), about, strict=True)) | {"fitted": fitted}
+        return RoundStates(data.cells.sparkSession, f"{state}/{name}", identity)
+
+    for number, wave in enumerate(waves):
+        of_wave = states(f"wave-{number}", [[*c, rounds[c]] for c in wave])
+        found |= _fit_wave(data, wave, rounds, tol, seed, start, of_wave)
 
     def alone(setting: Setting) -> Factorization:
-        items, losses = _fit_joined(data, *setting[:2], setting.iterations, tol, seed, start)
+        own = states("-".join(map(str, setting)), list(setting))
+        items, losses = _fit_joined(data, *setting[:2], setting.iterations, tol, seed, start, own)
         return Factorization(items, *setting[:2], losses)
 
     large = [s for s in dict.fromkeys(settings) if s not in found]
@@ -579,7 +604,9 @@ def fit_settings(
     return [found[s] for s in settings]
 
 
-def _fit_wave(data: RatingCells, wave: list[tuple[int, float]], rounds: dict, tol: float, seed: int, start: Start | None) -> dict:
+def _fit_wave(
+    data: RatingCells, wave: list[tuple[int, float]], rounds: dict, tol: float, seed: int, start: Start | None, states: RoundStates | None
+) -> dict:
     """Models of all ``(rank, regularization)`` of a wave, taken at their ``rounds``."""
     n_items, facts, rows = data.n_items, data.facts, data.rows
     n_users, squares_x, spark = facts.users, facts.squares, data.cells.sparkSession
@@ -592,6 +619,39 @@ def _fit_wave(data: RatingCells, wave: list[tuple[int, float]], rounds: dict, to
     losses: dict[tuple, list[float]] = {c: [] for c in wave}
     found: dict[Setting, Factorization] = {}
     active, step = list(wave), 0
+
+    def table_of(items: np.ndarray) -> pa.Table:
+        return pa.table({ITEM: np.arange(n_items), VECTOR: _lists(items)})  # the checked model size
+
+    def taken_at(chain: tuple, t: int, items: np.ndarray) -> dict:
+        model = Factorization(spark.createDataFrame(table_of(items)), *chain, losses[chain][: t + 1], items)
+        return {Setting(*chain, t): model}
+
+    saved = states.last() if states else None
+    if saved:
+        step, noted, table = saved
+        losses = dict(zip(wave, noted["losses"], strict=True))
+        active = [wave[k] for k in noted["active"]]
+        local = table.toArrow().sort_by([("chain", "ascending"), ("taken", "ascending"), (ITEM, "ascending")])
+        numbers, times = local["chain"].to_numpy(), local["taken"].to_numpy()
+        for k, t in sorted(set(zip(numbers.tolist(), times.tolist()))):
+            own = local.filter(pa.array((numbers == k) & (times == t)))
+            items = np.array(own[VECTOR].to_pylist(), np.float64)
+            if t < 0:
+                factors[wave[k]] = items
+            else:
+                found |= taken_at(wave[k], t, items)
+
+    def save() -> None:
+        parts = [(k, -1, factors[c]) for k, c in enumerate(wave) if c in active]
+        parts += [(wave.index(s[:2]), s.iterations, m.factor) for s, m in found.items()]
+        marked = [
+            table_of(items).append_column("chain", pa.array(np.full(n_items, k))).append_column("taken", pa.array(np.full(n_items, t)))
+            for k, t, items in parts
+        ]
+        noted = {"losses": [losses[c] for c in wave], "active": [wave.index(c) for c in active]}
+        states.save(step, noted, spark.createDataFrame(pa.concat_tables(marked)))
+
     while active:
         passed = _round_broadcast(rows, data.parts, [(factors[c], c[1]) for c in active])
         for chain, (crossed, user_gram, fitted, unsettled) in zip(list(active), passed, strict=True):
@@ -600,15 +660,15 @@ def _fit_wave(data: RatingCells, wave: list[tuple[int, float]], rounds: dict, to
             losses[chain].append(_loss(squares_x, fitted, user_gram, items.T @ items, alpha, n_users, n_items))
             settled = _settled(losses[chain], tol)
             taken = [t for t in rounds[chain] if t == step or (settled and t > step)]
-            if taken:
-                # the checked model size
-                table = spark.createDataFrame(pa.table({ITEM: np.arange(n_items), VECTOR: _lists(items)}))
-                found |= {Setting(*chain, t): Factorization(table, *chain, list(losses[chain]), items) for t in taken}
+            for t in taken:
+                found |= taken_at(chain, t, items)
             if settled or step == rounds[chain][-1]:
                 active.remove(chain)
             else:
                 factors[chain] = _solve_spread(rows, crossed, user_gram + alpha * n_users * np.eye(chain[0]))
         step += 1
+        if states:
+            save()
     return found
 
 
@@ -838,6 +898,10 @@ def performance_score(metrics: DataFrame, measure: str = "MSE") -> float:
     return 1.0 / (1.0 + row["value"]) if measure == "MSE" else row["value"]
 
 
+# One row per tried setting.
+SCORE_SCHEMA = "embedding_size int, regularization double, max_iterations int, score double"
+
+
 @dataclass
 class GridResult:
     items: DataFrame
@@ -880,20 +944,22 @@ def grid_search(
     model_bytes: int = MODEL_BYTES,
     unique_cells: bool = False,
     start: Start | None = None,
+    state: str | None = None,
 ) -> GridResult:
     """Fit every setting on ``train``, score it on ``test``, refit the best on both.
 
     The first setting with the highest score wins.  Settings are fitted and
     scored together (``fit_settings``); those too large to broadcast share the
     cluster ``workers`` at a time.  ``unique_cells`` says that no (user, item)
-    repeats.
+    repeats.  ``state``: a folder for the rounds of all fits, as in ``fit``.
     """
     spark = train.sparkSession
     train_data = RatingCells(train, n_items, unique_cells)
     test_data = RatingCells(test, n_items, unique_cells)
 
     settings = [Setting(*s) for s in product(sizes, regularizations, iterations)]
-    models = fit_settings(train_data, settings, tol, seed, model_bytes, start, workers)
+    states = (f"{state}/grid", f"{state}/best") if state else (None, None)
+    models = fit_settings(train_data, settings, tol, seed, model_bytes, start, workers, states[0])
     tables = dict(_all_metrics(test_data, settings, models, model_bytes))
     attempts = [(s, tables[s], performance_score(tables[s], measure)) for s in settings]
     usable = [a for a in attempts if not np.isnan(a[2])]
@@ -902,11 +968,8 @@ def grid_search(
     best = max(usable, key=lambda a: a[2])  # the first of equal scores
     both = train_data.joined_with(test_data)
     size, regularization, rounds = best[0]
-    model = fit(both, size, regularization, rounds, tol, seed, model_bytes, start)
+    model = fit(both, size, regularization, rounds, tol, seed, model_bytes, start, states[1])
     for data in (train_data, test_data, both):
         data.release()
-    scores = spark.createDataFrame(
-        [(*s, float(v)) for s, _, v in attempts],
-        "embedding_size int, regularization double, max_iterations int, score double",
-    )
+    scores = spark.createDataFrame([(*s, float(v)) for s, _, v in attempts], SCORE_SCHEMA)
     return GridResult(model.items, best[1], scores, best[0])

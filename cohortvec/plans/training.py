@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.cooccurrence import cooccurrence, cooccurrence_ratings
-from ..operators.factorization import grid_search
+from ..operators.factorization import METRIC_SCHEMA, SCORE_SCHEMA, grid_search
 from ..operators.ratings import FEATURE, ITEM, PERSON, cohort_sample, sparse_ratings, split_by_person
 from ..session import scratch
 from ..sources import sinks
+from ..sources.commits import manifest, staged
 
 # Default settings for persons x features ..
 SIZES, REGULARIZATIONS, ITERATIONS = (50,), (0.05,), (10_000,)
@@ -55,7 +57,11 @@ def train_embeddings(
     sample: float | None = None,
     **solver,
 ) -> Trained:
-    """Embeddings from persons x features; ``sample`` takes that share of the persons."""
+    """Embeddings from persons x features; ``sample`` takes that share of the persons.
+
+    ``solver``: further arguments of ``grid_search``; with ``state`` a training that
+    was stopped goes on from its last whole round when it is called again.
+    """
     if sample is not None:
         log = cohort_sample(log, sample, seed)
     settings = sizes, regularizations, iterations
@@ -84,7 +90,30 @@ def train_cooccurrence_embeddings(
 
 
 def save_training(trained: Trained, folder: str, file_format: str = "parquet") -> None:
-    """Embeddings, feature index and metrics below a folder that must be new."""
-    sinks.write_embeddings(trained.embeddings, f"{folder}/embeddings", file_format)
-    sinks.write_index(trained.features, f"{folder}/features", file_format)
-    sinks.write_metrics(trained.metrics, f"{folder}/metrics")
+    """Embeddings, feature index, metrics and scores below a folder that must be new.
+
+    All are committed together: what a stopped call leaves has no manifest, and
+    ``read_training`` does not take it.
+    """
+    spark = trained.embeddings.sparkSession
+    with staged(spark, folder, {"format": file_format}) as parts:
+        sinks.write_embeddings(trained.embeddings, parts.path("embeddings"), file_format)
+        sinks.write_index(trained.features, parts.path("features"), file_format)
+        sinks.write_metrics(trained.metrics, parts.path("metrics"))
+        sinks.write_metrics(trained.scores, parts.path("scores"))
+
+
+def read_training(spark: SparkSession, folder: str) -> Trained:
+    """What ``save_training`` has committed; ``NotCommitted`` for anything else."""
+    file_format = manifest(spark, folder)["about"]["format"]
+    if file_format == "csv":
+        read = spark.read.option("header", "true")
+        wide = read.csv(f"{folder}/embeddings")
+        vector = [F.col(c).cast("double") for c in wide.columns if c.startswith(sinks.COLUMN_PREFIX)]
+        embeddings = wide.select(F.col(ITEM).cast("bigint").alias(ITEM), FEATURE, F.array(*vector).alias(sinks.VECTOR))
+        features = read.csv(f"{folder}/features").select(FEATURE, F.col(ITEM).cast("bigint").alias(ITEM))
+    else:
+        embeddings, features = spark.read.parquet(f"{folder}/embeddings"), spark.read.parquet(f"{folder}/features")
+    metrics = spark.read.schema(METRIC_SCHEMA).json(f"{folder}/metrics")
+    scores = spark.read.schema(SCORE_SCHEMA).json(f"{folder}/scores")
+    return Trained(embeddings, features, metrics, scores)

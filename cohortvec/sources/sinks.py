@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VECTOR = "embedding"
+COLUMN_PREFIX = "emb_vec_"
 
 
-def wide_embeddings(embeddings: DataFrame, vector: str = VECTOR, prefix: str = "emb_vec_") -> DataFrame:
+def wide_embeddings(embeddings: DataFrame, vector: str = VECTOR, prefix: str = COLUMN_PREFIX) -> DataFrame:
     """One column per dimension; reads one row for the number of dimensions."""
     first = embeddings.select(F.size(vector).alias("n")).first()
     dimensions = first["n"] if first else 0

@@ -79,3 +79,28 @@ def test_one_block_and_one_cell(spark):
     ways = [N.fit(data, 2, 0.01, 3, tol=-1, model_bytes=b) for b in (0, N.MODEL_BYTES)]
     assert ways[0].losses == pytest.approx(ways[1].losses, rel=1e-9)
     assert np.allclose(*(matrix_of(w.items, "item", 2) for w in ways))
+
+
+@pytest.mark.parametrize("model_bytes", [N.MODEL_BYTES, 30 * 3 * 8, 0])
+def test_settings_together_are_the_single_fits(spark, model_bytes):
+    """All in one wave, some too large to broadcast, or none broadcast."""
+    data = N.RatingCells(cells_of(spark, ratings_matrix(60, 30, 8)), 30)
+    settings = [N.Setting(*s) for s in [(3, 0.0, 4), (5, 0.01, 2), (3, 0.0, 1), (2, 0.02, 6), (3, 0.0, 4), (1, 0.0, 0)]]
+    together = N.fit_settings(data, settings, model_bytes=model_bytes, workers=2)
+    for setting, model in zip(settings, together, strict=True):
+        alone = N.fit(data, *setting)
+        assert model.losses == pytest.approx(alone.losses, rel=1e-7)
+        assert np.allclose(matrix_of(model.items, "item", 30), matrix_of(alone.items, "item", 30), atol=1e-5)
+
+
+def test_jobs_grow_with_rounds_not_with_settings(spark):
+    data = N.RatingCells(cells_of(spark, ratings_matrix(60, 30, 8)), 30)
+    data.rows, data.facts
+    passes = []
+    plain = N._round_broadcast
+    try:
+        N._round_broadcast = lambda *a: (passes.append(len(a[2])), plain(*a))[1]
+        N.fit_settings(data, [N.Setting(k, 0.0, 3) for k in (1, 2, 3, 4)], tol=-1)
+    finally:
+        N._round_broadcast = plain
+    assert passes == [4, 4, 4, 4]
