@@ -1144,3 +1144,50 @@ def _(spark, folder):
 def _(spark, folder):
     trained = training.train_embeddings(view(spark, folder, "interactions_brand"), (4, 8), (0.0,), (20,), workers=2)
     return _unnested(trained.embeddings, "item", "feature_name")
+
+
+@query("nmf_grid_search_ranks")
+def _(spark, folder):
+    indexed = ratings.sparse_ratings(view(spark, folder, "interactions_brand"), mode="sum")
+    train, test = ratings.split_by_person(indexed.ratings, indexed.persons, 0.9)
+    found = factorization.grid_search(
+        train, test, indexed.features.count(), [4, 8], [0.0, 0.001], [10], "MSE", workers=4, unique_cells=True
+    )
+    return found.scores
+
+
+@query("nmf_ranked_list_cosine")
+def _(spark, folder):
+    trained = training.train_embeddings(view(spark, folder, "interactions_brand"), (6,), (0.0,), (20,))
+    return similarity.embedding_ranked_list(trained.embeddings.drop("feature_name"), trained.features)
+
+
+@query("train_embeddings_cooc_rank6")
+def _(spark, folder):
+    log = view(spark, folder, "interactions_brand")
+    trained = training.train_cooccurrence_embeddings(log, (6,), (0.0,), (20,), ratio=0.9)
+    return _unnested(trained.embeddings, "item", "feature_name")
+
+
+# the default size and regularization, over many items, with both factors as tables
+@query("nmf_embeddings_rank50")
+def _(spark, folder):
+    indexed = ratings.sparse_ratings(view(spark, folder, "interactions_part"), mode="sum")
+    data = factorization.RatingCells(indexed.ratings, indexed.features.count(), unique_cells=True)
+    return _unnested(factorization.fit(data, 50, 0.05, 2, model_bytes=0).items, "item")
+
+
+# what a training has committed, read back
+@query("training_roundtrip", _BRAND + _LOG_CELLS + _rounds() + _NAMED_VECTORS)
+def _(spark, folder):
+    log = view(spark, folder, "interactions_brand")
+    place = new_path(spark, "model")
+    training.save_training(training.train_embeddings(log, *_TRAINING, measure="MSE", **_solver()), place)
+    return _unnested(training.read_training(spark, place).embeddings, "item", "feature_name")
+
+
+@query("metrics_roundtrip", ORACLES["nmf_metrics"])
+def _(spark, folder):
+    place = new_path(spark, "metrics")
+    sinks.write_metrics(QUERIES["nmf_metrics"](spark, folder), place)
+    return spark.read.schema(factorization.METRIC_SCHEMA).json(place)
