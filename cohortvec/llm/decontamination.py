@@ -22,6 +22,8 @@ RAREST = 2
 # A document is contaminated from one hit word in so many.
 HIT_SHARE = 20
 LOWEST = -(1 << 63)
+# Places of a document whose candidates share one splitting of its text.
+STRETCH = 4096
 
 # What separates words, and the letters put in lower case.
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -136,24 +138,41 @@ def phrase_matches(
     enough = join_counted(met, windows, n_windows, ["item_no"], "inner", broadcast_rows).filter(
         F.size(F.array_except("anchors", "met")) == 0
     )
-    candidates, n_candidates = store_counted(enough.select(*KEY, "item_no", "origin").distinct(), "candidates")
-
-    # word by word on the documents that have candidates
-    texts = join_counted(keyed, candidates, n_candidates, KEY, "inner", broadcast_rows)
-    aligned = join_counted(
-        texts.select(*KEY, "item_no", "origin", F.transform(_pieces("text"), ascii_lower).alias("words")),
-        bench, n_items, ["item_no"], "inner", broadcast_rows // 10,
-    )
+    sizes = bench.select("item_no", F.size("item_words").alias("size"))
+    wanted = join_counted(enough.select(*KEY, "item_no", "origin").distinct(), sizes, n_items, ["item_no"], "inner", broadcast_rows)
+    candidates, n_candidates = store_counted(wanted, "candidates")
+
+    # word by word on the documents that have candidates: a document's words are
+    # made once for the candidates of a stretch, and each takes its own few
+    stretch = F.floor(F.col("origin") / STRETCH).alias("stretch")
+    by_doc = candidates.groupBy(*KEY, stretch).agg(F.collect_list(F.struct("item_no", "origin", "size")).alias("asked"))
+    texts = join_counted(keyed, by_doc, n_candidates, KEY, "inner", broadcast_rows)
+    # a generator's column is not computed again per element of a lambda
+    split = texts.select(*KEY, "asked", F.explode(F.array(F.transform(_pieces("text"), ascii_lower))).alias("words"))
+    aligned = split.select(
+        *KEY,
+        F.inline(
+            F.transform(
+                "asked",
+                lambda c: F.struct(
+                    c["item_no"].alias("item_no"),
+                    c["origin"].alias("origin"),
+                    F.slice(
+                        F.col("words"), F.greatest(c["origin"], F.lit(0)) + 1, F.greatest(c["size"] + F.least(c["origin"], F.lit(0)), F.lit(0))
+                    ).alias("words"),
+                ),
+            )
+        ),
+    )
+    both = join_counted(aligned, bench, n_items, ["item_no"], "inner", broadcast_rows // 10)
     length = F.least(F.size("item_words"), F.lit(window))
-    each = aligned.select(
-        *KEY, "item_id", "origin", "words", "item_words", length.alias("length"),
-        F.explode(F.sequence(F.lit(0), F.size("item_words") - length)).alias("begin"),
-    )
-    start = F.col("origin") + F.col("begin")
-    same = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("length")) == F.slice(
-        "item_words", F.col("begin") + 1, F.col("length")
+    missing = F.greatest(-F.col("origin"), F.lit(0))  # words of the item before the document's first
+    begins = F.filter(
+        F.sequence(F.lit(0), F.size("item_words") - length),
+        lambda b: (b >= missing) & (F.slice("words", F.greatest(b - missing, F.lit(0)) + 1, length) == F.slice("item_words", b + 1, length)),
     )
-    return each.filter((start >= 0) & same).select(*KEY, "item_id", start.alias("start"), "length").distinct()
+    found = both.select(*KEY, "item_id", "origin", length.alias("length"), F.explode(begins).alias("begin"))
+    return found.select(*KEY, "item_id", (F.col("origin") + F.col("begin")).alias("start"), "length").distinct()
 
 
 def proximity_matches(

@@ -48,32 +48,29 @@ SCHEMA = (
 
 @functools.cache
 def _encoder(path: str):
-    """Text to ids of the tokenizer file at ``path``, special tokens as plain text.
+    """Text to ids of the tokenizer file at ``path``, no special tokens added.
 
     The file's own byte-level vocabulary drives tiktoken, which is several times
-    faster with the same ids; texts with endless white space, which its pattern
-    can't match, go to the slower library.
+    faster with the same ids.  Texts that hold one of the file's added tokens,
+    which are ids of their own, and texts with endless white space, which the
+    pattern can't match, go to the slower library.
     """
     with open(path, encoding="utf-8") as file:
-        vocabulary = json.load(file)["model"]["vocab"]
+        content = json.load(file)
+    added = {token["content"] for token in content["added_tokens"]}
     # fixed rule of byte-level vocabularies: printable bytes stand for
     # themselves, the others for characters from 256 on
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in plain]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-    ranks = {bytes(byte_of[c] for c in word): i for word, i in vocabulary.items() if all(c in byte_of for c in word)}
-    ranks = {word: i for word, i in ranks.items() if word != b"<|endoftext|>"}
+    words = {word: i for word, i in content["model"]["vocab"].items() if word not in added and all(c in byte_of for c in word)}
+    ranks = {bytes(byte_of[c] for c in word): i for word, i in words.items()}
     fast = tiktoken.Encoding("byte_level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    endless = re.compile(r"\s{5000}")
-
-    @functools.cache
-    def slow() -> Tokenizer:
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        return tokenizer
+    unusual = re.compile("|".join([r"\s{5000}", *map(re.escape, sorted(added))]))
+    slow = functools.cache(lambda: Tokenizer.from_file(path))
 
     def encode(text: str) -> list[int]:
-        if endless.search(text):
+        if unusual.search(text):
             return slow().encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 

@@ -104,7 +104,7 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op9_token_output(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "training-order")
     write_training_order(_read(spark, folder, "documents"), path)
-    return read_positions(spark, path).select("position", "shard", "slot", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_positions(spark, path).select("position", "shard", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:

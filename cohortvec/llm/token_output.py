@@ -1,30 +1,35 @@
 """Token sequences in training order, as shards that are read front to back.
 
 A task tokenises its documents into one stream and cuts it into sequences of a
-fixed length.  A keyed Feistel network permutes the numbers of all sequences;
-numbers outside the range are permuted again until they fall inside (cycle
-walking), so every sequence gets its own slot.  Slots are dealt by ranges to
-shards, written in slot order with the same number of bytes per sequence.  A
-manifest says where each shard begins, so that reading can start, or go on
-after a stop, at any position without looking at the shards before.
-
-How many sequences there are is known only after tokenising.  Numbers are
-therefore given out before, from an upper bound by the bytes of each partition:
-slots have gaps, positions (the order of the slots) have none.
+fixed length, which are written once.  A keyed Feistel network permutes the
+numbers of all sequences; numbers outside the range are permuted again until they
+fall inside (cycle walking), so every sequence gets a global slot, without gaps.
+Slots are dealt by ranges, one task per shard, and each task writes its records
+in slot order to one file.  A record has a fixed number of bytes, so slot n
+begins at byte (n mod shard size) x stride of shard n div shard size: reading can
+start, or go on after a stop, anywhere.
+
+Shards are plain files.  They appear under their name only when complete, and a
+write that was stopped goes on with the shards that are missing.
 """
 
 from __future__ import annotations
 
+import posixpath
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.commits import children, manifest, remove, staged
 from .packing import _encoder
 from .sizes import bound_batches
 from .words import U64, groups_of_rows, mix
@@ -34,7 +39,11 @@ END_ID = 1
 ROUNDS = 4
 # Sequences of one shard, about 64 MB of tokens.
 SHARD_SEQUENCES = 1 << 14
-
+# A record is the number of its tokens, 32 bits, and its ids, 16 bits each.
+HEADER_BYTES, ID_BYTES = 4, 2
+# Bytes that a task reads at a time.
+READ_BYTES = 4 << 20
+DRAFT = "_draft-"
 
 @dataclass(frozen=True)
 class FeistelPermutation:
@@ -75,50 +84,47 @@ class FeistelPermutation:
 
 
 @dataclass(frozen=True)
-class Plan:
-    """What every task must know to number its sequences."""
+class Layout:
+    """Where the records of an output are."""
 
-    starts: list[int]  # first number of each partition, and their end
-    shards: int
+    sequences: int
+    length: int
+    shard_sequences: int
     key: int
 
     @property
-    def order(self) -> FeistelPermutation:
-        return FeistelPermutation(max(self.starts[-1], 1), self.key)
+    def stride(self) -> int:
+        return HEADER_BYTES + ID_BYTES * self.length
+
+    @property
+    def shards(self) -> int:
+        return -(-self.sequences // self.shard_sequences)
+
+    def records(self, shard: int) -> int:
+        return min(self.sequences - shard * self.shard_sequences, self.shard_sequences)
 
+    def name(self, shard: int) -> str:
+        return f"shard-{shard:08d}.tokens"
 
-def plan_order(rows: DataFrame, key: int, length: int, shard_sequences: int) -> Plan:
-    """Upper bounds from the bytes of each partition: no token is shorter than a byte."""
-    bound = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
-    found = rows.groupBy(F.spark_partition_id().alias("p")).agg(bound.alias("tokens")).collect()  # one row a partition
-    by_part = {r["p"]: -(-r["tokens"] // length) for r in found}
-    starts = [0]
-    for p in range(max(by_part, default=-1) + 1):
-        starts.append(starts[-1] + by_part.get(p, 0))
-    return Plan(starts, max(-(-starts[-1] // shard_sequences), 1), key)
 
+def _sequences(length: int, end_id: int, tokenizer: str | None):
+    """Cuts the documents of a task into sequences, numbered from 0 in the task."""
 
-def _sequences(plan: Plan, length: int, end_id: int, tokenizer: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
-        order, part = plan.order, TaskContext.get().partitionId()
-        number = plan.starts[part] if part < len(plan.starts) else plan.starts[-1]
-        last = plan.starts[part + 1] if part + 1 < len(plan.starts) else number
+        part, number = TaskContext.get().partitionId(), 0
         stream: list[int] = []
 
         def handed(rows: list[np.ndarray]) -> pa.RecordBatch:
             nonlocal number
-            if number + len(rows) > last:
-                raise RuntimeError("partitions have changed since they were counted: write the documents first")
-            slots = order.slot(np.arange(number, number + len(rows)))
-            number += len(rows)
             columns = [
-                pa.array(slots * plan.shards // order.size, pa.int32()),
-                pa.array(slots, pa.int64()),
+                pa.array([part] * len(rows), pa.int32()),
+                pa.array(np.arange(number, number + len(rows)), pa.int64()),
                 pa.array([len(r) for r in rows], pa.int32()),
                 pa.array([np.pad(r, (0, length - len(r)), constant_values=end_id).tobytes() for r in rows], pa.binary()),
             ]
-            return pa.RecordBatch.from_arrays(columns, ["shard", "slot", "n_tokens", "ids"])
+            number += len(rows)
+            return pa.RecordBatch.from_arrays(columns, ["part", "at", "n_tokens", "ids"])
 
         for batch in batches:
             for some in groups_of_rows(batch, "text"):
@@ -136,6 +142,65 @@ def _sequences(plan: Plan, length: int, end_id: int, tokenizer: str | None):
     return run
 
 
+SEQUENCES = "part int, at bigint, n_tokens int, ids binary"
+
+
+def _slots(order: FeistelPermutation, starts: dict[int, int]):
+    """Global slot of each sequence; ``starts``: first number of each task's sequences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                parts, at = batch.column("part").to_numpy(), batch.column("at").to_numpy()
+                first = np.array([starts[p] for p in parts.tolist()], np.int64)
+                columns = [pa.array(order.slot(first + at), pa.int64()), batch.column("n_tokens"), batch.column("ids")]
+                yield pa.RecordBatch.from_arrays(columns, ["slot", "n_tokens", "ids"])
+
+    return run
+
+
+def _written(folder: str, layout: Layout):
+    """Writes a shard's sorted records to its file, unless the file is there already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = fs.FileSystem.from_uri(folder)
+        shard, stream, target, last = None, None, "", -1
+        draft = posixpath.join(root, f"{DRAFT}{uuid.uuid4().hex}")
+        done = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            slots = batch.column("slot").to_numpy()
+            if shard is None:
+                shard = int(slots[0]) // layout.shard_sequences
+                target = posixpath.join(root, layout.name(shard))
+                found = files.get_file_info(target)
+                if found.type != fs.FileType.NotFound and found.size == layout.records(shard) * layout.stride:
+                    yield _report(shard, layout.records(shard))
+                    return
+                last = shard * layout.shard_sequences - 1
+                stream = files.open_output_stream(draft)
+            if not (np.diff(slots, prepend=last) == 1).all():
+                raise RuntimeError(f"shard {shard} lacks a record after slot {last}")
+            last = int(slots[-1])
+            counts = batch.column("n_tokens").to_numpy().astype("<u4")
+            for n, ids in zip(counts, batch.column("ids"), strict=True):
+                stream.write(n.tobytes() + ids.as_buffer().to_pybytes())
+            done += len(slots)
+        if shard is not None:
+            stream.close()
+            if done != layout.records(shard):
+                raise RuntimeError(f"shard {shard} has {done} of {layout.records(shard)} records")
+            files.move(draft, target)
+            yield _report(shard, done)
+
+    return run
+
+
+def _report(shard: int, records: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([records], pa.int64())], ["shard", "records"])
+
+
 def write_training_order(
     docs: DataFrame,
     path: str,
@@ -145,53 +210,104 @@ def write_training_order(
     end_id: int = END_ID,
     tokenizer: str | None = None,
     shard_sequences: int = SHARD_SEQUENCES,
-) -> None:
-    """Write all documents as token sequences below ``path``, which must be new.
-
-    ``shards/shard=<k>`` holds the rows ``slot, n_tokens, ids`` in slot order;
-    ``ids`` has ``length`` little-endian unsigned 16-bit numbers, the last
-    sequence of a partition filled up with ``end_id``.  ``manifest`` has one row
-    per shard: ``shard, first_position, sequences``.  Every document ends with
-    ``end_id``; a null or empty text is that id alone; rows that repeat are
-    written as often.  Other columns are not looked at.  ``docs`` is read twice
-    and must have the same partitions both times, as a table has; a task that
-    finds more than was counted fails.
+) -> Layout:
+    """Write all documents as token sequences below ``path``, on storage all tasks share.
+
+    ``shards`` has one file per ``shard_sequences`` slots.  A record is the number
+    of tokens (little-endian unsigned 32 bits) and ``length`` ids (16 bits each),
+    the last sequence of a task filled up with ``end_id``.  Every document ends
+    with ``end_id``; a null or empty text is that id alone; rows that repeat are
+    written as often.  Other columns are not looked at.  ``path`` may be any that
+    ``pyarrow.fs`` writes to: a local or mounted folder, HDFS, an object store.
+
+    What was written before is an error, unless it was stopped: then the same
+    call goes on with the sequences that were cut, if all were, and writes only
+    the shards that are missing.
     """
-    bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(text_col).alias("text"))
-    plan = plan_order(rows, key, length, shard_sequences)
-    made = rows.mapInArrow(_sequences(plan, length, end_id, tokenizer), "shard int, slot bigint, n_tokens int, ids binary")
-    # shards are equally wide ranges of a random permutation: of even size
-    dealt = made.repartition("shard").sortWithinPartitions("shard", "slot")
-    dealt.write.mode("errorifexists").partitionBy("shard").option("compression", "zstd").parquet(f"{path}/shards")
-    counted = read_shards(docs.sparkSession, path).groupBy("shard").agg(F.count(F.lit(1)).alias("sequences"))
-    sizes = {r["shard"]: r["sequences"] for r in counted.collect()}  # one row a shard
-    manifest, position = [], 0
-    for shard in range(plan.shards):
-        manifest.append((shard, position, sizes.get(shard, 0)))
-        position += sizes.get(shard, 0)
     spark = docs.sparkSession
-    spark.createDataFrame(manifest, "shard int, first_position bigint, sequences bigint").coalesce(1).write.parquet(f"{path}/manifest")
-
-
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """``slot, n_tokens, ids, shard`` of all shards."""
-    return spark.read.schema("slot bigint, n_tokens int, ids binary, shard int").parquet(f"{path}/shards")
+    bound_batches(spark)
+    if "layout" in children(spark, path):
+        raise FileExistsError(f"{path} already exists")
+    settings = {"key": key, "length": length, "end_id": end_id, "shard_sequences": shard_sequences}
+    cut = f"{path}/sequences"
+    if "manifest.json" not in children(spark, cut):
+        remove(spark, cut)
+        rows = docs.select(F.col(text_col).alias("text"))
+        with staged(spark, cut, settings) as parts:
+            rows.mapInArrow(_sequences(length, end_id, tokenizer), SEQUENCES).write.parquet(parts.path("table"))
+    elif manifest(spark, cut)["about"] != settings:
+        raise FileExistsError(f"{path} holds sequences of other settings: {manifest(spark, cut)['about']}")
+    sequences = spark.read.schema(SEQUENCES).parquet(f"{cut}/table")
+    counts = sequences.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # one row a task
+    starts = dict(zip((r["part"] for r in counts), accumulate((r["n"] for r in counts), initial=0)))
+    layout = Layout(sum(r["n"] for r in counts), length, shard_sequences, key)
+    if layout.sequences:
+        order = FeistelPermutation(layout.sequences, key)
+        placed = sequences.mapInArrow(_slots(order, starts), "slot bigint, n_tokens int, ids binary")
+        shard = F.floor(F.col("slot") / shard_sequences).cast("int")
+        # one task per range of slots
+        dealt = placed.repartitionById(layout.shards, shard).sortWithinPartitions("slot")
+        _make_folder(spark, f"{path}/shards")
+        done = dealt.mapInArrow(_written(f"{path}/shards", layout), "shard int, records bigint").agg(F.sum("records")).first()[0]
+        if done != layout.sequences:
+            raise RuntimeError(f"{done} of {layout.sequences} sequences were written")
+        for name in children(spark, f"{path}/shards"):
+            if name.startswith(DRAFT):  # of attempts that failed
+                remove(spark, f"{path}/shards/{name}")
+    with staged(spark, f"{path}/layout", settings | {"sequences": layout.sequences}):
+        pass
+    remove(spark, cut)
+    return layout
+
+
+def _make_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(place)
+
+
+def read_layout(spark: SparkSession, path: str) -> Layout:
+    """Layout of a finished output; ``NotCommitted`` for one that was stopped."""
+    about = manifest(spark, f"{path}/layout")["about"]
+    return Layout(about["sequences"], about["length"], about["shard_sequences"], about["key"])
 
 
 def read_positions(spark: SparkSession, path: str, begin: int = 0, end: int | None = None) -> DataFrame:
-    """Sequences at positions from ``begin``, ``end`` excluded: ``position, shard, slot, n_tokens, ids``.
+    """Sequences at positions from ``begin``, ``end`` excluded: ``position, shard, n_tokens, ids``.
 
-    Only the shards that hold them are read.
+    Positions are the slots.  One task reads the wanted records of a shard, from
+    the byte where they begin; no other shard is opened.
     """
-    manifest = spark.read.parquet(f"{path}/manifest")
-    wanted = manifest.filter(F.col("first_position") + F.col("sequences") > begin)
-    if end is not None:
-        wanted = wanted.filter(F.col("first_position") < end)
-    shards = [r["shard"] for r in wanted.select("shard").collect()]
-    rows = read_shards(spark, path).filter(F.col("shard").isin(shards))
-    inside = F.row_number().over(Window.partitionBy("shard").orderBy("slot")) - 1
-    placed = rows.withColumn("_inside", inside).join(F.broadcast(wanted.select("shard", "first_position")), "shard")
-    placed = placed.select((F.col("first_position") + F.col("_inside")).alias("position"), "shard", "slot", "n_tokens", "ids")
-    placed = placed.filter(F.col("position") >= begin)
-    return placed if end is None else placed.filter(F.col("position") < end)
+    layout = read_layout(spark, path)
+    begin, end = max(begin, 0), layout.sequences if end is None else min(end, layout.sequences)
+    schema = "position bigint, shard int, n_tokens int, ids binary"
+    if begin >= end:
+        return spark.createDataFrame([], schema)
+    folder = f"{path}/shards"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for shard in batch.column("id").to_pylist():
+                first = shard * layout.shard_sequences
+                at, stop = max(begin - first, 0), min(end - first, layout.records(shard))
+                with files.open_input_file(posixpath.join(root, layout.name(shard))) as file:
+                    file.seek(at * layout.stride)
+                    while at < stop:
+                        n = min(stop - at, max(READ_BYTES // layout.stride, 1))
+                        yield _records(file.read(n * layout.stride), shard, first + at, n, layout)
+                        at += n
+
+    low, high = begin // layout.shard_sequences, (end - 1) // layout.shard_sequences
+    return spark.range(low, high + 1, 1, high + 1 - low).mapInArrow(run, schema)
+
+
+def _records(data: bytes, shard: int, position: int, n: int, layout: Layout) -> pa.RecordBatch:
+    raw = np.frombuffer(data, np.uint8).reshape(n, layout.stride)
+    counts = np.ascontiguousarray(raw[:, :HEADER_BYTES]).view("<u4").ravel()
+    columns = [
+        pa.array(np.arange(position, position + n), pa.int64()),
+        pa.array(np.full(n, shard), pa.int32()),
+        pa.array(counts.astype(np.int32)),
+        pa.array([row.tobytes() for row in raw[:, HEADER_BYTES:]], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["position", "shard", "n_tokens", "ids"])

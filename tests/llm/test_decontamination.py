@@ -102,3 +102,18 @@ def test_no_python_in_the_plan(documents, benchmark):
 def test_lower_case_is_ascii_only(spark):
     got = spark.createDataFrame([("ÀB",), ("AB",), ("İX",)], "w string").select(d.ascii_lower(F.col("w")).alias("w")).collect()
     assert [r.w for r in got] == ["Àb", "ab", "İx"]
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 4096])
+def test_candidates_in_stretches(spark, documents, docs, benchmark, monkeypatch, stretch):
+    monkeypatch.setattr(d, "STRETCH", stretch)
+    items, table = benchmark
+    assert rows_of(contamination(documents(docs), table, window=4)) == brute(docs, items, 4)
+
+
+def test_a_common_word_in_a_long_document(spark, documents):
+    """Each place of 20,000 is a candidate; the text is not split again for each."""
+    rows = [(1, "the " * 20_000), (2, "the end " * 300), (3, "nothing")]
+    items = [(1, "the"), (2, "the end the end")]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    assert rows_of(contamination(documents(rows), table)) == brute(rows, items, 13)

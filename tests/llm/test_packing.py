@@ -14,7 +14,6 @@ from cohortvec.llm.packing import differencing, fill_windows, pack_documents
 @pytest.fixture(scope="module")
 def reference():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return lambda text: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -48,10 +47,17 @@ def check(rows, pieces, encode, capacity):
 
 def test_edge_cases(documents, long_text, reference):
     rows = [(1, "one two"), (2, None), (3, ""), (4, long_text), (None, "no id"), (6, "twin"), (6, "twin"), (7, "É\n ß")]
+    rows += [(8, "a <|endoftext|> b"), (9, "<|endoftext|><|endoftext|>"), (10, "x" + " " * 6000 + "<|endoftext"), (11, "|endoftext|>")]
     check(rows, pack_documents(documents(rows)).collect(), reference, 2048)
     assert pack_documents(documents([])).collect() == []
 
 
+def test_added_tokens_are_ids_of_their_own(reference):
+    assert reference("a <|endoftext|> b") == [64, 220, 50256, 275, 1]
+    encode = p._encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert encode("a <|endoftext|> b") == [64, 220, 50256, 275]
+
+
 def test_little_padding(documents, reference):
     rows = [(i, "some words here " * (i * 37 % 400)) for i in range(400)]
     pieces = pack_documents(documents(rows).coalesce(1)).collect()
@@ -73,7 +79,6 @@ def test_ids_are_those_of_the_tokenizer(reference, text):
 def test_ids_of_any_text(text):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")) if not _cache else _cache[0]
     _cache[:] = [tokenizer]
-    tokenizer.encode_special_tokens = True
     encode = p._encoder(public_tokenizers.path("byte_bpe_50k.json"))
     assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
 

@@ -26,7 +26,6 @@ def test_names():
 
 def test_pieces(spark, texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in QUERIES["op4_packing"](spark, FOLDER).collect():
         pieces[r.doc_id].append(r)
