@@ -24,6 +24,7 @@ from itertools import accumulate
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -113,6 +114,7 @@ def _sequences(length: int, end_id: int, tokenizer: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
         part, number = TaskContext.get().partitionId(), 0
+        pack = zstandard.ZstdCompressor().compress  # records are written and shuffled packed
         stream: list[int] = []
 
         def handed(rows: list[np.ndarray]) -> pa.RecordBatch:
@@ -121,7 +123,7 @@ def _sequences(length: int, end_id: int, tokenizer: str | None):
                 pa.array([part] * len(rows), pa.int32()),
                 pa.array(np.arange(number, number + len(rows)), pa.int64()),
                 pa.array([len(r) for r in rows], pa.int32()),
-                pa.array([np.pad(r, (0, length - len(r)), constant_values=end_id).tobytes() for r in rows], pa.binary()),
+                pa.array([pack(np.pad(r, (0, length - len(r)), constant_values=end_id).tobytes()) for r in rows], pa.binary()),
             ]
             number += len(rows)
             return pa.RecordBatch.from_arrays(columns, ["part", "at", "n_tokens", "ids"])
@@ -166,7 +168,7 @@ def _written(folder: str, layout: Layout):
         files, root = fs.FileSystem.from_uri(folder)
         shard, stream, target, last = None, None, "", -1
         draft = posixpath.join(root, f"{DRAFT}{uuid.uuid4().hex}")
-        done = 0
+        done, unpack = 0, zstandard.ZstdDecompressor().decompress
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -185,7 +187,7 @@ def _written(folder: str, layout: Layout):
             last = int(slots[-1])
             counts = batch.column("n_tokens").to_numpy().astype("<u4")
             for n, ids in zip(counts, batch.column("ids"), strict=True):
-                stream.write(n.tobytes() + ids.as_buffer().to_pybytes())
+                stream.write(n.tobytes() + unpack(ids.as_buffer()))
             done += len(slots)
         if shard is not None:
             stream.close()
@@ -234,7 +236,8 @@ def write_training_order(
         remove(spark, cut)
         rows = docs.select(F.col(text_col).alias("text"))
         with staged(spark, cut, settings) as parts:
-            rows.mapInArrow(_sequences(length, end_id, tokenizer), SEQUENCES).write.parquet(parts.path("table"))
+            made = rows.mapInArrow(_sequences(length, end_id, tokenizer), SEQUENCES)
+            made.write.option("compression", "none").parquet(parts.path("table"))
     elif manifest(spark, cut)["about"] != settings:
         raise FileExistsError(f"{path} holds sequences of other settings: {manifest(spark, cut)['about']}")
     sequences = spark.read.schema(SEQUENCES).parquet(f"{cut}/table")
