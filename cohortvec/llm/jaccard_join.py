@@ -307,10 +307,9 @@ def near_duplicate_groups(
         "sets",
     )
 
-    def verified(pairs: DataFrame, label: str) -> DataFrame:
-        """Pairs (x, y) of similar sets, of those that size and bitmap allow."""
-        asked, n_asked = store_counted(pairs, f"{label}-asked")
-        joined = asked
+    def verified(pairs: DataFrame, label: str, at_most: int | None = None) -> DataFrame:
+        """Pairs (x, y) of similar sets, of those that size and bitmap allow; counted unless a bound is known."""
+        joined, n_asked = (pairs, at_most) if at_most is not None else store_counted(pairs, f"{label}-asked")
         for c, limit in (("x", broadcast_rows // 4), ("y", broadcast_rows // 8)):
             side = sets.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("bitmap").alias(f"bits{c}"))
             joined = join_counted(side, joined, n_asked, [c], limit=limit)
@@ -381,13 +380,13 @@ def near_duplicate_groups(
         .select(F.col("sid").alias("x"), "y")
         .distinct()
     )
-    first_links = verified(led, "led")
-    first_groups, n_groups = store_counted(connected_groups(first_links, "x", "y", "sid", "grp"), "first-groups")
+    first_links = verified(led, "led", MINIMA * n_sets)
+    first_groups = connected_groups(first_links, "x", "y", "sid", "grp")
 
     # posted tokens that meet in different groups
     token = ["bucket", "token"]
     hopeful = live.df.filter(100 * F.col("rest") >= PERCENT * F.col("n"))
-    hopeful = join_counted(hopeful, first_groups, n_groups, ["sid"], "left", broadcast_rows)
+    hopeful = join_counted(hopeful, first_groups, n_sets, ["sid"], "left", broadcast_rows)
     hopeful = hopeful.withColumn("grp", F.coalesce("grp", "sid"))
     stats = hopeful.groupBy(*token).agg(
         F.min("grp").alias("a"), F.max("grp").alias("b"), F.count(F.lit(1)).alias("m")
@@ -418,11 +417,15 @@ def near_duplicate_groups(
     links = first_links.unionByName(verified(crossing, "prefix"))
     met.discard()
 
-    groups, n_groups = store_counted(connected_groups(links, "x", "y", "sid", "grp"), "groups")
-    keyed = join_counted(sets.select("sid", "first_id"), groups, n_groups, ["sid"], "left", broadcast_rows)
-    keyed = keyed.select("sid", "first_id", F.coalesce("grp", "sid").alias("grp"))
+    groups = connected_groups(links, "x", "y", "sid", "grp")
+    # sets without a link are components of their own and need no row
+    keyed = join_counted(sets.select("sid", "first_id"), groups, n_sets, ["sid"], "inner", broadcast_rows)
     smallest = keyed.groupBy("grp").agg(F.min("first_id").alias("component_id"))
-    named, n_named = store_counted(keyed.join(smallest, "grp").select("sid", "component_id"), "components")
-    return join_counted(of_docs.select("doc_id", "sid", "n"), named, n_named, ["sid"], "left", broadcast_rows).select(
+    named = keyed.join(smallest, "grp").select("sid", "component_id")
+    firsts = sets.select("sid", F.col("first_id").alias("own_id"))
+    named = join_counted(firsts, named, n_sets, ["sid"], "left", broadcast_rows).select(
+        "sid", F.coalesce("component_id", "own_id").alias("component_id")
+    )
+    return join_counted(of_docs.select("doc_id", "sid", "n"), named, n_sets, ["sid"], "left", broadcast_rows).select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
