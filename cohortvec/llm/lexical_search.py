@@ -222,10 +222,10 @@ def _postings(index: DataFrame, wave: Wave, owner: int, last: bool) -> DataFrame
     The last owner has a row for every block and group, with the ids of its documents.
     """
     groups, n_docs, all_terms = wave.groups, wave.n_docs, wave.all_terms
-    wanted = np.zeros((groups, len(wave.words)), bool)
-    mine = (wave.owner == owner) & (wave.weight > 0)
-    of_mine = mine[wave.pair_term]
-    wanted[wave.pair_item[of_mine] // GROUP_ITEMS, wave.pair_term[of_mine]] = True
+    size = len(wave.words)
+    mine = ((wave.owner == owner) & (wave.weight > 0))[wave.pair_term]
+    group_of, terms_of = wave.pair_item[mine] // GROUP_ITEMS, wave.pair_term[mine]
+    wanted = [np.unique(terms_of[group_of == g]) for g in range(groups)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +234,9 @@ def _postings(index: DataFrame, wave: Wave, owner: int, last: bool) -> DataFrame
                 terms, places = _integers(row["terms"]), _integers(row["places"])
                 adds = impacts(_integers(row["counts"]), norms[places])
                 for group in range(groups):
-                    own = wanted[group, terms]
+                    asked = np.zeros(size, bool)
+                    asked[wanted[group]] = True
+                    own = asked[terms]
                     if last or own.any():
                         yield pa.RecordBatch.from_pylist(
                             [
