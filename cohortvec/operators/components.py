@@ -69,10 +69,10 @@ def connected_groups(
         .distinct()
     )
     while state["n"]:
-        large = store(_attach_larger(current.df, state["n"]).distinct(), "edges")
-        # neither step adds edges, so the old number still bounds the hot nodes
-        small, new_state = _store_edges(_attach_smaller(large.df, state["n"]).distinct())
-        large.discard()
+        # one job: the second step reads the first's last exchange twice, and as
+        # neither adds edges, the old number still bounds the hot nodes
+        large = _attach_larger(current.df, state["n"]).distinct()
+        small, new_state = _store_edges(_attach_smaller(large, state["n"]).distinct())
         current.discard()
         current = small
         if new_state == state:
