@@ -578,12 +578,12 @@ def fit_settings(
             waves[-1].append(chain)
             held += size
 
-
     def states(name: str, fitted: list) -> RoundStates | None:
         if state is None:
             return None
         facts = data.facts
-        about = [data.n_items, facts.users, facts.cells, facts.squares, tol, seed]
+        squares = float(f"{facts.squares:.9g}")  # its last digits follow the order of the rows
+        about = [data.n_items, facts.users, facts.cells, squares, tol, seed]
         identity = dict(zip(("items", "users", "cells", "squares", "tol", "seed"), about, strict=True)) | {"fitted": fitted}
         return RoundStates(data.cells.sparkSession, f"{state}/{name}", identity)
 
