@@ -42,6 +42,8 @@ ROUNDS = 4
 SHARD_SEQUENCES = 1 << 14
 # A record is the number of its tokens, 32 bits, and its ids, 16 bits each.
 HEADER_BYTES, ID_BYTES = 4, 2
+# Sequences that are packed together while they wait for their slots, and how hard.
+BLOCK_SEQUENCES, BLOCK_LEVEL = 128, 6
 # Bytes that a task reads at a time.
 READ_BYTES = 4 << 20
 DRAFT = "_draft-"
@@ -114,19 +116,20 @@ def _sequences(length: int, end_id: int, tokenizer: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
         part, number = TaskContext.get().partitionId(), 0
-        pack = zstandard.ZstdCompressor().compress  # records are written and shuffled packed
+        pack = zstandard.ZstdCompressor(BLOCK_LEVEL).compress
         stream: list[int] = []
 
         def handed(rows: list[np.ndarray]) -> pa.RecordBatch:
             nonlocal number
-            columns = [
-                pa.array([part] * len(rows), pa.int32()),
-                pa.array(np.arange(number, number + len(rows)), pa.int64()),
-                pa.array([len(r) for r in rows], pa.int32()),
-                pa.array([pack(np.pad(r, (0, length - len(r)), constant_values=end_id).tobytes()) for r in rows], pa.binary()),
-            ]
-            number += len(rows)
-            return pa.RecordBatch.from_arrays(columns, ["part", "at", "n_tokens", "ids"])
+            out = []
+            for at in range(0, len(rows), BLOCK_SEQUENCES):
+                some = rows[at : at + BLOCK_SEQUENCES]
+                padded = [np.pad(r, (0, length - len(r)), constant_values=end_id) for r in some]
+                out.append((part, number, [len(r) for r in some], pack(np.concatenate(padded).tobytes())))
+                number += len(some)
+            kinds = [pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.binary()]
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, ["part", "first", "counts", "block"])
 
         for batch in batches:
             for some in groups_of_rows(batch, "text"):
@@ -144,18 +147,22 @@ def _sequences(length: int, end_id: int, tokenizer: str | None):
     return run
 
 
-SEQUENCES = "part int, at bigint, n_tokens int, ids binary"
+# Blocks of consecutive sequences: the number of the first, the tokens of each, and all ids, packed.
+SEQUENCES = "part int, first bigint, counts array<int>, block binary"
 
 
-def _slots(order: FeistelPermutation, starts: dict[int, int]):
+def _slots(order: FeistelPermutation, starts: dict[int, int], length: int):
     """Global slot of each sequence; ``starts``: first number of each task's sequences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, unpack = zstandard.ZstdCompressor().compress, zstandard.ZstdDecompressor().decompress
+        size = ID_BYTES * length
         for batch in batches:
-            if batch.num_rows:
-                parts, at = batch.column("part").to_numpy(), batch.column("at").to_numpy()
-                first = np.array([starts[p] for p in parts.tolist()], np.int64)
-                columns = [pa.array(order.slot(first + at), pa.int64()), batch.column("n_tokens"), batch.column("ids")]
+            for row in batch.to_pylist():
+                n, ids = len(row["counts"]), unpack(row["block"])
+                slots = order.slot(starts[row["part"]] + row["first"] + np.arange(n))
+                records = [pack(ids[at : at + size]) for at in range(0, n * size, size)]
+                columns = [pa.array(slots, pa.int64()), pa.array(row["counts"], pa.int32()), pa.array(records, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["slot", "n_tokens", "ids"])
 
     return run
@@ -241,12 +248,12 @@ def write_training_order(
     elif manifest(spark, cut)["about"] != settings:
         raise FileExistsError(f"{path} holds sequences of other settings: {manifest(spark, cut)['about']}")
     sequences = spark.read.schema(SEQUENCES).parquet(f"{cut}/table")
-    counts = sequences.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # one row a task
+    counts = sequences.groupBy("part").agg(F.sum(F.size("counts")).alias("n")).orderBy("part").collect()  # one row a task
     starts = dict(zip((r["part"] for r in counts), accumulate((r["n"] for r in counts), initial=0)))
     layout = Layout(sum(r["n"] for r in counts), length, shard_sequences, key)
     if layout.sequences:
         order = FeistelPermutation(layout.sequences, key)
-        placed = sequences.mapInArrow(_slots(order, starts), "slot bigint, n_tokens int, ids binary")
+        placed = sequences.mapInArrow(_slots(order, starts, length), "slot bigint, n_tokens int, ids binary")
         shard = F.floor(F.col("slot") / shard_sequences).cast("int")
         # one task per range of slots
         dealt = placed.repartitionById(layout.shards, shard).sortWithinPartitions("slot")
