@@ -382,7 +382,7 @@ class Tiles:
     parts: int
 
     def own_block(self, key: str) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.blocks[key])).cast("int").alias(BLOCK_OF[key])
+        return _block(key, self.blocks[key])
 
     def sums(self, factor: DataFrame, key: str, rank: int) -> DataFrame:
         """Sum of rating x vector per row of the other side.
@@ -411,9 +411,51 @@ class Tiles:
         return _sum_by(partials, other, rank)
 
 
+    def cell_sums(self, users: DataFrame, items: DataFrame) -> dict[str, float]:
+        """CELL_SUMS over all ratings for ``(user, embedding)`` and ``(item, embedding)``.
+
+        Vectors of both sides go once to each tile that needs them; a tile hands
+        on one row.
+        """
+        tile = [BLOCK_OF[USER], BLOCK_OF[ITEM]]
+
+        def sent(factor: DataFrame, key: str, other: str) -> DataFrame:
+            routed = factor.join(self.routes[key], key)
+            return routed.select(
+                self.own_block(key), F.explode("_routes").alias(BLOCK_OF[other]), F.lit(key).alias("_side"),
+                F.col(key).cast("bigint").alias("_number"), VECTOR,
+            )
+
+        vectors = sent(users, USER, ITEM).unionByName(sent(items, ITEM, USER)).repartition(self.parts, *tile)
+
+        def add_up(ratings: pa.Table, vectors: pa.Table) -> pa.Table:
+            sides, sums = vectors["_side"].to_pylist(), dict.fromkeys(CELL_SUMS, 0.0)
+            numbers, flat = vectors["_number"].to_numpy(), vectors[VECTOR].combine_chunks()
+            matrix = flat.flatten().to_numpy().reshape(len(numbers), -1)
+            found = {}
+            for key in (USER, ITEM):
+                mine = np.flatnonzero(np.array([s == key for s in sides]))
+                order = mine[np.argsort(numbers[mine])]
+                found[key] = order[np.searchsorted(numbers[order], ratings[key].to_numpy())]
+            values, step = ratings[RATING].to_numpy(), max(GATHER_DOUBLES // max(matrix.shape[1], 1), 1)
+            for a in range(0, len(values), step):
+                w, h = (matrix[found[key][a : a + step]] for key in (USER, ITEM))
+                for name, value in _cell_values(values[a : a + step], (w * h).sum(axis=1)).items():
+                    sums[name] += float(value.sum())
+            return pa.table({name: [total] for name, total in sums.items()})
+
+        schema = ", ".join(f"{name} double" for name in CELL_SUMS)
+        partials = self.cells.groupBy(*tile).cogroup(vectors.groupBy(*tile)).applyInArrow(add_up, schema)
+        return partials.agg(*[F.coalesce(F.sum(name), F.lit(0.0)).alias(name) for name in CELL_SUMS]).first().asDict()
+
+
 BLOCK_OF = {USER: "_ub", ITEM: "_ib"}
 
 
+def _block(key: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(blocks)).cast("int").alias(BLOCK_OF[key])
+
+
 def make_tiles(cells: DataFrame, n_users: int, n_items: int, n_cells: int, rank: int, least: int) -> Tiles:
     """Tiles of a (user, item, rating) table with unique rows; ``least`` tiles at least.
 
@@ -426,8 +468,8 @@ def make_tiles(cells: DataFrame, n_users: int, n_items: int, n_cells: int, rank:
     blocks[longer] = max(blocks[longer], -(-wanted // blocks[shorter]))
     parts = max(least, -(-n_cells // RATINGS_PER_PART))
     tile = [BLOCK_OF[USER], BLOCK_OF[ITEM]]
-    block = {k: F.pmod(F.xxhash64(k), F.lit(n)).cast("int").alias(BLOCK_OF[k]) for k, n in blocks.items()}
-    dealt = cells.select(block[USER], block[ITEM], F.col(USER).cast("bigint").alias(USER), ITEM, RATING)
+    block = [_block(k, n) for k, n in blocks.items()]
+    dealt = cells.select(*block, F.col(USER).cast("bigint").alias(USER), ITEM, RATING)
     dealt = dealt.repartition(parts, *tile).sortWithinPartitions(*tile).persist(StorageLevel.DISK_ONLY)
     routes = {}
     for key, other in ((USER, ITEM), (ITEM, USER)):
@@ -779,6 +821,14 @@ def factor_metrics(
 CELL_SUMS = ("n", "xx", "xy", "yy", "y", "sse", "sae", "n_other", "sse_other", "sae_other")
 
 
+def _cell_values(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """What CELL_SUMS add up, for ratings ``x`` and their estimates ``y``."""
+    error, other = x - y, x != 1
+    squares, sizes = error * error, np.abs(error)
+    values = np.ones(len(x)), x * x, x * y, y * y, y, squares, sizes, other, squares[other], sizes[other]
+    return dict(zip(CELL_SUMS, values, strict=True))
+
+
 def fold_in_metrics(
     data: RatingCells,
     items: DataFrame,
@@ -791,14 +841,16 @@ def fold_in_metrics(
 
     While the item factor may be broadcast, one pass over the user rows solves
     the users and adds up the errors of their cells: no vector is shuffled or
-    written.  Beyond, users are stored and joined.
+    written.  Beyond, users are stored, and the vectors of both sides go once to
+    each tile of ratings.
     """
     rank = gram_matrix(items, VECTOR)[0].shape[0]
     if data.n_items * rank * 8 > model_bytes:
         users = store(fold_in(data, items, regularization, model_bytes), "users")
-        metrics = factor_metrics(data.cells, users.df, items, dataset, legacy_inactive)
+        own = data.tiles(rank).cell_sums(users.df, items), *gram_matrix(users.df, VECTOR)
         users.discard()
-        return metrics
+        item_sums, variance = gram_matrix(items, VECTOR), similarity_variance(items)
+        return _metrics_table(data.cells.sparkSession, *own, item_sums, variance, dataset, legacy_inactive)
     local = items.toPandas()  # below the checked model size
     factor = np.zeros((data.n_items, rank))
     factor[local[ITEM].to_numpy()] = np.array(local[VECTOR].tolist())
@@ -822,12 +874,7 @@ def _fold_in_sums(data: RatingCells, models: list[tuple[np.ndarray, float]]) ->
                 factor, gram, s, squares, total, _ = state
                 for _, w, _, cell_items, x, row_of in _solved_chunks(batch, factor, gram):
                     y = (w[row_of] * factor[cell_items]).sum(axis=1)
-                    error, other = x - y, x != 1
-                    for name, value in {
-                        "n": np.ones(len(x)), "xx": x * x, "xy": x * y, "yy": y * y, "y": y,
-                        "sse": error * error, "sae": np.abs(error), "n_other": other,
-                        "sse_other": (error * error)[other], "sae_other": np.abs(error)[other],
-                    }.items():
+                    for name, value in _cell_values(x, y).items():
                         s[name] += float(value.sum())
                     squares += w.T @ w
                     total += w.sum(axis=0)

@@ -74,6 +74,18 @@ def test_a_vector_goes_once_to_a_block(spark, small_blocks):
     assert "Exchange" not in before_scan
 
 
+def test_short_numbers_and_metrics(spark, small_blocks):
+    """Users and items as int; metrics of both ways."""
+    x = ratings_matrix(50, 20, 3, hot=True)
+    short = cells_of(spark, x).select(F.col("user").cast("int"), F.col("item").cast("int"), "rating")
+    data = N.RatingCells(short, 20)
+    ways = [N.fit(data, 3, 0.01, 3, tol=-1, model_bytes=b) for b in (0, N.MODEL_BYTES)]
+    assert ways[0].losses == pytest.approx(ways[1].losses, rel=1e-7)
+    tables = [N.fold_in_metrics(data, ways[1].items, 0.01, model_bytes=b).collect() for b in (0, N.MODEL_BYTES)]
+    assert [r.metric for r in tables[0]] == list(N.METRICS)
+    assert [r.value for r in tables[0]] == pytest.approx([r.value for r in tables[1]], rel=1e-6)
+
+
 def test_one_block_and_one_cell(spark):
     data = N.RatingCells(cells_of(spark, np.array([[2.0, 0.0]])), 2)
     ways = [N.fit(data, 2, 0.01, 3, tol=-1, model_bytes=b) for b in (0, N.MODEL_BYTES)]
