@@ -104,15 +104,14 @@ def fit_toxicity(
     drawn = ids.withColumn("place", place).filter(F.pmod("place", F.lit(1 << 30)) < share * (1 << 30))
     # about 2 * class_rows rows, whatever the size of the tables
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).dropna()
-    # rows that share a drawn id are drawn once more by their texts
+    # a limit for rows that share a drawn id; texts stay on the executors
     sample = (
         rows.join(F.broadcast(drawn), "doc_id")
-        .select("text", "toxic", "place", F.xxhash64("doc_id", "text").alias("own"))
-        .orderBy("own").limit(4 * class_rows)
         .select("text", "toxic", "place")
         .mapInArrow(_training_features, "toxic int, place bigint, features binary")
+        .orderBy("place", "features")
+        .limit(4 * class_rows)
         .toArrow()
-        .sort_by("place")
     )
     y = np.asarray(sample.column("toxic"), np.float64)
     x = [np.frombuffer(f, "<i4") for f in sample.column("features").to_pylist()]
