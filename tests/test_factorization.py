@@ -235,3 +235,34 @@ def test_stored_tables_use_the_configured_folder(spark):
     with pytest.raises(Exception):
         spark.read.parquet(kept.path).count()
     discard_stored(spark)
+
+
+def test_rows_settle_as_in_plain_loops():
+    """Every row alone, component by component in their order, gives the same bits."""
+    rng = np.random.default_rng(2)
+    for rank in (1, 3, 8, 12):
+        a = rng.random((30, rank))
+        gram, b = a.T @ a, rng.normal(size=(40, 30)) @ a
+        gram[0], gram[:, 0] = (0.0, 0.0) if rank == 3 else (gram[0], gram[:, 0])
+        inverse = np.linalg.pinv(gram, hermitian=True)
+        want, still = [], 0
+        for row in b:
+            own = [max(sum((inverse[j, i] * row[i] for i in range(rank)), 0.0), 0.0) for j in range(rank)]
+            for _ in range(N.SWEEPS):
+                scale, change = max(*own, 1e-30), 0.0
+                for j in range(rank):
+                    if gram[j, j] <= 0.0:
+                        own[j] = 0.0
+                        continue
+                    total = gram[j, 0] * own[0]
+                    for i in range(1, rank):
+                        total += gram[j, i] * own[i]
+                    moved = max((row[j] - total) / gram[j, j] + own[j], 0.0)
+                    change, own[j] = max(change, abs(moved - own[j])), moved
+                if change <= N.SWEEP_TOLERANCE * scale:
+                    break
+            else:
+                still += 1
+            want.append(own)
+        got, unsettled = N.solve_rows_counted(b, gram)
+        assert (got == np.array(want)).all() and unsettled == still
