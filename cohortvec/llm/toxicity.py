@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,11 +115,12 @@ def fit_toxicity(
         .toArrow()
     )
     y = np.asarray(sample.column("toxic"), np.float64)
-    x = [np.frombuffer(f, "<i4") for f in sample.column("features").to_pylist()]
     if not y.any():
         return ToxicityModel(np.zeros(0, np.int32), np.zeros(0, np.float32), -math.inf)
-    rows_with = np.bincount(np.concatenate(x), minlength=1 << HASH_BITS)
-    x = [f[rows_with[f] >= min_rows] for f in x]
+    flat, ends = _flat_features(sample.column("features"))
+    del sample
+    flat, ends = _common(flat, ends, min_rows)
+    x = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
     weights, bias = _ftrl(x, y, rounds, alpha, beta, l1, l2)
     drawn_odds = y.sum() / max(len(y) - y.sum(), 1)
     bias += math.log(counts[1] / max(counts.get(0, 0), 1)) - math.log(drawn_odds)
@@ -126,6 +128,36 @@ def fit_toxicity(
     return ToxicityModel(kept.astype(np.int32), weights[kept].astype(np.float32), bias)
 
 
+def _flat_features(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The features of all rows in one array, and where each row begins and the last ends.
+
+    An array for each row would stay with the driver: small pieces of memory are
+    not given back.
+    """
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(pc.binary_length(lists).to_numpy().astype(np.int64) // 4)])
+    flat, at = np.empty(ends[-1], "<i4"), 0
+    for chunk in lists.chunks:
+        _, offsets, data = chunk.buffers()
+        kind = np.int64 if pa.types.is_large_binary(chunk.type) else np.int32
+        bounds = np.frombuffer(offsets, kind)[chunk.offset : chunk.offset + len(chunk) + 1]
+        if len(chunk) and bounds[-1] > bounds[0]:
+            part = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]].view("<i4")
+            flat[at : at + len(part)] = part
+            at += len(part)
+    return flat, ends
+
+
+def _common(flat: np.ndarray, ends: np.ndarray, min_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same without features of fewer than ``min_rows`` rows."""
+    rows_with, parts = np.zeros(1 << HASH_BITS, np.int64), range(0, len(flat), 1 << 20)
+    for a in parts:  # numpy widens what it counts or looks up
+        rows_with += np.bincount(flat[a : a + (1 << 20)], minlength=1 << HASH_BITS)
+    common, kept = rows_with >= min_rows, np.empty(len(flat), bool)
+    for a in parts:
+        kept[a : a + (1 << 20)] = common[flat[a : a + (1 << 20)]]
+    return flat[kept], np.concatenate([np.zeros(1, np.int64), np.cumsum(kept)])[ends]
+
+
 def _ftrl(
     x: list[np.ndarray], y: np.ndarray, rounds: int, alpha: float, beta: float, l1: float, l2: float
 ) -> tuple[np.ndarray, float]:

@@ -174,3 +174,17 @@ def test_one_class_or_none(corpus, labels):
     if labels != "toxic = 1":
         assert scores == {0.0}
     assert tx.score_toxicity(corpus.limit(0), model).collect() == []
+
+
+def test_training_features_are_not_copied_row_by_row():
+    lists = [[5, 9, 11], [], [5, 11], [9]]
+    packed = [np.array(x, "<i4").tobytes() for x in lists]
+    chunks = pa.chunked_array([pa.array([b"", *packed[:2]], pa.binary()).slice(1), pa.array(packed[2:], pa.binary())])
+    flat, ends = tx._flat_features(chunks)
+    assert [flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == lists
+    flat, ends = tx._common(flat, ends, 2)
+    assert [flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == lists
+    flat, ends = tx._common(flat[:-1], np.minimum(ends, 5), 2)
+    assert [flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [[5, 11], [], [5, 11], []]
+    empty, ends = tx._flat_features(pa.chunked_array([pa.array([b"", b""], pa.binary())]))
+    assert not len(empty) and ends.tolist() == [0, 0, 0]
